@@ -7,10 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import bpe, chat, simhash, winnow
+from quillstone.llm import bpe, chat, simhash, url_filter, winnow
 from quillstone.sources.tables import table
 
 
+#: Fixed: the rules of the url query.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+#: Fixed: sites on the query's block list, under each of three endings.
+LISTED_SITES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+LISTED_ENDINGS = ["com", "net", "org"]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    listed = spark.createDataFrame([(f"{site}.example.{end}", "/") for site in LISTED_SITES for end in LISTED_ENDINGS], "host string, path string")
+    return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules, listed).drop("url")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
@@ -40,6 +59,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_url_filter": op2_url_filter,
     "op4_decontaminate": op4_decontaminate,
     "op7_chat_format": op7_chat_format,
     "op8_simhash": op8_simhash,
@@ -98,7 +118,29 @@ SELECT g.conv_id, count(*) AS n_turns,
 FROM g JOIN wins ON g.conv_id IS NOT DISTINCT FROM wins.conv_id GROUP BY g.conv_id
 """
 
+_VALUES = ", ".join(str(r) for r in URL_RULES)
+_LISTED = ", ".join(f"('{site}.example.{end}')" for site in LISTED_SITES for end in LISTED_ENDINGS)
+
+OP2_SQL = f"""
+WITH p AS (
+  SELECT page_id, url, row_number() OVER () AS r,
+         CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (
+  SELECT page_id, r, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+rules(h, p, v) AS (VALUES {_VALUES}),
+listed(h) AS (VALUES {_LISTED}),
+fit AS (
+  SELECT r, h || p AS rule, v, row_number() OVER (PARTITION BY r ORDER BY length(h || p) DESC, h || p) AS k
+  FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)),
+bad AS (SELECT DISTINCT r FROM u JOIN listed ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, '/'))
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
+       coalesce(v, CASE WHEN bad.r IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN (SELECT * FROM fit WHERE k = 1) f ON f.r = u.r LEFT JOIN bad ON bad.r = u.r
+"""
+
 ORACLES: dict[str, str] = {
+    "op2_url_filter": OP2_SQL,
     "op7_chat_format": OP7_SQL,
     "op4_decontaminate": OP4_SQL,
 }
