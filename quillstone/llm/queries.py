@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import bpe, chat, simhash, url_filter, winnow
+from quillstone.llm import bpe, chat, langid, simhash, url_filter, winnow
 from quillstone.sources.tables import table
 
 
+def _fold(of: int):
+    """Remainder of the document id's checksum."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = langid.identify(docs, docs.where(_fold(3) != 1))
+    return out.select("doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", F.to_json("mixture").alias("mixture"))
+
+
 #: Fixed: the rules of the url query.
 URL_RULES = [
     ("com", "/", "allow"),
@@ -59,6 +70,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_url_filter": op2_url_filter,
     "op4_decontaminate": op4_decontaminate,
     "op7_chat_format": op7_chat_format,
