@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import bpe, chat, langid, simhash, url_filter, winnow
+from quillstone.llm import bpe, chat, langid, quality, simhash, url_filter, winnow
 from quillstone.sources.tables import table
 
 
@@ -47,6 +47,17 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+#: From this score on a document counts as good.
+GOOD = 0.7
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(_fold(4) != 2)
+    out = quality.score_quality(docs, docs.where(_fold(4) != 2), labels)
+    return out.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -73,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_url_filter": op2_url_filter,
     "op4_decontaminate": op4_decontaminate,
+    "op6_quality": op6_quality,
     "op7_chat_format": op7_chat_format,
     "op8_simhash": op8_simhash,
     "op9_byte_bpe": op9_byte_bpe,
