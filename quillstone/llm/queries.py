@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import bpe, chat, langid, quality, simhash, url_filter, winnow
+from quillstone.llm import bpe, chat, langid, pii, quality, simhash, url_filter, winnow
 from quillstone.sources.tables import table
 
 
@@ -47,6 +47,24 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def _written_out(spans):
+    """kind:start:end, by kind as listed, then start; joined by commas."""
+    order = F.array(*[F.lit(k) for k in pii.KINDS])
+    keyed = F.transform(spans, lambda x: F.struct(F.array_position(order, x["kind"]).alias("k"), x["start"].alias("s"), x["end"].alias("e"), x["kind"].alias("kind")))
+    return F.array_join(F.transform(F.sort_array(keyed), lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find_pii(table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda x: x["base"])
+    counts = [_count_kind(base, k) for k in ("email", "ip", "card", "phone")]
+    return out.select("doc_id", *counts, F.sha2(_written_out(base).cast("binary"), 256).alias("base_sha256"), _written_out(F.col("found")).alias("spans"))
+
+
+def _count_kind(spans, kind: str):
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+
 #: From this score on a document counts as good.
 GOOD = 0.7
 
@@ -84,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_url_filter": op2_url_filter,
     "op4_decontaminate": op4_decontaminate,
+    "op5_pii": op5_pii,
     "op6_quality": op6_quality,
     "op7_chat_format": op7_chat_format,
     "op8_simhash": op8_simhash,
