@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import bpe, chat, langid, pii, quality, simhash, url_filter, winnow
+from quillstone.llm import bpe, chat, langid, pii, quality, recompress, simhash, url_filter, winnow
 from quillstone.sources.tables import table
 
 
@@ -41,6 +41,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules, listed).drop("url")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = recompress.dedup_substrings(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
@@ -101,6 +106,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_url_filter": op2_url_filter,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_pii": op5_pii,
     "op6_quality": op6_quality,
@@ -182,7 +188,21 @@ SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
 FROM u LEFT JOIN (SELECT * FROM fit WHERE k = 1) f ON f.r = u.r LEFT JOIN bad ON bad.r = u.r
 """
 
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, i, array_to_string(w[i : i + 49], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+f AS (SELECT win, min(doc_id) AS m FROM x GROUP BY win),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM x JOIN f USING (win) WHERE doc_id > m),
+g AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
+k AS (SELECT d.doc_id, len(w) AS n, coalesce(len(ps), 0) AS r, ps, w FROM d LEFT JOIN g USING (doc_id)),
+whole AS (SELECT doc_id, n, r, array_to_string(w, ' ') AS kept FROM k WHERE r = 0),
+part AS (SELECT doc_id, n, r, coalesce(string_agg(word, ' ' ORDER BY p) FILTER (NOT list_contains(ps, p)), '') AS kept
+         FROM (SELECT doc_id, n, r, ps, unnest(w) AS word, unnest(range(1, n + 1)) AS p FROM k WHERE r > 0) GROUP BY doc_id, n, r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha256(kept) AS kept_sha256 FROM (SELECT * FROM whole UNION ALL SELECT * FROM part)
+"""
+
 ORACLES: dict[str, str] = {
+    "op3_substring_dedup": OP3_SQL,
     "op2_url_filter": OP2_SQL,
     "op7_chat_format": OP7_SQL,
     "op4_decontaminate": OP4_SQL,
