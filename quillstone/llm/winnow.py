@@ -130,13 +130,18 @@ def hits(block: B.Block, index: Index) -> tuple[B.Words, list[tuple[int, int, tu
     return words, out
 
 
-def _kernel(shared, last: bool):
+def _kernel(shared, last: bool, keep: int):
+    """keep: columns, after id and text, that are handed on as they are; what earlier blocks found comes after them."""
+
     def run(batches):
         index = shared.value
         for batch in batches:
             size, found, spans = [], [[] for _ in range(len(batch))], [[] for _ in range(len(batch))]
-            if len(batch) and batch.num_columns > 2:  # of earlier blocks
-                found, spans = [list(x) for x in batch.column(2).to_pylist()], [[(s["start"], s["end"]) for s in x] for x in batch.column(3).to_pylist()]
+            kept = [batch.column(2 + i) for i in range(keep)]
+            names = [batch.schema.names[2 + i] for i in range(keep)]
+            if batch.num_columns > 2 + keep:  # of earlier blocks
+                found = [list(x) for x in batch.column(2 + keep).to_pylist()]
+                spans = [[(s["start"], s["end"]) for s in x] for x in batch.column(3 + keep).to_pylist()]
             for block in B.blocks(batch.column(1)):
                 words, windows = hits(block, index)
                 size.append(np.diff(words.first))
@@ -152,9 +157,9 @@ def _kernel(shared, last: bool):
             held = [pa.array(items, pa.list_(pa.string())), pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], span_type)]
             if last:
                 n_hit = np.array([sum(b - a for a, b in x) for x in spans], np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words.astype(np.int64)), pa.array(n_hit), *held], names=["id", "n_words", "n_hit", "items", "spans"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *kept, pa.array(n_words.astype(np.int64)), pa.array(n_hit), *held], names=["__id", *names, "n_words", "n_hit", "items", "spans"])
             else:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *held], names=["id", "text", "items", "spans"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *kept, *held], names=["__id", "__text", *names, "items", "spans"])
 
     return run
 
@@ -169,8 +174,8 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """One row per row of ``docs``: id, ``n_words``, ``n_hit``, ``items``, ``spans``.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", index_bytes: int = INDEX_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: id, the columns in ``keep``, ``n_words``, ``n_hit``, ``items``, ``spans``.
 
     ``items`` are the ids, as sorted strings, of benchmark items of which some
     window occurs; ``spans`` are the hit words, as [start, end) word numbers.
@@ -186,14 +191,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(F.col(item_col).alias("id"), F.col(item_text).cast("string").alias("text")).where("id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, -(-total // index_bytes))
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    handed = "".join(f"`{c}` {kinds[c]}, " for c in keep)
     held = "items array<string>, spans array<struct<start:bigint,end:bigint>>"
+    whole = f"__id {kinds[id_col]}, {handed}n_words bigint, n_hit bigint, {held}"
+    partial = f"__id {kinds[id_col]}, __text string, {handed}{held}"
+    out = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"), *keep)
     for i in range(passes):
-        rows = items.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == i).collect() if passes > 1 else items.collect()  # bounded by index_bytes
+        rows = (items.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == i) if passes > 1 else items).collect()  # about index_bytes
         shared = spark.sparkContext.broadcast(Index([r.id for r in rows], [r.text for r in rows]))
         last = i == passes - 1
-        out = out.mapInArrow(_kernel(shared, last), f"id {kind}, n_words bigint, n_hit bigint, {held}" if last else f"id {kind}, text string, {held}")
+        out = out.mapInArrow(_kernel(shared, last, len(keep)), whole if last else partial)
         if not last:
             out = written(out, f"pass{i}")
-    return out.withColumnRenamed("id", id_col)
+    return out.withColumnRenamed("__id", id_col)
