@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import bpe, chat, langid, pii, quality, recompress, simhash, url_filter, winnow
+from quillstone.llm import bpe, chat, langid, media, pii, quality, recompress, simhash, url_filter, winnow
 from quillstone.sources.tables import table
 
 
@@ -104,6 +104,38 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def _rendered(vectors: DataFrame, edited: bool) -> DataFrame:
+    """(id, image): each vector as a grey image of 8 x 8 fields; edited: cropped, dimmed and with noise."""
+    import numpy as np
+    import pyarrow as pa
+
+    def kernel(batches):
+        for batch in batches:
+            images = []
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if v is None or len(v) != 64 or any(x is None for x in v):
+                    images.append(None)
+                    continue
+                grey = np.kron(np.clip(128 + 400 * np.array(v, float), 0, 255).reshape(8, 8), np.ones((8, 8)))
+                if edited:
+                    rng = np.random.default_rng(i or 0)
+                    y, x = rng.integers(2, 10, 2)
+                    grey = grey[y : y + 54, x : x + 54] * 0.85 + 15 + rng.normal(0, 3, (54, 54))
+                images.append(media.encode_pgm(grey))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(images, pa.binary())], names=["id", "image"])
+
+    return vectors.select("vec_id", "embedding").mapInArrow(kernel, "id bigint, image binary")
+
+
+def op10_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no images, so each vector of ``embeddings`` is drawn as one; every row divisible by 20 is asked for by an edited crop."""
+    vectors = table(spark, sf_dir, "embeddings")
+    classes, found = media.find_copies(_rendered(vectors, False), _rendered(vectors.where("vec_id % 20 = 0"), True))
+    lists = found.groupBy("query").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list("class_id")), lambda x: x.cast("string"))).alias("matches"), F.count("*").alias("n_matches"), F.max("agreeing").alias("most_agreeing"))
+    out = classes.join(lists, F.col("id") == F.col("query"), "left")
+    return out.select(F.col("id").alias("vec_id"), "class_id", F.coalesce(F.col("id") % 20 == 0, F.lit(False)).alias("is_query"), "matches", F.coalesce("n_matches", F.lit(0)).alias("n_matches"), "most_agreeing")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_url_filter": op2_url_filter,
@@ -114,6 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_chat_format": op7_chat_format,
     "op8_simhash": op8_simhash,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_media_copies": op10_media_copies,
 }
 
 #: Words of a lower-cased text (A-Z only).
