@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quillstone.queries import corpus, formulas, jobs, measures, relational
+from quillstone.queries.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "audit_flags"
+
+for _module in (corpus, measures, formulas, jobs, relational):
+    QUERIES |= _module.R.queries
+    ORACLES |= _module.R.oracles

@@ -22,8 +22,12 @@ class SparkSql:
         return f"CASE WHEN size({w}) >= {n} THEN transform(sequence(1, size({w}) - {n - 1}), i -> array_join(slice({w}, i, {n}), ' ')) ELSE array() END"
 
     def rows(self, source: str, array: str, pos: str, value: str) -> str:
-        """The source's rows, once for each entry of an array column; pos counts from 0."""
-        return f"(SELECT src.*, u.{pos}, u.{value} FROM {source} AS src LATERAL VIEW posexplode({array}) u AS {pos}, {value})"
+        """The source's rows, once for each entry of an array column; pos counts from 0.
+
+        The outer form keeps the optimizer from testing the array, and so
+        computing all that it is made of, a second time.
+        """
+        return f"(SELECT * FROM (SELECT src.*, u.{pos}, u.{value} FROM {source} AS src LATERAL VIEW OUTER posexplode({array}) u AS {pos}, {value}) WHERE {pos} IS NOT NULL)"
 
     def h32(self, s: str) -> str:
         return f"CAST(conv(substr(md5(cast({s} as binary)), 1, 8), 16, 10) AS BIGINT)"
@@ -99,6 +103,37 @@ class SparkSql:
     def micros(self, t: str) -> str:
         return f"unix_micros(CAST({t} AS TIMESTAMP))"
 
+    def split(self, t: str, pattern: str) -> str:
+        return f"split({t}, '{_escaped(pattern)}', -1)"
+
+    def pick(self, condition: str) -> str:
+        """Rows of the group that meet a condition."""
+        return f"count_if({condition})"
+
+    def try_int(self, t: str) -> str:
+        return f"try_cast(trim({t}) AS BIGINT)"
+
+    def try_double(self, t: str) -> str:
+        return f"try_cast({t} AS DOUBLE)"
+
+    def last(self, a: str) -> str:
+        return f"try_element_at({a}, -1)"
+
+    def chars(self, t: str) -> str:
+        return f"split({t}, '')"
+
+    def same(self, a: str, b: str) -> str:
+        return f"({a} <=> {b})"
+
+    def repeat(self, x: str, n: str) -> str:
+        return f"array_repeat({x}, {n})"
+
+    def cat(self, *arrays: str) -> str:
+        return f"concat({', '.join(arrays)})"
+
+    def rnd(self, x: str) -> str:
+        return f"round({x}, 6)"
+
     def json(self, t: str, key: str) -> str:
         return f"get_json_object({t}, '$.{key}')"
 
@@ -190,6 +225,27 @@ class DuckSql(SparkSql):
     def micros(self, t: str) -> str:
         return f"epoch_us({t})"
 
+    def split(self, t: str, pattern: str) -> str:
+        return f"regexp_split_to_array({t}, '{_quoted(pattern)}')"
+
+    def pick(self, condition: str) -> str:
+        return f"count(*) FILTER ({condition})"
+
+    def last(self, a: str) -> str:
+        return f"{a}[-1]"
+
+    def chars(self, t: str) -> str:
+        return f"string_split({t}, '')"
+
+    def same(self, a: str, b: str) -> str:
+        return f"({a} IS NOT DISTINCT FROM {b})"
+
+    def repeat(self, x: str, n: str) -> str:
+        return f"list_transform(range({n}), lambda rep: {x})"
+
+    def cat(self, *arrays: str) -> str:
+        return f"list_concat({', '.join(arrays)})" if len(arrays) == 2 else f"list_concat({arrays[0]}, {self.cat(*arrays[1:])})"
+
     def json(self, t: str, key: str) -> str:
         return f"json_extract_string({t}, '$.{key}')"
 

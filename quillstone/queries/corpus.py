@@ -27,10 +27,10 @@ def val_docs(docs: DataFrame) -> int:
 
 COUNTS = rf"""
 d AS (SELECT doc_id, coalesce(text, '') AS text, {W} AS w, {RAW} AS r FROM documents),
-g AS (SELECT doc_id, gram, count(*) AS c FROM (SELECT doc_id, unnest({DUCK.grams('w', 5)}) AS gram FROM d) GROUP BY ALL),
+g AS MATERIALIZED (SELECT doc_id, gram, count(*) AS c FROM (SELECT doc_id, unnest({DUCK.grams('w', 5)}) AS gram FROM d) GROUP BY ALL),
 rep AS (SELECT doc_id, sum(c) AS grams, coalesce(sum(c) FILTER (c > 1), 0) AS repeated FROM g GROUP BY doc_id),
 ln AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '[\s\x1c-\x1f\x{{85}}\p{{Z}}]+', '', 'g') <> '') AS l FROM d),
-counts AS (
+counts AS MATERIALIZED (
   SELECT doc_id, length(text) AS chars, len(w) AS words, length(array_to_string(w, '')) AS word_chars,
          CAST(coalesce(grams, 0) AS BIGINT) AS grams, CAST(coalesce(repeated, 0) AS BIGINT) AS repeated,
          length(regexp_replace(text, '[\x00-\x7F]', '', 'g')) AS wide_chars, len(r) AS raw_words,
@@ -40,7 +40,7 @@ counts AS (
 """
 RULES = ", ".join(f"CASE WHEN {rule} THEN '{name}' END" for name, rule in quality.RULES)
 BITS = " + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, (_, rule) in enumerate(quality.RULES))
-FLAGGED = f"flagged AS (SELECT doc_id, words, list_filter([{RULES}], lambda x: x IS NOT NULL) AS flags, CAST({BITS} AS BIGINT) AS flag_bits FROM counts)"
+FLAGGED = f"flagged AS MATERIALIZED (SELECT doc_id, words, list_filter([{RULES}], lambda x: x IS NOT NULL) AS flags, CAST({BITS} AS BIGINT) AS flag_bits FROM counts)"
 
 
 @R.frame("X01_normalized_words", f"SELECT doc_id, CAST(len(w) AS BIGINT) AS words, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, {W} AS w FROM documents)")
@@ -129,17 +129,17 @@ _SETS = f"""
 w AS (SELECT doc_id, {W} AS w FROM documents),
 sh AS (SELECT DISTINCT doc_id, {DUCK.h32('g')} % {dedup.PRIME} AS x FROM (SELECT doc_id, unnest({DUCK.grams('w', 5)}) AS g FROM w)),
 perms(i, a, b) AS (VALUES {_PERMS}),
-sig AS (SELECT doc_id, i, min((a * x + b) % {dedup.PRIME}) AS v FROM sh, perms GROUP BY doc_id, i)"""
+sig AS MATERIALIZED (SELECT doc_id, i, min((a * x + b) % {dedup.PRIME}) AS v FROM sh, perms GROUP BY doc_id, i)"""
 _CLUSTERS = f"""{_SETS},
 bands AS (SELECT doc_id, i // 8 AS band, list(v ORDER BY i) AS k FROM sig GROUP BY doc_id, i // 8),
-star AS (SELECT DISTINCT doc_id AS a, m AS b FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY band, k) AS m FROM bands) WHERE doc_id <> m),
-near AS (SELECT a, b FROM star JOIN sig p ON p.doc_id = a JOIN sig q ON q.doc_id = b AND q.i = p.i GROUP BY a, b HAVING count(*) FILTER (p.v = q.v) / 128 >= 0.8),
+star AS MATERIALIZED (SELECT DISTINCT doc_id AS a, m AS b FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY band, k) AS m FROM bands) WHERE doc_id <> m),
+near AS MATERIALIZED (SELECT a, b FROM star JOIN sig p ON p.doc_id = a JOIN sig q ON q.doc_id = b AND q.i = p.i GROUP BY a, b HAVING count(*) FILTER (p.v = q.v) / 128 >= 0.8),
 short AS (SELECT doc_id AS a, min(doc_id) OVER (PARTITION BY array_to_string(w, ' ')) AS b FROM w WHERE len(w) < 5),
-edges AS (SELECT a, b FROM near UNION SELECT a, b FROM short WHERE a <> b),
-both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+edges AS MATERIALIZED (SELECT a, b FROM near UNION SELECT a, b FROM short WHERE a <> b),
+both_ways AS MATERIALIZED (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 reach AS (SELECT a AS node, a AS other FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON r.other = e.a),
 roots AS (SELECT node, min(other) AS root FROM reach GROUP BY node),
-clusters AS (SELECT doc_id, coalesce(root, doc_id) AS cluster FROM documents LEFT JOIN roots ON node = doc_id)"""
+clusters AS MATERIALIZED (SELECT doc_id, coalesce(root, doc_id) AS cluster FROM documents LEFT JOIN roots ON node = doc_id)"""
 
 
 @R.frame("D04_minhash_signatures", f"WITH {_SETS} SELECT doc_id, md5(string_agg(CAST(v AS VARCHAR), ',' ORDER BY i)) AS digest FROM sig GROUP BY doc_id")
@@ -168,7 +168,7 @@ def _grams(source: str, id_: str, n: int = 13, words: str = W) -> str:
     return f"(SELECT DISTINCT {id_}, unnest({DUCK.grams('w', n)}) AS gram FROM (SELECT {id_}, {words} AS w FROM {source}))"
 
 
-_HITS = f"""dg AS {_grams('documents', 'doc_id')}, bg AS {_grams('benchmark', 'item_id')},
+_HITS = f"""dg AS MATERIALIZED {_grams('documents', 'doc_id')}, bg AS {_grams('benchmark', 'item_id')},
 own AS (SELECT gram, min(item_id) AS item_id FROM bg GROUP BY gram),
 hits AS (SELECT doc_id, item_id, count(*) AS matched FROM dg JOIN own USING (gram) GROUP BY doc_id, item_id)"""
 
@@ -183,7 +183,7 @@ def hits_all(spark, sf_dir):
     return contamination.benchmark_hits(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), owners="all")
 
 
-@R.frame("D16_raw_word_hits", f"WITH dg AS {_grams('documents', 'doc_id', words=RAW)}, bg AS {_grams('benchmark', 'item_id', words=RAW)} SELECT doc_id, item_id, count(*) AS matched FROM dg JOIN bg USING (gram) GROUP BY doc_id, item_id")
+@R.frame("D16_raw_word_hits", f"WITH dg AS MATERIALIZED {_grams('documents', 'doc_id', words=RAW)}, bg AS {_grams('benchmark', 'item_id', words=RAW)} SELECT doc_id, item_id, count(*) AS matched FROM dg JOIN bg USING (gram) GROUP BY doc_id, item_id")
 def hits_raw(spark, sf_dir):
     return contamination.benchmark_hits(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), owners="all", raw=True)
 
@@ -205,7 +205,7 @@ def strongest(spark, sf_dir):
     return contamination.strongest(contamination.benchmark_hits(documents(spark, sf_dir), items), items)
 
 
-_LEAK = f"""n AS (SELECT count(*) // 10 AS v FROM documents), dg AS {_grams('documents', 'doc_id')},
+_LEAK = f"""n AS (SELECT count(*) // 10 AS v FROM documents), dg AS MATERIALIZED {_grams('documents', 'doc_id')},
 vg AS (SELECT doc_id, gram FROM dg, n WHERE doc_id < v), tg AS (SELECT doc_id, gram FROM dg, n WHERE doc_id >= v),
 seen AS (SELECT DISTINCT gram, 1 AS hit FROM tg),
 leak AS (SELECT d.doc_id, count(gram) AS grams, count(hit) AS seen FROM (SELECT doc_id FROM documents, n WHERE doc_id < v) d LEFT JOIN vg ON vg.doc_id = d.doc_id LEFT JOIN seen USING (gram) GROUP BY d.doc_id),
@@ -253,7 +253,7 @@ def full_audit(spark, sf_dir):
 
 @R.frame(
     "A10_audit_summary",
-    f"""{_AUDIT} SELECT count(*) AS docs, count_if(is_val) AS val, CAST(count_if(NOT is_val AND flag_bits > 0) AS BIGINT) AS flagged, CAST(count_if(near_dup) AS BIGINT) AS near_duplicates,
+    f"""{_AUDIT} SELECT count(*) AS docs, CAST(count_if(is_val) AS BIGINT) AS val, CAST(count_if(NOT is_val AND flag_bits > 0) AS BIGINT) AS flagged, CAST(count_if(near_dup) AS BIGINT) AS near_duplicates,
     CAST(count_if(NOT is_val AND val_cluster) AS BIGINT) AS near_val, CAST(count_if(NOT is_val AND shared >= 1) AS BIGINT) AS share_one, CAST(count_if(NOT is_val AND shared >= 50) AS BIGINT) AS share_fifty,
     CAST(count_if(bench_items > 0) AS BIGINT) AS bench_docs, CAST(count_if(keep) AS BIGINT) AS curated, CAST(count_if(keep_strict) AS BIGINT) AS strict FROM kept""",
 )

@@ -34,9 +34,11 @@ class Registry:
         spark_text, duck_text = build(SPARK), build(DUCK)
         used = [t for t in TABLES if re.search(rf"\b{t}\b", spark_text)]
 
+        named = re.compile(rf"\b(FROM|JOIN)\s+({'|'.join(used) or 'none'})\b")
+
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            # tables are bound as arguments, not as views, so queries share nothing
-            return spark.sql(re.sub(rf"\b(FROM|JOIN)\s+({'|'.join(used)})\b", r"\1 {\2}", _braced(spark_text)) if used else spark_text, **{t: table(spark, sf_dir, t) for t in used}) if used else spark.sql(spark_text)
+            # tables are bound as arguments, not as shared views
+            return spark.sql(named.sub(r"\1 {\2} AS \2", _braced(spark_text)), **{t: table(spark, sf_dir, t) for t in used})
 
         self.queries[name] = run
         self.oracles[name] = duck_text
