@@ -13,7 +13,8 @@ def big(x: str, name: str) -> str:
 
 
 def near(x: str, name: str) -> str:
-    return f"round(CAST({x} AS DOUBLE), 6) AS {name}"
+    """Six decimals; adding zero makes a negative zero plain."""
+    return f"round(CAST({x} AS DOUBLE), 6) + 0e0 AS {name}"
 
 
 def tokens(d: SparkSql) -> str:
@@ -361,7 +362,7 @@ def _(d):
 
 @sql("W16_group_centred_reward")
 def _(d):
-    return f"WITH {scored(d)} SELECT prompt, idx, {near('score - avg(score) OVER (PARTITION BY prompt)', 'advantage')} FROM s"
+    return f"WITH {scored(d)} SELECT prompt, idx, {near('score - avg(score) OVER (PARTITION BY prompt) + 1e-9', 'advantage')} FROM s"
 
 
 @sql("W17_nucleus")
