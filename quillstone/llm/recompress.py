@@ -234,17 +234,18 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     source = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("body"), text.alias("text"))
     key = ["doc", "body"]
     found = written(source.where("doc is not null").mapInArrow(_anchor_kernel(window), f"doc {kind}, body bigint, anchor bigint, span bigint, lo int, hi int"), "anchors")
-    met = found.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("anchor")
+    # tables that others are joined with are written first: a join of two plain exchanges can split a hot key
+    met = written(found.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("anchor"), "met")
     shared = written(found.join(met, "anchor", "left_semi"), "shared")
-    first = shared.groupBy("anchor", "span").agg(F.min("doc").alias("first_doc"))
-    spans = shared.join(first, ["anchor", "span"])
+    first = written(shared.groupBy("anchor", "span").agg(F.min("doc").alias("first_doc")), "first")
+    spans = written(shared.join(first, ["anchor", "span"]), "spans")
     whole = spans.where("doc > first_doc").select(*key, "lo", "hi")
-    unlike = first.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    unlike = written(first.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "unlike")
     open_ = spans.where("doc = first_doc").join(unlike, "anchor", "left_semi")
     open_ = open_.groupBy(*key).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
     singles = source.join(open_, key).select(*key, "text", "ranges").mapInArrow(_window_kernel(window), f"doc {kind}, body bigint, k1 bigint, k2 bigint, lo int")
     singles = written(singles, "windows")
-    earlier = singles.groupBy("k1", "k2").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b")
+    earlier = written(singles.groupBy("k1", "k2").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b"), "earlier")
     one = singles.join(earlier, ["k1", "k2"]).where("doc > a").select(*key, "lo", F.col("lo").alias("hi"))
     ranges = written(whole.union(one).groupBy(*key).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "ranges")
     out = source.join(ranges, key, "left").select(F.col("doc").alias("id"), "text", "ranges")
