@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -30,7 +30,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > self.size:
-            size = max(n, 2 * BLOCK_BYTES)
+            size = max(n + n // 8, 1 << 16)
             self.up = _powers(self.base, size)
             self.down = _powers(self.inverse, size)
             self.size = size
