@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from quillstone.queries import corpus, formulas, jobs, measures, relational
+from quillstone.queries import corpus, formulas, inventory, jobs, measures, relational
 from quillstone.queries.registry import Query
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "audit_flags"
 
-for _module in (corpus, measures, formulas, jobs, relational):
+for _module in (corpus, measures, formulas, jobs, inventory, relational):
     QUERIES |= _module.R.queries
     ORACLES |= _module.R.oracles

@@ -15,7 +15,9 @@ BROADCAST_GRAMS = 2_000_000
 def grams_of(rows: DataFrame, id_col: str, text_col: str = "text", n: int = GRAM, raw: bool = False) -> DataFrame:
     """(id, gram): the distinct grams of each text; none of texts with fewer words."""
     words = (T.raw_words if raw else T.normalized_words)(F.coalesce(F.col(text_col), F.lit("")))
-    return rows.select(F.col(id_col), words.alias("w")).select(id_col, F.explode(F.array_distinct(T.ngrams(F.col("w"), n))).alias("gram"))
+    sets = rows.select(F.col(id_col), words.alias("w")).select(id_col, F.array_distinct(T.ngrams(F.col("w"), n)).alias("g"))
+    # the outer form: a plain explode would have the array tested, and so made, a second time
+    return sets.select(id_col, F.explode_outer("g").alias("gram")).where("gram is not null")
 
 
 def sized(side: DataFrame, limit: int = BROADCAST_GRAMS) -> DataFrame:

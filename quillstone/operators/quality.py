@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
+from quillstone.plans.barrier import computed_once
 
 #: Fixed: the rules, in order.  Shares are compared by whole numbers, so no rounding decides.
 RULES: list[tuple[str, str]] = [
@@ -33,7 +34,7 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     d = d.withColumn("g", grams)
     n = F.size("g")
     repeated = F.size(F.filter(F.transform("g", lambda x, i: (F.get("g", i - 1) == x) | (F.get("g", i + 1) == x)), lambda b: F.coalesce(b, F.lit(False))))
-    return d.select(
+    counts = d.select(
         "doc_id",
         F.char_length("text").cast("bigint").alias("chars"),
         F.size("w").cast("bigint").alias("words"),
@@ -46,6 +47,7 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.size("l").cast("bigint").alias("text_lines"),
         F.size(F.filter("l", lambda x: x.rlike(r"^\s*[•\-*]"))).cast("bigint").alias("bullets"),
     )
+    return computed_once(counts)
 
 
 def signals(counts: DataFrame) -> DataFrame:
