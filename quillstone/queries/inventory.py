@@ -144,7 +144,7 @@ def shingle_sets(spark, sf_dir):
     return s.select("doc_id", F.size("shingles").cast("bigint").alias("shingles"), F.array_min("shingles").alias("least"), F.array_max("shingles").alias("most"))
 
 
-@R.frame("D03_hash_family", "SELECT i, a, b FROM (VALUES " + ", ".join(f"({i}, {a}, {b})" for i, (a, b) in ((i, dedup.permutation(i)) for i in range(dedup.PERMUTATIONS))) + ") v(i, a, b)")
+@R.frame("D03_hash_family", "SELECT i, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM (VALUES " + ", ".join(f"({i}, {a}, {b})" for i, (a, b) in ((i, dedup.permutation(i)) for i in range(dedup.PERMUTATIONS))) + ") v(i, a, b)")
 def hash_family(spark, sf_dir):
     digits = lambda p: F.conv(F.substring(F.md5(F.concat(F.lit(p), F.col("i").cast("string")).cast("binary")), 1, 8), 16, 10).cast("bigint")
     i = spark.range(dedup.PERMUTATIONS).select(F.col("id").cast("int").alias("i"))

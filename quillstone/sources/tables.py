@@ -8,9 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+#: Tables whose rows cost much to work on, and may come in one small file.
+_HEAVY = {"documents", "pages", "embeddings"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table of a folder; only Spark's readers touch the path."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One table of a folder; only Spark's readers touch the path.
+
+    A heavy table that is read in fewer partitions than there are cores is dealt
+    out over them; larger ones have more partitions and stay as they are.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in _HEAVY and df.rdd.getNumPartitions() < min(cores, 16):
+        return df.repartition(cores)
+    return df
 
 
 def register(spark: SparkSession, sf_dir: str, *names: str) -> None:
