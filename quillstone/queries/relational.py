@@ -55,7 +55,7 @@ def _(d):
 
 @sql("x_rollup")
 def _(d):
-    return f"SELECT l_returnflag, l_linestatus, {big('count(*)', 'n')}, {near('avg(l_discount)', 'discount')} FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)"
+    return f"SELECT l_returnflag, l_linestatus, {big('count(*)', 'n')}, {near('avg(l_discount) + 1e-9', 'discount')} FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)"
 
 
 @sql("x_grouping_sets")
