@@ -39,8 +39,8 @@ def bit_majorities(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(block: B.Block, width: int = 3) -> np.ndarray:
-    """64-bit SimHash of each text of a block."""
+def shingle_hashes(block: B.Block, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the word shingles of each text of a block, and where each text's begin (n + 1 entries)."""
     words = B.Words(block, B.SPACED, lower=True)
     buf, start, end = B.joined(words)
     count = np.diff(words.first)
@@ -50,7 +50,12 @@ def fingerprints(block: B.Block, width: int = 3) -> np.ndarray:
     h = B.xxh64_spans(buf, start[at], end[at + span - 1]) if len(at) else np.zeros(0, U64)
     first = np.zeros(block.n + 1, np.int64)
     np.cumsum(shingles, out=first[1:])
-    return bit_majorities(h, first)
+    return h, first
+
+
+def fingerprints(block: B.Block, width: int = 3) -> np.ndarray:
+    """64-bit SimHash of each text of a block."""
+    return bit_majorities(*shingle_hashes(block, width))
 
 
 HALVES = (0, 1)
