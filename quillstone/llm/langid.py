@@ -18,7 +18,7 @@ from quillstone.plans.store import small_batches
 #: Labelled documents that the trigram counts are taken from, about, whatever the corpus holds.
 TRAIN_DOCS = 6000
 BUCKET_BITS = 16
-ROUNDS, MOST_LANGUAGES = 12, 4
+ROUNDS = 12
 #: Log-likelihood that a further language must add, as a multiple of log(trigrams) / 2.
 PENALTY = 8.0
 SMOOTHING = 0.5
@@ -99,7 +99,7 @@ class Model:
                 full, bound = self._em(p, weight, local, first, np.ones((len(live), len(self.languages))))
                 price = PENALTY * 0.5 * np.log(np.maximum(np.add.reduceat(weight, first), 2))
                 rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1)
-                for k in range(2, min(MOST_LANGUAGES, len(self.languages)) + 1):
+                for k in range(2, len(self.languages) + 1):
                     # no set of k can pass the likelihood of all languages together
                     open_ = np.flatnonzero(bound - price * (k - 1) > best)
                     if not len(open_):
