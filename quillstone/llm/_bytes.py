@@ -8,6 +8,7 @@ making Python strings.  Work is done in blocks of at most ``BLOCK_BYTES``
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,14 +19,12 @@ import xxhash
 BLOCK_BYTES = 1 << 19
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 class _Powers:
     """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
 
-    def __init__(self, base: int = _BASE):
+    def __init__(self, base: int):
         self.base, self.inverse, self.size = base, pow(base, -1, 1 << 64), 0
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,8 +42,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-BYTE_POWERS = _Powers()
-WORD_POWERS = (_Powers(0xD6E8FEB86659FD93), _Powers(0xC2B2AE3D27D4EB4F))
+WORD_POWERS = _Powers(0xD6E8FEB86659FD93)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -142,24 +140,25 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        up, down = BYTE_POWERS.get(len(self.buf) + 1)
-        total = np.zeros(len(self.buf) + 1, U64)
-        np.cumsum((self.buf.astype(U64) + U64(1)) * up[:-1], out=total[1:])
-        h = (total[self.end] - total[self.start]) * down[self.start]
-        h ^= (self.end - self.start).astype(U64) * U64(0xA0761D6478BD642F)
-        return mix64(h)
-
-
-def span_hashes(names: np.ndarray, start: np.ndarray, length, which: int = 0) -> np.ndarray:
-    """64-bit hashes of ``names[start : start + length]`` for many spans at once."""
-    up, down = WORD_POWERS[which].get(len(names) + 1)
+        """A 64-bit hash of each word's bytes; equal hashes are a hint, callers compare bytes or digests."""
+        return xxh64_spans(self.buf, self.start, self.end)
+
+
+def span_hashes(names: np.ndarray, start: np.ndarray, length) -> np.ndarray:
+    """64-bit hashes of ``names[start : start + length]`` for many spans at once, to find what may be equal."""
+    up, down = WORD_POWERS.get(len(names) + 1)
     total = np.zeros(len(names) + 1, U64)
     np.cumsum(names * up[:-1], out=total[1:])
     h = (total[start + length] - total[start]) * down[start]
     return mix64(h ^ (np.asarray(length).astype(U64) * U64(0xE7037ED1A0B428DB)))
 
 
+def digests(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+    """16-byte BLAKE2b digests of each ``buf[start:end]``: equal only if the bytes are."""
+    view = memoryview(np.ascontiguousarray(buf))
+    return [hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+
+
 def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Indices start[0]..start[0]+length[0]-1, start[1].. and so on."""
     total = int(length.sum())

@@ -53,13 +53,6 @@ def read_ranks(path: str) -> list[bytes]:
     return [tokens[i] for i in range(len(tokens))]
 
 
-def bytes_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    up, down = B.BYTE_POWERS.get(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, U64)
-    np.cumsum((buf.astype(U64) + U64(1)) * up[:-1], out=total[1:])
-    return B.mix64(((total[end] - total[start]) * down[start]) ^ ((end - start).astype(U64) * U64(0xA0761D6478BD642F)))
-
-
 class PerfectHash:
     """Minimal perfect hash of distinct 64-bit values: value -> its index.
 
@@ -122,7 +115,7 @@ class Codec:
         self.blob = np.frombuffer(b"".join(tokens), np.uint8)
         self.end = np.cumsum(size)
         self.start = self.end - size
-        self.hashes = bytes_hashes(self.blob, self.start, self.end)
+        self.hashes = B.xxh64_spans(self.blob, self.start, self.end)
         self.perfect = PerfectHash(self.hashes)
         self.classes = class_table()
         digits = [str(i).encode() + b" " for i in range(len(tokens))]
@@ -224,14 +217,30 @@ class Codec:
                 self.young[piece] = ids
         return ids
 
+    @staticmethod
+    def _unlike(block: B.Block, start: np.ndarray, end: np.ndarray, model: np.ndarray) -> np.ndarray:
+        """Pieces whose bytes are not those of the piece numbered ``model``."""
+        size = end - start
+        bad = size != size[model]
+        at = np.flatnonzero(~bad & (model != np.arange(len(model))))
+        if len(at):
+            n = size[at]
+            same = block.buf[B.ragged(start[at], n)] == block.buf[B.ragged(start[model[at]], n)]
+            bad[at] = ~np.logical_and.reduceat(same, np.cumsum(n) - n)
+        return np.flatnonzero(bad)
+
     def encode(self, block: B.Block) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a block, and where each text's begin (n + 1 entries)."""
         start, end = self.pretokens(block)
         if not len(start):
             return np.zeros(0, np.int64), np.zeros(block.n + 1, np.int64)
-        _, first, code = np.unique(bytes_hashes(block.buf, start, end), return_index=True, return_inverse=True)
+        hashes, first, code = np.unique(B.xxh64_spans(block.buf, start, end), return_index=True, return_inverse=True)
+        unlike = self._unlike(block, start, end, first[code])
+        if len(unlike):  # pieces that only share a hash with their class's first stand for themselves
+            code[unlike] = len(first) + np.arange(len(unlike))
+            first, hashes = np.append(first, unlike), np.append(hashes, B.xxh64_spans(block.buf, start[unlike], end[unlike]))
         s, e = start[first], end[first]
-        found = self.perfect(bytes_hashes(block.buf, s, e))
+        found = self.perfect(hashes)
         size = self.end[found] - self.start[found]
         match = size == e - s
         at = np.flatnonzero(match)

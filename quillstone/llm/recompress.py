@@ -14,9 +14,12 @@ occurs: its anchor.  Spark then joins on anchors:
 
 1. anchors found in one document only are dropped;
 2. the words that all windows of one anchor occurrence cover (its span) are
-   compared by hash: a span that an earlier document has is a repeat as a whole;
+   compared by a digest of their bytes: a span that an earlier document has is
+   a repeat as a whole;
 3. of anchors with unlike spans, the windows of one document per span are
-   compared one by one.
+   compared one by one, by digests of their bytes too.
+
+So a name only says what may be equal; nothing is removed on names alone.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from quillstone.plans.store import small_batches, written
 
 U64 = np.uint64
 WINDOW = 50
+#: Rounds, as many as leave a symbol whole inside a core of ``WINDOW`` words: each makes symbols about 3/2 as long.
 ROUNDS = 4
 #: Rounds that name runs before they name pairs.
 RUN_ROUNDS = frozenset({0})
@@ -151,11 +155,12 @@ def _anchor_kernel(window: int):
                 first = np.flatnonzero(np.concatenate([[True], np.diff(place[order]) != 0]))
                 last = np.append(first[1:], len(order)) - 1
                 lo, hi, name = start[order[first]], start[order[last]], anchor[order[first]]
-                span = B.span_hashes(names, lo, hi - lo + window, which=1)
+                buf, begins, ends = B.joined(words)
+                span = B.digests(buf, begins[lo], ends[hi + window - 1])
                 owner = text[lo]
                 begin = words.first[owner]
                 yield pa.RecordBatch.from_arrays(
-                    [_rows(batch, block, 0, owner), _rows(batch, block, 1, owner), pa.array(name.view(np.int64)), pa.array(span.view(np.int64)), pa.array((lo - begin).astype(np.int32)), pa.array((hi - begin).astype(np.int32))],
+                    [_rows(batch, block, 0, owner), _rows(batch, block, 1, owner), pa.array(name.view(np.int64)), pa.array(span, pa.binary()), pa.array((lo - begin).astype(np.int32)), pa.array((hi - begin).astype(np.int32))],
                     names=["doc", "body", "anchor", "span", "lo", "hi"],
                 )
 
@@ -168,7 +173,6 @@ def _window_kernel(window: int):
             ranges = batch.column(3).to_pylist()
             for block in B.blocks(batch.column(2)):
                 words = B.Words(block, B.SPACED)
-                names = words.hashes() if len(words) else np.zeros(0, U64)
                 starts = []
                 for i in range(block.n):
                     own = np.zeros(int(words.first[i + 1] - words.first[i]) + 1, np.int64)
@@ -180,9 +184,11 @@ def _window_kernel(window: int):
                 if not len(at):
                     continue
                 owner = words.text_of()[at]
+                buf, begins, ends = B.joined(words)
+                digest = B.digests(buf, begins[at], ends[at + window - 1])
                 yield pa.RecordBatch.from_arrays(
-                    [_rows(batch, block, 0, owner), _rows(batch, block, 1, owner), pa.array(B.span_hashes(names, at, window, 0).view(np.int64)), pa.array(B.span_hashes(names, at, window, 1).view(np.int64)), pa.array((at - words.first[owner]).astype(np.int32))],
-                    names=["doc", "body", "k1", "k2", "lo"],
+                    [_rows(batch, block, 0, owner), _rows(batch, block, 1, owner), pa.array(digest, pa.binary()), pa.array((at - words.first[owner]).astype(np.int32))],
+                    names=["doc", "body", "digest", "lo"],
                 )
 
     return run
@@ -233,7 +239,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     source = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("body"), text.alias("text"))
     key = ["doc", "body"]
-    found = written(source.where("doc is not null").mapInArrow(_anchor_kernel(window), f"doc {kind}, body bigint, anchor bigint, span bigint, lo int, hi int"), "anchors")
+    found = written(source.where("doc is not null").mapInArrow(_anchor_kernel(window), f"doc {kind}, body bigint, anchor bigint, span binary, lo int, hi int"), "anchors")
     # tables that others are joined with are written first: a join of two plain exchanges can split a hot key
     met = written(found.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("anchor"), "met")
     shared = written(found.join(met, "anchor", "left_semi"), "shared")
@@ -243,10 +249,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     unlike = written(first.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "unlike")
     open_ = spans.where("doc = first_doc").join(unlike, "anchor", "left_semi")
     open_ = open_.groupBy(*key).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
-    singles = source.join(open_, key).select(*key, "text", "ranges").mapInArrow(_window_kernel(window), f"doc {kind}, body bigint, k1 bigint, k2 bigint, lo int")
+    singles = source.join(open_, key).select(*key, "text", "ranges").mapInArrow(_window_kernel(window), f"doc {kind}, body bigint, digest binary, lo int")
     singles = written(singles, "windows")
-    earlier = written(singles.groupBy("k1", "k2").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b"), "earlier")
-    one = singles.join(earlier, ["k1", "k2"]).where("doc > a").select(*key, "lo", F.col("lo").alias("hi"))
+    earlier = written(singles.groupBy("digest").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b"), "earlier")
+    one = singles.join(earlier, "digest").where("doc > a").select(*key, "lo", F.col("lo").alias("hi"))
     ranges = written(whole.union(one).groupBy(*key).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "ranges")
     out = source.join(ranges, key, "left").select(F.col("doc").alias("id"), "text", "ranges")
     return out.mapInArrow(_removal_kernel(window), f"id {kind}, n_words bigint, n_removed bigint, kept string").withColumnRenamed("id", id_col)
