@@ -110,12 +110,29 @@ def test_substrings_equal_brute_force(spark):
     assert got == want
 
 
-def test_decontamination_in_blocks_equals_one_index(spark, sf_dir):
-    docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    one = winnow.decontaminate(docs, bench, keep=("lang",)).select("doc_id", "lang", "n_words", "n_hit", "items", "spans")
-    many = winnow.decontaminate(docs, bench, index_bytes=1500, keep=("lang",)).select(one.columns)
-    assert one.where("n_hit > 0").count() > 0
-    assert sorted(map(repr, one.collect())) == sorted(map(repr, many.collect()))
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(5)
+    vocab = "a B c d".split()
+    items = [" ".join(rng.choices(vocab, k=n)) for n in (1, 3, 7, 9, 10, 11, 25, 25)] + ["", None]
+    rows = list(enumerate(items)) + [(7, items[7]), (50, items[7]), (None, "a")]
+    docs = [(i, "-".join(rng.choices(vocab, k=rng.randint(0, 60))), "x") for i in range(60)] + [(70, items[7] + " x " + items[2], "y"), (70, "q", "z"), (71, None, "y"), (None, items[6], None), (72, "é ü", "y"), (72, "é ü", "y")]
+    want = []
+    for i, text, lang in docs:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
+        hit, found = set(), set()
+        for j, item in rows:
+            v = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (item or "").lower())
+            n = min(10, len(v))
+            wins = {tuple(v[s : s + n]) for s in range(len(v) - n + 1)} if n and j is not None else set()
+            for s in range(len(w) - n + 1):
+                if tuple(w[s : s + n]) in wins:
+                    hit |= set(range(s, s + n))
+                    found.add(str(j))
+        want.append((i, lang, len(w), len(hit), sorted(found)))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    got = winnow.decontaminate(df, spark.createDataFrame(rows, "item_id bigint, text string"), keep=("lang",)).collect()
+    assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.lang, r.n_words, r.n_hit, r["items"])) for r in got)
+    assert all(r.n_hit == sum(s.end - s.start for s in r.spans) for r in got)
 
 
 def test_redaction_takes_the_spans_out(spark, docs):
