@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     held = spark.sparkContext.getCheckpointDir()
     if held is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillstone-"))
         held = spark.sparkContext.getCheckpointDir()
     return held.rstrip("/")
@@ -49,3 +53,15 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     held = int(spark.conf.get(key))
     if held <= 0 or held > rows:
         spark.conf.set(key, str(rows))
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows, for jobs that run inside; the session's own limit is put back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(key)
+    small_batches(spark, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, held)
