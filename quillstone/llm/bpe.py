@@ -321,8 +321,8 @@ def decode(tokens: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col:
     return tokens.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(kernel, f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
-def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and decode in one pass: id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and ``exact``.
+def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encode and decode in one pass: id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and ``exact``; on demand ``ids``.
 
     ``exact`` says that the decoded bytes are the text's own.  Null and empty
     texts have no tokens.  Rows stay as they are; an empty table gives none;
@@ -340,11 +340,12 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
                 numbers = _digests(*codec.decimal(ids, first), trim=1)
                 texts = _digests(text, at)
                 exact = [np.array_equal(text[a:b], block.buf[c : d - 1]) for a, b, c, d in zip(at[:-1], at[1:], block.at[:-1], block.at[1:], strict=True)]
+                lists = [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))] if with_ids else []
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(block.lo, block.n), pa.array(np.diff(first)), pa.array(numbers, pa.string()), pa.array(texts, pa.string()), pa.array(exact, pa.bool_())],
-                    names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "exact"],
+                    [batch.column(0).slice(block.lo, block.n), pa.array(np.diff(first)), pa.array(numbers, pa.string()), pa.array(texts, pa.string()), pa.array(exact, pa.bool_()), *lists],
+                    names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "exact", *["ids"] * with_ids],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return out.mapInArrow(kernel, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, exact boolean").withColumnRenamed("id", id_col)
+    return out.mapInArrow(kernel, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, exact boolean" + ", ids array<int>" * with_ids).withColumnRenamed("id", id_col)

@@ -210,7 +210,8 @@ def test_pipeline_equals_a_plain_version(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scored = corpus_pipeline.quality_classifier(spark, docs, sf_dir)
     kept = {r.doc_id: r.text for r in scored.collect()}
-    prints = {r.id: r.fp & (2**64 - 1) for r in simhash.fingerprint_table(docs).collect()}
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for i, t in kept.items()}
+    sets = {i: frozenset(tuple(w[s : s + 5]) for s in range(max(1, len(w) - 4))) if w else frozenset() for i, w in words.items()}
     parent = {i: i for i in kept}
 
     def find(i):
@@ -221,7 +222,8 @@ def test_pipeline_equals_a_plain_version(spark, sf_dir):
     ids = sorted(kept)
     for a in ids:
         for b in ids:
-            if a < b and bin(prints[a] ^ prints[b]).count("1") <= 3:
+            both, either = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            if a < b and (not either or both / either >= 0.8):
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
     items = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (r.text or "").lower()) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
@@ -233,7 +235,21 @@ def test_pipeline_equals_a_plain_version(spark, sf_dir):
         if find(i) == i and not any(tuple(w[s : s + n]) in windows for n in sizes for s in range(len(w) - n + 1)):
             clean.add(i)
     out = corpus_pipeline.run(spark, sf_dir)
-    assert {r.doc_id for r in out.collect()} == clean
+    assert {r.doc_id for r in out.collect()} == clean and out.where("not exact").count() == 0
     texts = {r.doc_id: r.text for r in corpus_pipeline.personal_data(spark, docs.where(F.col("doc_id").isin(sorted(clean))), sf_dir).collect()}
     back = {r.doc_id: r.text for r in bpe.decode(out, corpus_pipeline.vocabulary()).collect()}
     assert {i: hashlib.sha256(t.encode()).hexdigest() for i, t in back.items()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in texts.items()}
+
+
+def test_pipeline_stages_take_every_row(spark, sf_dir):
+    import corpus_pipeline
+
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, score double, items string"
+    docs = spark.createDataFrame([(i, t, None, "s", len(t or ""), "x", 0.1, "y") for i, t in DOCS], schema)
+    n = {name: f(spark, docs, sf_dir) for name, f in corpus_pipeline.STAGES}
+    for (name, f), columns in zip(corpus_pipeline.STAGES, [corpus_pipeline.COLUMNS] * 4 + [["doc_id", "ids", "n_tokens", "decoded_sha256", "exact"]]):
+        assert n[name].columns == columns and f(spark, docs.where("false"), sf_dir).count() == 0, name
+    # ids 2, 3 and 6 have no words, 4 is a copy of 1, and one row of 4 repeats the other
+    assert sorted(r.doc_id or 0 for r in n["simhash near-dedup"].collect()) == [0, 1, 2, 5, 7]
+    assert n["benchmark decontamination"].count() == n["personal data"].count() == n["byte-level BPE"].count() == len(DOCS)
+    assert n["byte-level BPE"].where("exact").count() == len(DOCS)
