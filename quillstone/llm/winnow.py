@@ -193,9 +193,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spans = hits.groupBy("__id", "__body").agg(F.collect_set(F.struct("start", "end")).alias("met")).mapInArrow(_union, f"__id {kind}, __body bigint, n_hit bigint, spans array<struct<start:bigint,end:bigint>>")
     of = hits.select("__id", "__body", "cls").distinct().join(members, "cls").select("__id", "__body", "item").distinct()
     of = of.groupBy("__id", "__body").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    same = lambda a, b: a["__id"].eqNullSafe(b["__id"]) & (a["__body"] == b["__body"])
-    spans, of = written(spans, "spans"), written(of, "items")
-    met = spans.join(of, same(spans, of)).select(spans["__id"].alias("i"), spans["__body"].alias("b"), "n_hit", "items", "spans")
+    of = of.select(F.col("__id").alias("i2"), F.col("__body").alias("b2"), "items")
+    met = spans.join(of, F.col("__id").eqNullSafe(F.col("i2")) & (F.col("__body") == F.col("b2"))).select(F.col("__id").alias("i"), F.col("__body").alias("b"), "n_hit", "items", "spans")
     no_items, no_spans = F.array().cast("array<string>"), F.array().cast("array<struct<start:bigint,end:bigint>>")
     columns = ["__id", *keep, "n_words", "n_hit", "items", "spans"]
     clear = scanned.where("size(__found) = 0").select("__id", *keep, "n_words", F.lit(0).cast("bigint").alias("n_hit"), no_items.alias("items"), no_spans.alias("spans"))
