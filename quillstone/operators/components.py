@@ -2,7 +2,9 @@
 
 Each round is two group-bys with partial aggregation and two joins, all on
 node keys, so no component is ever gathered in one task or on the driver.
-Rounds are separated by ``checkpoint()``, which survives lost executors.
+Rounds are separated by ``checkpoint()``, which survives lost executors.  In a
+large graph the aggregates are written before they are joined back: a join of
+two plain exchanges can split the links of a hub, one with an aggregate can't.
 """
 
 from __future__ import annotations
@@ -10,19 +12,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.plans.store import checkpointed
+from quillstone.plans.store import checkpointed, written
 
+#: Links from which on aggregates are written; below, they are small enough for any task.
+LARGE = 1_000_000
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _large_star(edges: DataFrame, large: bool) -> DataFrame:
     """Every neighbour above a node is linked to the node's least neighbour."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = written(least, "least") if large else least
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, large: bool) -> DataFrame:
     """Every node's lower neighbours, and the node, are linked to the least of them."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = written(least, "least") if large else least
     low = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return low.union(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -42,7 +49,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if (state.n, state.h) == seen or not state.n:
             break
         seen = (state.n, state.h)
-        e = checkpointed(_small_star(_large_star(e)))
+        large = state.n >= LARGE
+        e = _large_star(e, large)
+        e = checkpointed(_small_star(checkpointed(e) if large else e, large))
     else:
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()

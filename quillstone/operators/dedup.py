@@ -65,7 +65,8 @@ def candidates(sigs: DataFrame, bands: int = BANDS) -> DataFrame:
     keys = F.array(*[F.xxhash64(F.lit(i), *[F.col("sig")[i * rows + j] for j in range(rows)]) for i in range(bands)])
     entries = sigs.where("sig is not null").select("doc_id", F.explode(keys).alias("key"))
     least = entries.groupBy("key").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
-    return entries.join(least, "key").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
+    # written, so that the join is of two plain exchanges and a hot bucket can be split
+    return entries.join(written(least, "buckets"), "key").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
@@ -78,7 +79,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left, right = sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb"))
     near = pairs.join(left, "a").join(right, "b").where(estimate(F.col("sa"), F.col("sb")) >= similar).select("a", "b")
     short = sigs.where("sig is null")
-    first = short.groupBy("norm").agg(F.min("doc_id").alias("b"))
+    first = written(short.groupBy("norm").agg(F.min("doc_id").alias("b")), "short")
     equal = short.join(first, "norm").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
     roots = connected_components(near.union(equal))
     return sigs.select("doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("cluster"))
@@ -87,5 +88,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, group_id, group_size): least id and number of the documents of one normalised text."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.md5(F.array_join(T.normalized_words(F.coalesce(F.col(text_col), F.lit(""))), " ").cast("binary")).alias("digest"))
-    groups = d.groupBy("digest").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size"))
+    groups = written(d.groupBy("digest").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size")), "groups")
     return d.join(groups, "digest").select("doc_id", "group_id", "group_size")
