@@ -26,7 +26,7 @@ from quillstone.plans.store import small_batches
 U64 = np.uint64
 SPACE, LETTER, NUMBER, OTHER, BREAK = range(5)
 #: Pre-tokens that are kept merged between blocks, in each of two generations.
-MEMO = 40_000
+MEMO = 80_000
 
 #: Fixed: the code points of the White_Space property.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]

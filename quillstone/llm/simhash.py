@@ -156,6 +156,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = written(prints.groupBy("fp").agg(F.min("id").alias("least_id")), "classes")
     roots = connected_components(links(classes.select("fp")))
     labelled = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    # written, so that the join is of two plain exchanges and a large component can be split
+    least = written(labelled.groupBy("root").agg(F.min("least_id").alias("component_id")), "least")
     by_print = labelled.join(least, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select(F.col("id").alias(id_col), "fp", "component_id")

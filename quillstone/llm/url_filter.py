@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.plans.store import small_batches
+from quillstone.plans.store import small_batches, written
 
 #: The filter's limits: bits of an entry, bits of a block (one cache line), bytes of all blocks.
 ENTRY_BITS, BLOCK_BITS, PROBES, MOST_BYTES = 16, 512, 8, 32 << 20
@@ -132,6 +132,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, url_col: s
         F.bool_or(~F.col("explicit")).alias("listed"),
     )
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "listed")]
+    # written, so that the join is of two plain exchanges and a hot url can be split
+    best = written(best, "judged")
     joined = pages.select(*kept).join(best.withColumnRenamed("url", "__url"), url == F.col("__url"), "left")
     verdict = F.coalesce("of.verdict", F.when(F.col("listed"), "block"), F.lit("allow"))
     return joined.select(*kept, host_of(url).alias("host"), path_of(url).alias("path"), F.col("of.rule").alias("rule"), verdict.alias("verdict"))
