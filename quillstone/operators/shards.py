@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def positions(sized: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", parts: int = 64) -> DataFrame:
+def positions(sized: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", parts: int | None = None) -> DataFrame:
     """``sized`` with ``first_token``: tokens of all documents of smaller id.
 
     Prefix sums in two levels, so no task sees the whole table: ranges of ids are
     summed apart, the few range totals are summed in order, and each range is
-    then offset by what lies before it.
+    then offset by what lies before it.  Unless their number is given, there is
+    a range for every two million rows, and at least 16.
     """
     spark = sized.sparkSession
+    parts = parts or max(16, sized.select(id_col).count() // 2_000_000)
     bounds = sized.approxQuantile(id_col, [i / parts for i in range(1, parts)], 0.01) if parts > 1 else []
     cuts = sorted(set(bounds))
     if cuts:
@@ -56,6 +58,5 @@ def budgeted(sized: DataFrame, max_tokens: int, batch_docs: int = 1024) -> DataF
     """Documents up to a token budget that is tested after whole batches only."""
     batches = sized.withColumn("batch", F.floor(F.col("doc_id") / batch_docs))
     totals = batches.groupBy("batch").agg(F.sum("n_tokens").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    open_ = totals.withColumn("before", before).where(F.col("before") < max_tokens).select("batch")
+    open_ = positions(totals, "batch", "n").where(F.col("first_token") < max_tokens).select("batch")
     return batches.join(open_, "batch", "left_semi").drop("batch")

@@ -36,7 +36,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     Cuts lineage: what follows reads files that outlive any executor.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillstone/{uuid.uuid4().hex}/{name}"
+    path = folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -65,3 +65,19 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(key, held)
+
+
+def put_bytes(spark: SparkSession, path: str, raw: bytes) -> None:
+    """One small file, written by Hadoop's file system so that any shared store takes it."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(raw))
+    finally:
+        out.close()
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A path for a new table or file in the shared folder."""
+    return f"{shared_dir(spark)}/quillstone/{uuid.uuid4().hex}/{name}"

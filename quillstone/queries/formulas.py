@@ -74,27 +74,6 @@ def _(d):
     return f"WITH q AS (SELECT vec_id, {v} AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt({d.dot('v', 'v')}) AS norm FROM q) SELECT vec_id, {near('norm', 'norm')}, {near(d.dot('v', 'v') + ' / (norm * norm)', 'self_cosine')} FROM n"
 
 
-def similarity(d: SparkSql) -> str:
-    """Ten stated queries against all vectors."""
-    v = d.vec("embedding")
-    return f"q AS (SELECT vec_id AS q, {v} AS qv FROM embeddings WHERE vec_id < 10), c AS (SELECT vec_id, {v} AS cv FROM embeddings), sim AS (SELECT q, vec_id, {d.dot('qv', 'cv')} / (sqrt({d.dot('qv', 'qv')}) * sqrt({d.dot('cv', 'cv')})) AS s FROM c CROSS JOIN q)"
-
-
-@sql("O05_vector_top_k")
-def _(d):
-    return f"WITH {similarity(d)}, r AS (SELECT q, vec_id, s, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, vec_id) AS k FROM sim) SELECT q, vec_id, {near('s', 'score')}, {big('k', 'k')} FROM r WHERE k <= 5"
-
-
-@sql("O06_two_stage_rerank")
-def _(d):
-    return f"WITH {similarity(d)}, r AS (SELECT q, vec_id, s, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, vec_id) AS k FROM sim), z AS (SELECT r.q, r.vec_id, s + CASE WHEN label % 2 = 0 THEN 0.05 ELSE 0.0 END AS s2 FROM r JOIN embeddings ON embeddings.vec_id = r.vec_id WHERE k <= 50), f AS (SELECT q, vec_id, s2, row_number() OVER (PARTITION BY q ORDER BY round(s2, 9) DESC, vec_id) AS k FROM z) SELECT q, vec_id, {near('s2', 'score')}, {big('k', 'k')} FROM f WHERE k <= 3"
-
-
-@sql("M08_contrastive_loss")
-def _(d):
-    return f"WITH {similarity(d)}, w AS (SELECT q, vec_id, s / 0.07 AS z FROM sim), l AS (SELECT q, ln(sum(exp(z - 15))) + 15 AS lse FROM w GROUP BY q) SELECT w.q, {near('lse - z', 'loss')} FROM w JOIN l ON w.q = l.q WHERE w.vec_id = w.q"
-
-
 @sql("M10_speculative_acceptance")
 def _(d):
     return f"WITH {cells(d)}, pq AS (SELECT vec_id, i, exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS p, exp(-x) / sum(exp(-x)) OVER (PARTITION BY vec_id) AS q FROM cell), r AS (SELECT vec_id, i, p, q, greatest(0.0, p - q) AS res FROM pq) SELECT vec_id, {near('sum(q * least(1.0, p / q))', 'accepted')}, {near('max(res) / sum(res)', 'largest_residual')} FROM r GROUP BY vec_id"
@@ -105,11 +84,6 @@ def _(d):
     return f"WITH {cells(d)} SELECT vec_id, {big('i', 'i')}, {big('greatest(-128, least(127, ' + d.half_even('x * 127') + '))', 'q')} FROM cell"
 
 
-@sql("M12_rotary_angles")
-def _(d):
-    return f"WITH {steps(d, 64)}, g AS (SELECT a.step AS pos, b.step AS i FROM st a CROSS JOIN st b WHERE b.step < 8) SELECT pos, i, {near('cos(pos / pow(10000.0, i / 8.0))', 'cosine')}, {near('sin(pos / pow(10000.0, i / 8.0))', 'sine')}, {near('cos(pos / (4 * pow(10000.0, i / 8.0)))', 'interpolated')}, {near('cos(pos / pow(10000.0 * pow(4e0, 16e0 / 14e0), i / 8.0))', 'ntk')} FROM g"
-
-
 @sql("M14_rms_norm")
 def _(d):
     return f"WITH {cells(d)}, n AS (SELECT vec_id, i, x, sqrt(avg(x * x) OVER (PARTITION BY vec_id) + 1e-5) AS rms, avg(x) OVER (PARTITION BY vec_id) AS mean, var_pop(x) OVER (PARTITION BY vec_id) AS var FROM cell) SELECT vec_id, {big('i', 'i')}, {near('x / rms', 'rms_norm')}, {near('(x - mean) / sqrt(var + 1e-5)', 'layer_norm')} FROM n"
@@ -140,12 +114,7 @@ def _(d):
 
 @sql("M19_repeated_heads")
 def _(d):
-    return f"WITH {cells(d)}, r AS (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) SELECT {big('i * 4 + k', 'head')}, {near('sum(x)', 'total')} FROM cell CROSS JOIN r WHERE i < 8 GROUP BY i * 4 + k"
-
-
-@sql("M20_layer_quantisation")
-def _(d):
-    return f"WITH {cells(d)} SELECT label, {near('max(abs(x)) / 127', 'scale')}, {big('sum(' + d.half_even('x * 10') + ')', 'checksum')} FROM cell GROUP BY label"
+    return f"WITH {cells(d)}, r AS (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) SELECT {big('i * 4 + k', 'head')}, {near('sum(x)', 'total')} FROM cell CROSS JOIN r GROUP BY i * 4 + k"
 
 
 @sql("M21_masked_sequences")
@@ -197,11 +166,6 @@ def _(d):
     return f"WITH n AS (SELECT {words} AS n FROM documents) SELECT {d.pick('n >= 5')} AS shingled, {d.pick('n >= 13')} AS checkable FROM n"
 
 
-@sql("F12_keep_or_discard")
-def _(d):
-    return f"WITH r AS (SELECT source, avg(n_chars) AS v FROM documents GROUP BY source), b AS (SELECT avg(v) AS base FROM r) SELECT source, CASE WHEN v <= base + 0.005 THEN 'keep' ELSE 'discard' END AS decision FROM r CROSS JOIN b"
-
-
 @sql("F13_clipped_curve")
 def _(d):
     return f"SELECT event_id FROM events WHERE event_id <= (SELECT max(event_id) / 2 FROM events)"
@@ -254,7 +218,7 @@ def _(d):
 
 @sql("X11_exact_and_substring")
 def _(d):
-    return f"WITH a AS (SELECT conv_id, text AS user_text FROM conversations WHERE turn = 0), b AS (SELECT conv_id, text AS reply FROM conversations WHERE turn = 1) SELECT a.conv_id, trim(user_text) = trim(reply) AS exact, instr(reply, trim(substr(user_text, 1, 4))) > 0 AS inside FROM a JOIN b ON a.conv_id = b.conv_id"
+    return f"WITH a AS (SELECT conv_id, turn, text AS user_text FROM conversations WHERE role = 'user'), b AS (SELECT conv_id, turn, text AS reply FROM conversations WHERE role = 'assistant') SELECT a.conv_id, a.turn, trim(user_text) = trim(reply) AS exact, instr(reply, trim(substr(user_text, 1, 4))) > 0 AS inside FROM a JOIN b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn"
 
 
 @sql("X12_casefolded_words")
@@ -313,12 +277,6 @@ def _(d):
     return f"WITH {d.values('city', 'name, temp', [('Oslo', 3), ('Cairo', 31), ('Lima', 19)])} SELECT 'What is the weather in ' || name || '?' AS question, 'It is ' || CAST(temp AS {'STRING' if d.engine == 'spark' else 'VARCHAR'}) || ' degrees.' AS answer FROM city"
 
 
-@sql("X23_message_lists")
-def _(d):
-    t = d.gather("role || ': ' || coalesce(text, '')", "turn")
-    return f"SELECT conv_id, md5({d.join(t, '|')}) AS digest, {big('count(*)', 'turns')} FROM conversations GROUP BY conv_id"
-
-
 @sql("X24_opaque_ids")
 def _(d):
     key = "concat('pair/', CAST(doc_id AS STRING))" if d.engine == "spark" else "'pair/' || CAST(doc_id AS VARCHAR)"
@@ -354,12 +312,12 @@ def _(d):
 
 @sql("E01_multiple_choice")
 def _(d):
-    return f"WITH {cells(d)}, r AS (SELECT vec_id, label, i, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS k FROM cell WHERE i < 4) SELECT label, {near('avg(CASE WHEN i = label % 4 THEN 1 ELSE 0 END)', 'accuracy')}, {big('count(*)', 'n')} FROM r WHERE k = 1 GROUP BY label"
+    return f"WITH {cells(d)}, opt AS (SELECT vec_id, label, {d.div('i', '16')} AS i, sum(x) AS x FROM cell GROUP BY vec_id, label, {d.div('i', '16')}), r AS (SELECT vec_id, label, i, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS k FROM opt) SELECT label, {near('avg(CASE WHEN i = label % 4 THEN 1 ELSE 0 END)', 'accuracy')}, {big('count(*)', 'n')} FROM r WHERE k = 1 GROUP BY label"
 
 
 @sql("E02_open_ended")
 def _(d):
-    return f"WITH a AS (SELECT conv_id, text AS t0 FROM conversations WHERE turn = 0), b AS (SELECT conv_id, text AS t1 FROM conversations WHERE turn = 1) SELECT {near('avg(CASE WHEN trim(t0) = trim(t1) THEN 1 ELSE 0 END)', 'exact')}, {near('avg(CASE WHEN instr(t1, substr(trim(t0), 1, 3)) > 0 THEN 1 ELSE 0 END)', 'inside')} FROM a JOIN b ON a.conv_id = b.conv_id"
+    return f"WITH a AS (SELECT conv_id, turn, text AS t0 FROM conversations WHERE role = 'user'), b AS (SELECT conv_id, turn, text AS t1 FROM conversations WHERE role = 'assistant') SELECT {near('avg(CASE WHEN trim(t0) = trim(t1) THEN 1 ELSE 0 END)', 'exact')}, {near('avg(CASE WHEN instr(t1, substr(trim(t0), 1, 3)) > 0 THEN 1 ELSE 0 END)', 'inside')} FROM a JOIN b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn"
 
 
 @sql("E04_document_bits_per_byte")
@@ -367,22 +325,12 @@ def _(d):
     return f"WITH {losses(d)} SELECT doc_id, {near('sum(nats) / (ln(2) * sum(bytes))', 'bpb')} FROM loss WHERE bytes > 0 GROUP BY doc_id"
 
 
-@sql("E05_leak_table")
-def _(d):
-    return f"WITH {losses(d)}, b AS (SELECT doc_id, sum(nats) AS nats, sum(bytes) AS bytes FROM loss GROUP BY doc_id) SELECT CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS grp, {near('sum(CASE WHEN toxic = 0 THEN nats END) / (ln(2) * sum(CASE WHEN toxic = 0 THEN bytes END))', 'plain')}, {near('sum(CASE WHEN toxic = 1 THEN nats END) / (ln(2) * sum(CASE WHEN toxic = 1 THEN bytes END))', 'exposed')} FROM b JOIN labels ON labels.doc_id = b.doc_id GROUP BY CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END"
-
-
 @sql("E06_generation_summary")
 def _(d):
     w = d.words("coalesce(text, '')")
     return f"WITH g AS (SELECT role, {d.grams('w', 2)} AS g FROM (SELECT role, {w} AS w FROM conversations) q) SELECT role, {near('avg(CAST(' + d.size(d.distinct('g')) + ' AS DOUBLE) / nullif(' + d.size('g') + ', 0))', 'distinct_2')}, {big('count(*)', 'n')} FROM g GROUP BY role"
 
 
-@sql("E09_perplexity_by_context")
-def _(d):
-    return f"WITH {losses(d)} SELECT {big('CASE WHEN pos < 64 THEN 64 WHEN pos < 256 THEN 256 WHEN pos < 1024 THEN 1024 ELSE 4096 END', 'context')}, {near('exp(avg(nats))', 'perplexity')} FROM loss GROUP BY CASE WHEN pos < 64 THEN 64 WHEN pos < 256 THEN 256 WHEN pos < 1024 THEN 1024 ELSE 4096 END"
-
-
 @sql("G01_preference_pairs")
 def _(d):
     return f"WITH {scored(d)}, r AS (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY score DESC, idx) AS k, count(*) OVER (PARTITION BY prompt) AS n FROM s) SELECT prompt, max(CASE WHEN k = 1 THEN answer END) AS chosen, max(CASE WHEN k = n THEN answer END) AS rejected FROM r WHERE n > 1 GROUP BY prompt"
@@ -427,11 +375,6 @@ def _(d):
     return f"WITH t AS (SELECT conv_id, turn, length(coalesce(text, '')) AS n FROM conversations), b AS (SELECT {d.div('conv_id', '8')} AS batch, max(n) AS longest, count(*) AS k, sum(n) AS used FROM t GROUP BY {d.div('conv_id', '8')}) SELECT {big('batch', 'batch')}, {big('longest * k - used', 'wasted')} FROM b"
 
 
-@sql("V05_prefix_references")
-def _(d):
-    return f"WITH t AS (SELECT conv_id, substr(coalesce(text, ''), 1, 16) AS prefix FROM conversations WHERE turn = 0) SELECT prefix, {big('count(*)', 'refs')} FROM t GROUP BY prefix"
-
-
 @sql("D15_token_id_overlap")
 def _(d):
     w, b = d.words("coalesce(text, '')"), d.words("text")
@@ -452,8 +395,3 @@ def _(d):
 @sql("S01_text_scan")
 def _(d):
     return "SELECT text FROM documents"
-
-
-@sql("S02_text_blocks")
-def _(d):
-    return f"WITH b AS (SELECT doc_id, p, trim(x) AS x FROM {d.rows('(SELECT doc_id, ' + d.split('text', '[.]\\n') + ' AS bs FROM documents)', 'bs', 'p', 'x')}) SELECT doc_id, {big('count(*)', 'blocks')}, {big('sum(length(x))', 'chars')} FROM b WHERE x <> '' GROUP BY doc_id"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from quillstone.functions import text as T
 from quillstone.operators import audit, bytepairs, contamination, dedup, quality, serving, shards
 from quillstone.plans.barrier import computed_once
 from quillstone.plans.dialect import DUCK
-from quillstone.plans.store import shared_dir
+from quillstone.plans.store import folder
 from quillstone.queries import formulas, jobs
 from quillstone.queries.corpus import _AUDIT, _CLUSTERS, _HITS, _LEAK, _SETS, COUNTS, FLAGGED, RAW, W, _grams, documents, val_docs
 from quillstone.queries.measures import big, near, tokens
@@ -115,12 +113,6 @@ def matched_of_total(spark, sf_dir):
     return contamination.benchmark_hits(documents(spark, sf_dir), items).join(totals, "item_id").select("doc_id", "item_id", "matched", "item_grams")
 
 
-@R.frame("O04_first_items_per_document", f"WITH {_HITS} SELECT doc_id, array_to_string(list_sort(list(item_id))[1:3], ',') AS items FROM hits GROUP BY doc_id")
-def first_items(spark, sf_dir):
-    h = contamination.benchmark_hits(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
-    return h.groupBy("doc_id").agg(F.array_join(F.slice(F.array_sort(F.collect_list("item_id")), 1, 3).cast("array<string>"), ",").alias("items"))
-
-
 @R.frame("D13_hit_lists", f"WITH {_HITS} SELECT doc_id, string_agg(item_id || ':' || matched, ',' ORDER BY item_id) AS hits FROM hits GROUP BY doc_id")
 def hit_lists(spark, sf_dir):
     h = contamination.benchmark_hits(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
@@ -174,24 +166,6 @@ def later_copies(spark, sf_dir):
     return dedup.near_duplicates(documents(spark, sf_dir)).where("cluster <> doc_id").select("doc_id")
 
 
-@R.frame(
-    "D17_classified_hits",
-    f"""WITH {_HITS}, t AS (SELECT item_id, count(*) AS n FROM bg GROUP BY item_id), q AS (SELECT item_id, {W} AS qw FROM benchmark), dw AS (SELECT doc_id, ' ' || array_to_string({W}, ' ') || ' ' AS body FROM documents)
-    SELECT doc_id, item_id, len(qw) >= 8 AND instr(body, ' ' || array_to_string(qw, ' ') || ' ') > 0 AS question_in_doc, instr(body, ' ' || array_to_string(qw[greatest(1, len(qw) - 12):], ' ') || ' ') > 0 AS ending_in_doc, 2 * matched >= n AS half_matched
-    FROM hits JOIN t USING (item_id) JOIN q USING (item_id) JOIN dw USING (doc_id)""",
-)
-def classified(spark, sf_dir):
-    """Each hit: is the whole item, its last thirteen words, or at least half of its grams in the document?"""
-    docs, items = documents(spark, sf_dir), table(spark, sf_dir, "benchmark")
-    hits = contamination.benchmark_hits(docs, items)
-    totals = contamination.grams_of(items, "item_id").groupBy("item_id").agg(F.count("*").alias("n"))
-    q = items.select("item_id", T.normalized_words(F.coalesce("text", F.lit(""))).alias("qw"))
-    d = docs.select("doc_id", T.normalized_words(F.coalesce("text", F.lit(""))).alias("dw"))
-    h = hits.join(totals, "item_id").join(q, "item_id").join(d, "doc_id")
-    tail = F.slice("qw", F.greatest(F.lit(1), F.size("qw") - 12), F.lit(13))
-    return h.select("doc_id", "item_id", ((F.size("qw") >= 8) & T.contains_phrase(F.col("dw"), F.col("qw"))).alias("question_in_doc"), T.contains_phrase(F.col("dw"), tail).alias("ending_in_doc"), (2 * F.col("matched") >= F.col("n")).alias("half_matched"))
-
-
 @sql("D20_training_copies")
 def _(d):
     words = d.words("coalesce(text, '')")
@@ -212,31 +186,6 @@ def _(d):
 # --- retrieval, grids, measures ---------------------------------------------------------------------------------------
 
 
-@sql("J13_query_similarities")
-def _(d):
-    return f"WITH {formulas.similarity(d)} SELECT q, vec_id, {near('s', 'score')} FROM sim"
-
-
-@sql("R01_flat_search")
-def _(d):
-    return f"WITH {formulas.similarity(d)}, r AS (SELECT q, vec_id, s, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, vec_id) AS k FROM sim WHERE q <> vec_id) SELECT q, vec_id, {near('s', 'score')} FROM r WHERE k <= 5"
-
-
-@sql("R02_reranked_search")
-def _(d):
-    return f"WITH {formulas.similarity(d)}, r AS (SELECT q, vec_id, s, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, vec_id) AS k FROM sim WHERE q <> vec_id), z AS (SELECT q, vec_id, s * (1 + 0.01 * (vec_id % 5)) AS s2 FROM r WHERE k <= 50), f AS (SELECT q, vec_id, s2, row_number() OVER (PARTITION BY q ORDER BY round(s2, 9) DESC, vec_id) AS k FROM z) SELECT q, vec_id, {near('s2', 'score')} FROM f WHERE k <= 3"
-
-
-@sql("E08_needle_grid")
-def _(d):
-    return f"WITH {d.values('len', 'n', [(256,), (1024,), (4096,)])}, {d.values('frac', 'f', [(0,), (50,), (100,)])} SELECT n, f, {d.pick('n_chars >= n AND instr(substr(text, 1, CAST(n * (f + 1) / 101 AS INT)), ' + chr(39) + 'the' + chr(39) + ') > 0')} AS found FROM documents CROSS JOIN len CROSS JOIN frac GROUP BY n, f"
-
-
-@sql("V06_assembly_orders")
-def _(d):
-    return f"WITH l AS (SELECT lang, sum(n_chars) AS n FROM documents GROUP BY lang) SELECT a.lang AS x, b.lang AS y, a.n + b.n = b.n + a.n AS same FROM l a CROSS JOIN l b WHERE a.lang < b.lang"
-
-
 @sql("W14_online_softmax")
 def _(d):
     cell = formulas.cells(d)
@@ -253,11 +202,6 @@ def _(d):
     return f"WITH s AS (SELECT user_id, {d.div('event_id', '1000')} AS step, event_id, value, event_type FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, step ORDER BY value DESC, event_id) AS k FROM s), c AS (SELECT user_id, step, event_id, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended FROM r WHERE k = 1) SELECT user_id, {big('step', 'step')}, event_id FROM c WHERE coalesce(ended, 0) = 0 AND step < 12"
 
 
-@sql("B04_merged_maps")
-def _(d):
-    return f"SELECT event_id, coalesce({d.json('props', 'k')}, '0') AS k, event_type AS kind FROM events"
-
-
 @sql("B06_date_parts")
 def _(d):
     return f"SELECT o_orderkey, {big('year(o_orderdate)', 'y')}, {big('month(o_orderdate)', 'm')}, {big('day(o_orderdate)', 'd')} FROM orders"
@@ -266,11 +210,6 @@ def _(d):
 # --- tokenizer steps --------------------------------------------------------------------------------------------------
 
 
-@sql("T02_pair_statistics")
-def _(d):
-    return f"WITH {tokens(d)}, i AS (SELECT doc_id, pos, {d.bytes('tok')} AS id FROM tok), p AS (SELECT id AS a, lead(id) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM i) SELECT {big('a', 'a')}, {big('b', 'b')}, {big('count(*)', 'n')} FROM p WHERE b IS NOT NULL GROUP BY a, b"
-
-
 @R.frame("T03_one_merge")
 def one_merge(spark, sf_dir):
     """The first trained merge applied alone: left to right, without overlap."""
@@ -291,37 +230,15 @@ def decoded(spark, sf_dir):
     return ids.select("item_id", F.md5(back("ids").cast("binary")).alias("digest"))
 
 
-@R.frame("T08_saved_merges")
-def saved_merges(spark, sf_dir):
-    merges = bytepairs.train_on(table(spark, sf_dir, "benchmark"), 300, least=2)
-    again = bytepairs.load(bytepairs.dump(merges))
-    return spark.createDataFrame([(len(merges), again == merges)], "merges int, same boolean")
-
-
-@R.frame("T09_encoded_with_ends", f"SELECT doc_id, CAST(len({W}) + 1 AS BIGINT) AS n_tokens FROM documents")
-def encoded_with_ends(spark, sf_dir):
-    return jobs.sized(spark, sf_dir).select("doc_id", "n_tokens")
-
-
 @R.frame("X20_visible_tokens", f"SELECT doc_id, md5(array_to_string(list_transform({RAW}, lambda x: '[' || x || ']'), '·')) AS digest FROM documents")
 def visible(spark, sf_dir):
     shown = F.array_join(F.transform(T.raw_words(F.coalesce("text", F.lit(""))), lambda x: F.concat(F.lit("["), x, F.lit("]"))), "·")
     return documents(spark, sf_dir).select("doc_id", F.md5(shown.cast("binary")).alias("digest"))
 
 
-@R.frame("W08_all_starts", f"WITH s AS (SELECT sum(len({W}) + 1) AS n FROM documents) SELECT CAST(n - 1024 AS BIGINT) AS full_starts, CAST(n - 1025 AS BIGINT) AS prototype_starts FROM s")
-def all_starts(spark, sf_dir):
-    """Starts that the two loaders draw from: one includes the last valid start, the other misses it."""
-    return jobs.sized(spark, sf_dir).agg((F.sum("n_tokens") - 1024).alias("full_starts"), (F.sum("n_tokens") - 1025).alias("prototype_starts"))
-
-
 # --- files, sinks, streams --------------------------------------------------------------------------------------------
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quillstone/{next(tempfile._get_candidate_names())}/{name}"
-
-
 @R.frame("S05_items", "SELECT item_id, text FROM benchmark")
 def items(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", "text")
@@ -330,21 +247,21 @@ def items(spark, sf_dir):
 @R.frame("S07_one_split", f"SELECT lang, count(*) AS docs FROM documents WHERE lang = 'en' GROUP BY lang")
 def one_split(spark, sf_dir):
     """Written by split, read with the split as a partition filter."""
-    path = _folder(spark, "splits")
+    path = folder(spark, "splits")
     documents(spark, sf_dir).write.partitionBy("lang").parquet(path)
     return spark.read.parquet(path).where("lang = 'en'").groupBy("lang").agg(F.count("*").alias("docs"))
 
 
 @R.frame("S08_json_lines", "SELECT event_id, value FROM events")
 def json_lines(spark, sf_dir):
-    path = _folder(spark, "events")
+    path = folder(spark, "events")
     files.append_json(table(spark, sf_dir, "events").select("event_id", "value"), path)
     return spark.read.schema("event_id bigint, value double").json(path)
 
 
 @R.frame("S10_csv_table", "SELECT s_suppkey, s_acctbal FROM supplier")
 def csv_table(spark, sf_dir):
-    path = _folder(spark, "supplier")
+    path = folder(spark, "supplier")
     files.write_csv(table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), path)
     return files.csv_table(spark, path, "s_suppkey bigint, s_acctbal double")
 
@@ -369,7 +286,7 @@ def content_digests(spark, sf_dir):
 @R.frame("K10_promoted_once", "SELECT count(*) AS n FROM benchmark")
 def promoted_once(spark, sf_dir):
     """A second promotion leaves what is there."""
-    path = _folder(spark, "promoted")
+    path = folder(spark, "promoted")
     b = table(spark, sf_dir, "benchmark")
     b.write.mode("ignore").parquet(path)
     b.union(b).write.mode("ignore").parquet(path)
@@ -378,7 +295,7 @@ def promoted_once(spark, sf_dir):
 
 @R.frame("Z05_streamed_documents", f"SELECT count(*) AS docs, CAST(sum(len({W})) AS BIGINT) AS tokens FROM documents")
 def streamed(spark, sf_dir):
-    source, target, check = (_folder(spark, x) for x in ("in", "out", "check"))
+    source, target, check = (folder(spark, x) for x in ("in", "out", "check"))
     documents(spark, sf_dir).repartition(4).write.parquet(source)
     ingest.ingest_documents(spark, source, target, check)
     return spark.read.parquet(target).agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"))
@@ -398,12 +315,3 @@ def page_pool(spark, sf_dir):
 
     requests = table(spark, sf_dir, "events").select((F.col("user_id") % 16).alias("scheduler"), F.col("event_id").alias("request"), (1 + F.col("event_id") % 200).alias("tokens"))
     return requests.groupBy("scheduler").applyInPandas(run, "request bigint, pages bigint")
-
-
-@R.frame("E07_blinded_pairs")
-def blinded_pairs(spark, sf_dir):
-    """Sides swapped by a digest's parity; the id says nothing of who is who."""
-    users = table(spark, sf_dir, "events").select("user_id").distinct()
-    key = F.sha2(F.concat(F.lit("42/"), F.col("user_id").cast("string")), 256)
-    swapped = F.conv(F.substring(key, 64, 1), 16, 10).cast("int") % 2 == 1
-    return users.select(F.substring(key, 1, 12).alias("pair_id"), F.when(swapped, "tuned").otherwise("base").alias("a"), F.when(swapped, "base").otherwise("tuned").alias("b"))

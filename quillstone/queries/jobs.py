@@ -15,6 +15,9 @@ from quillstone.queries.registry import Registry
 from quillstone.sources.tables import table
 
 R = Registry()
+#: Resamples of the bootstrap, and cumulative probabilities of a Poisson weight of mean one.
+RESAMPLES = 2000
+POISSON = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676]
 VAL_TOKENS, SHARD_TOKENS, BUDGET = 20_000, 50_000, 150_000
 _SIZED = f"s AS (SELECT doc_id, len({DUCK.words('coalesce(text, ' + chr(39) * 2 + ')')}) + 1 AS n_tokens, strlen(coalesce(text, '')) AS text_bytes FROM documents)"
 _LAID = f"{_SIZED}, laid AS (SELECT *, CAST(sum(n_tokens) OVER (ORDER BY doc_id) AS BIGINT) - n_tokens AS p0 FROM s)"
@@ -57,31 +60,6 @@ def piece_counts(spark, sf_dir):
     return bytepairs.piece_counts(table(spark, sf_dir, "documents"))
 
 
-@R.frame("T04_trained_merges")
-def trained_merges(spark, sf_dir):
-    merges = bytepairs.train_on(table(spark, sf_dir, "benchmark"), 400, least=2)
-    return spark.createDataFrame([(i, a, b, 256 + i) for i, (a, b) in enumerate(merges)], "rank int, a int, b int, id int")
-
-
-@R.frame("T06_encoded_documents")
-def encoded_documents(spark, sf_dir):
-    merges = bytepairs.train_on(table(spark, sf_dir, "benchmark"), 400, least=2)
-    out = bytepairs.encode_column(table(spark, sf_dir, "documents"), merges)
-    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"))
-
-
-@R.frame("T11_vocabulary_sweep")
-def vocabulary_sweep(spark, sf_dir):
-    bench = table(spark, sf_dir, "benchmark")
-    total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rows = []
-    for size in (288, 320, 400):
-        merges = bytepairs.train_on(bench, size, least=2)
-        n = bytepairs.encode_column(bench, merges, "item_id").agg(F.sum(F.size("ids"))).first()[0] or 0
-        rows.append((size, 256 + len(merges), total / n if n else None))
-    return spark.createDataFrame(rows, "asked int, vocabulary int, bytes_per_token double")
-
-
 @R.frame("T01_character_ids", "WITH c AS (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM benchmark), v AS (SELECT c, CAST(row_number() OVER (ORDER BY c) AS BIGINT) - 1 AS id FROM c WHERE c <> '') SELECT c, id FROM v")
 def character_ids(spark, sf_dir):
     c = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "")).alias("c")).where("c <> ''").distinct()
@@ -95,42 +73,43 @@ def continuous_batching(spark, sf_dir):
     return serving.simulate(requests)
 
 
-@R.frame("V04_latency_percentiles")
-def latency_percentiles(spark, sf_dir):
-    return serving.latencies(continuous_batching(spark, sf_dir))
-
-
-@R.frame("M02_weighted_sampling")
-def weighted_sampling(spark, sf_dir):
-    u = F.rand(42)
-    kind = F.when(u < 0.55, "web").when(u < 0.85, "code").otherwise("math")
-    return spark.range(20_000).select(kind.alias("kind")).groupBy("kind").agg((F.count("*") / 20_000).alias("share"))
-
-
-@R.frame("W07_random_windows")
-def random_windows(spark, sf_dir):
-    """Starts drawn from a digest of the draw's number: the same at every run, resumable at any."""
-    n = sized(spark, sf_dir).agg(F.sum("n_tokens")).first()[0] or 1
-    return spark.range(1000).select(F.col("id").alias("draw"), F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(max(1, n - 1025))).alias("start"))
-
-
 @R.frame("A45_bootstrap_interval")
 def bootstrap(spark, sf_dir):
-    """Resampled group sums need counts only: each resample draws Poisson weights row by row, without copies of the table."""
-    docs = table(spark, sf_dir, "documents").where("n_chars is not null").select("n_chars", (F.col("doc_id") % 2).alias("arm"), "doc_id")
-    draws = spark.range(200).select(F.col("id").alias("draw"))
-    u = (F.pmod(F.xxhash64("draw", "doc_id"), F.lit(1_000_000)) + 0.5) / 1e6
-    weight = F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).otherwise(4)
-    r = docs.crossJoin(F.broadcast(draws)).select("draw", "arm", (weight * F.col("n_chars")).alias("x"), weight.alias("w"))
-    m = r.groupBy("draw").agg((F.sum(F.when(F.col("arm") == 0, F.col("x"))) / F.sum(F.when(F.col("arm") == 0, F.col("w"))) - F.sum(F.when(F.col("arm") == 1, F.col("x"))) / F.sum(F.when(F.col("arm") == 1, F.col("w")))).alias("d"))
+    """Interval of a difference of means over 2,000 resamples.
+
+    Each row has a Poisson weight in every resample, drawn from its id, so a
+    batch adds up its own weighted sums and the table is read once.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def kernel(batches):
+        total = np.zeros((RESAMPLES, 4))
+        seed = np.arange(RESAMPLES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for batch in batches:
+            x, ids = (np.array(batch.column(i).to_pylist(), np.int64) for i in (0, 1))
+            for lo in range(0, len(x), 256):
+                h = (ids[lo : lo + 256].astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))[:, None] ^ seed
+                h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+                u = ((h ^ (h >> np.uint64(29))) >> np.uint64(11)).astype(float) / 2**53
+                w = np.searchsorted(POISSON, u).astype(float)
+                for arm in (0, 1):
+                    mine = ids[lo : lo + 256] % 2 == arm
+                    total[:, 2 * arm] += w[mine].T @ x[lo : lo + 256][mine]
+                    total[:, 2 * arm + 1] += w[mine].sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(RESAMPLES)), *[pa.array(total[:, i]) for i in range(4)]], names=["draw", "x0", "w0", "x1", "w1"])
+
+    docs = table(spark, sf_dir, "documents").where("n_chars is not null and doc_id is not null").select("n_chars", "doc_id")
+    sums = docs.mapInArrow(kernel, "draw bigint, x0 double, w0 double, x1 double, w1 double").groupBy("draw").agg(*[F.sum(c).alias(c) for c in ("x0", "w0", "x1", "w1")])
+    m = sums.select((F.col("x0") / F.nullif("w0", F.lit(0.0)) - F.col("x1") / F.nullif("w1", F.lit(0.0))).alias("d"))
     return m.agg(F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.5).alias("middle"), F.percentile("d", 0.975).alias("high"))
 
 
-@R.frame("W18_state_space")
+@R.frame("W18_state_space", "SELECT vec_id, round(list_reduce(list_concat([0e0], CAST(embedding AS DOUBLE[])), lambda s, v: 0.9e0 * s + 0.1e0 * v), 9) + 0e0 AS state FROM embeddings")
 def state_space(spark, sf_dir):
     """The recurrence s = a s + b x along each vector, as a fold."""
     x = F.col("embedding").cast("array<double>")
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(x, F.lit(0.0), lambda s, v: 0.9 * s + 0.1 * v), 9).alias("state"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", (F.round(F.aggregate(x, F.lit(0.0), lambda s, v: 0.9 * s + 0.1 * v), 9) + F.lit(0.0)).alias("state"))
 
 
 @R.frame("M13_doubly_stochastic")

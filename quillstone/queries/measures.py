@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from quillstone.plans.dialect import SparkSql
+from pyspark.sql import functions as F
+
+from quillstone.functions.text import normalized_words
+from quillstone.operators import shards
+from quillstone.plans.dialect import DUCK, SparkSql
 from quillstone.queries.registry import Registry
+from quillstone.sources.tables import table
 
 R = Registry()
 
@@ -167,7 +172,8 @@ def _(d):
 
 @sql("A29_most_common")
 def _(d):
-    return f"WITH {tokens(d)}, c AS (SELECT tok, count(*) AS n, min(doc_id * 1000000 + pos) AS first FROM tok GROUP BY tok) SELECT tok, {big('n', 'n')} FROM c ORDER BY n DESC, first LIMIT 8"
+    place = "struct(doc_id, pos)" if d.engine == "spark" else "{'d': doc_id, 'p': pos}"
+    return f"WITH {tokens(d)}, c AS (SELECT tok, count(*) AS n, min({place}) AS first FROM tok GROUP BY tok) SELECT tok, {big('n', 'n')} FROM c ORDER BY n DESC, first LIMIT 8"
 
 
 @sql("A30_success_rate")
@@ -180,12 +186,6 @@ def _(d):
     return f"WITH p AS (SELECT ln(p_size) AS x, ln(p_retailprice) AS y FROM part WHERE p_size > 0 AND p_retailprice > 0) SELECT {near('exp(regr_intercept(y, x))', 'a')}, {near('-regr_slope(y, x)', 'b')} FROM p"
 
 
-@sql("A32_throughput")
-def _(d):
-    t = d.micros("ts")
-    return f"WITH w AS (SELECT {d.div(t, '3600000000')} AS hour, count(*) AS n, sum(value) AS tokens, (max({t}) - min({t})) / 1e6 AS secs FROM events GROUP BY {d.div(t, '3600000000')}) SELECT {big('hour', 'hour')}, {big('n', 'n')}, {near('tokens / nullif(secs, 0)', 'per_second')} FROM w"
-
-
 @sql("A33_group_norms")
 def _(d):
     return f"WITH {cells(d)} SELECT label, {near('sqrt(sum(x * x))', 'norm')} FROM cell GROUP BY label"
@@ -213,7 +213,7 @@ def _(d):
 
 @sql("A38_balance_loss")
 def _(d):
-    return f"WITH {cells(d)}, x8 AS (SELECT vec_id, i, exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS p, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS k FROM cell WHERE i < 8), e AS (SELECT i, avg(p) AS importance, avg(CASE WHEN k <= 2 THEN 1 ELSE 0 END) AS load FROM x8 GROUP BY i) SELECT {near('count(*) * sum(importance * load)', 'loss')} FROM e"
+    return f"WITH {cells(d)}, x8 AS (SELECT vec_id, i, exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS p, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS k FROM cell), e AS (SELECT i, avg(p) AS importance, avg(CASE WHEN k <= 2 THEN 1 ELSE 0 END) AS load FROM x8 GROUP BY i) SELECT {near('count(*) * sum(importance * load)', 'loss')} FROM e"
 
 
 def softmax(d: SparkSql) -> str:
@@ -237,7 +237,7 @@ def _(d):
 
 @sql("A42_linear_cka")
 def _(d):
-    return f"WITH {cells(d)}, z AS (SELECT vec_id, i, x - avg(x) OVER (PARTITION BY i) AS x FROM cell), a AS (SELECT vec_id, i, x FROM z WHERE i < 16), b AS (SELECT vec_id, i, x FROM z WHERE i >= 16 AND i < 32), ab AS (SELECT a.i, b.i AS j, sum(a.x * b.x) AS g FROM a JOIN b ON a.vec_id = b.vec_id GROUP BY a.i, b.i), aa AS (SELECT a.i, c.i AS j, sum(a.x * c.x) AS g FROM a JOIN a c ON a.vec_id = c.vec_id GROUP BY a.i, c.i), bb AS (SELECT b.i, c.i AS j, sum(b.x * c.x) AS g FROM b JOIN b c ON b.vec_id = c.vec_id GROUP BY b.i, c.i) SELECT {near('(SELECT sum(g * g) FROM ab) / sqrt((SELECT sum(g * g) FROM aa) * (SELECT sum(g * g) FROM bb))', 'cka')}"
+    return f"WITH {cells(d)}, z AS (SELECT vec_id, i, x - avg(x) OVER (PARTITION BY i) AS x FROM cell), a AS (SELECT vec_id, i, x FROM z WHERE i < 32), b AS (SELECT vec_id, i, x FROM z WHERE i >= 32), ab AS (SELECT a.i, b.i AS j, sum(a.x * b.x) AS g FROM a JOIN b ON a.vec_id = b.vec_id GROUP BY a.i, b.i), aa AS (SELECT a.i, c.i AS j, sum(a.x * c.x) AS g FROM a JOIN a c ON a.vec_id = c.vec_id GROUP BY a.i, c.i), bb AS (SELECT b.i, c.i AS j, sum(b.x * c.x) AS g FROM b JOIN b c ON b.vec_id = c.vec_id GROUP BY b.i, c.i) SELECT {near('(SELECT sum(g * g) FROM ab) / sqrt((SELECT sum(g * g) FROM aa) * (SELECT sum(g * g) FROM bb))', 'cka')}"
 
 
 @sql("A43_mergeable_softmax")
@@ -255,11 +255,6 @@ def _(d):
     return f"SELECT source, {near(d.quantile('n_chars', 0.5), 'median')} FROM documents GROUP BY source"
 
 
-@sql("A47_trainable_share")
-def _(d):
-    return f"WITH {cells(d)} SELECT {near('CAST(sum(CASE WHEN i >= 32 THEN 1 ELSE 0 END) AS DOUBLE) / count(*)', 'share')} FROM cell"
-
-
 @sql("A48_best_so_far")
 def _(d):
     return "SELECT event_id, user_id, value, min(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before FROM events"
@@ -276,11 +271,6 @@ def _(d):
     return f"WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS run FROM events) SELECT event_type, {near('count(*) / sum(value)', 'rate')} FROM r WHERE run > 3 GROUP BY event_type"
 
 
-@sql("A51_collectives")
-def _(d):
-    return f"WITH {cells(d)}, red AS (SELECT i, sum(x) AS total FROM cell GROUP BY i) SELECT {big('i', 'i')}, {big(d.div('i', '16'), 'shard')}, {near('total', 'total')} FROM red"
-
-
 @sql("A44_kept_and_dropped")
 def _(d):
     return f"SELECT source, {d.pick('quality = 1')} AS kept, {d.pick('quality = 0')} AS dropped, {big('sum(n_chars)', 'chars')} FROM documents JOIN labels ON documents.doc_id = labels.doc_id GROUP BY source"
@@ -302,7 +292,8 @@ def _(d):
 
 @sql("W02_adjacent_pairs")
 def _(d):
-    return f"WITH {tokens(d)}, nx AS (SELECT tok AS a, lead(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM tok) SELECT a, b, {big('count(*)', 'n')} FROM nx WHERE b IS NOT NULL GROUP BY a, b"
+    words = d.words("coalesce(text, '')")
+    return f"WITH g AS (SELECT doc_id, {d.grams('w', 2)} AS g FROM (SELECT doc_id, {words} AS w FROM documents) q), c AS (SELECT gram, count(*) AS n FROM {d.rows('g', 'g', 'p', 'gram')} GROUP BY gram) SELECT split_part(gram, ' ', 1) AS a, split_part(gram, ' ', 2) AS b, {big('n', 'n')} FROM c"
 
 
 STREAM = "sized AS (SELECT doc_id, count(*) + 1 AS n FROM tok GROUP BY doc_id)"
@@ -313,14 +304,25 @@ def stream(d: SparkSql) -> str:
     return f"{tokens(d)}, {STREAM}, laid AS (SELECT doc_id, n, sum(n) OVER (ORDER BY doc_id) - n AS at FROM sized)".replace(" AS at", " AS p0")
 
 
-@sql("W03_document_of_token")
-def _(d):
-    return f"WITH {stream(d)} SELECT doc_id, {big('p0', 'first_token')}, {big('p0 + n - 1', 'end_token')} FROM laid"
+def _placed(spark, sf_dir):
+    """Documents with words, laid end to end: first token and number of tokens, an end token each."""
+    words = F.size(normalized_words(F.coalesce("text", F.lit(""))))
+    sized = table(spark, sf_dir, "documents").select("doc_id", (words + 1).cast("bigint").alias("n_tokens")).where("n_tokens > 1")
+    return shards.positions(sized).withColumn("first_token", F.col("first_token").cast("bigint"))
 
 
-@sql("W05_fixed_windows")
-def _(d):
-    return f"WITH {stream(d)}, t AS (SELECT tok.doc_id, p0 + pos AS g, tok FROM tok JOIN laid ON tok.doc_id = laid.doc_id) SELECT {big(d.div('g', '1024'), 'win')}, {big('count(*)', 'tokens')}, {big('count(DISTINCT doc_id)', 'docs')} FROM t GROUP BY {d.div('g', '1024')}"
+@R.frame("W03_document_of_token", f"WITH {stream(DUCK)} SELECT doc_id, {big('p0', 'first_token')}, {big('p0 + n - 1', 'end_token')} FROM laid")
+def document_of_token(spark, sf_dir):
+    return _placed(spark, sf_dir).select("doc_id", "first_token", (F.col("first_token") + F.col("n_tokens") - 1).alias("end_token"))
+
+
+@R.frame("W05_fixed_windows", f"WITH {stream(DUCK)}, t AS (SELECT tok.doc_id, p0 + pos AS g, tok FROM tok JOIN laid ON tok.doc_id = laid.doc_id) SELECT {big('g // 1024', 'win')}, {big('count(*)', 'tokens')}, {big('count(DISTINCT doc_id)', 'docs')} FROM t GROUP BY g // 1024")
+def fixed_windows(spark, sf_dir):
+    """Each document is dealt to the windows that its words meet; no word becomes a row."""
+    last = F.col("first_token") + F.col("n_tokens") - 2
+    spread = _placed(spark, sf_dir).withColumn("last", last).withColumn("win", F.explode(F.sequence(F.expr("first_token div 1024"), F.expr("last div 1024"))))
+    inside = F.least("last", F.col("win") * 1024 + 1023) - F.greatest("first_token", F.col("win") * 1024) + 1
+    return spread.groupBy("win").agg(F.sum(inside).cast("bigint").alias("tokens"), F.count("*").alias("docs"))
 
 
 @sql("W06_strided_windows")
@@ -338,12 +340,6 @@ def _(d):
     return f"WITH {tokens(d)}, vocab AS (SELECT DISTINCT tok FROM tok), spelt AS (SELECT tok, {d.chars(_cat(d, chr(39) + '...' + chr(39), 'tok', chr(39) + '.' + chr(39)))} AS cs FROM vocab), ch AS (SELECT tok, p, c FROM {d.rows('spelt', 'cs', 'p', 'c')} WHERE c <> ''), cx AS (SELECT tok, c AS target, lag(c, 3) OVER w || lag(c, 2) OVER w || lag(c, 1) OVER w AS context FROM ch WINDOW w AS (PARTITION BY tok ORDER BY p)) SELECT context, target, {big('count(*)', 'n')} FROM cx WHERE context IS NOT NULL GROUP BY context, target"
 
 
-@sql("W11_window_hash_overlap")
-def _(d):
-    words = d.words("coalesce(text, '')")
-    return f"WITH w AS (SELECT doc_id, {words} AS w FROM documents), g AS (SELECT doc_id, {d.distinct(d.grams('w', 20))} AS g FROM w), x AS (SELECT doc_id, {d.h32('gram')} AS h FROM {d.rows('g', 'g', 'p', 'gram')}), c AS (SELECT h, min(doc_id) AS first_doc FROM x GROUP BY h) SELECT x.doc_id, {d.pick('x.doc_id <> first_doc')} AS matched, {big('count(*)', 'windows')} FROM x JOIN c ON x.h = c.h GROUP BY x.doc_id"
-
-
 @sql("W12_covered_share")
 def _(d):
     words = d.words("coalesce(text, '')")
@@ -412,12 +408,7 @@ def _(d):
 
 @sql("O13_argmax_option")
 def _(d):
-    return f"WITH {cells(d)}, r AS (SELECT vec_id, label, i, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS k FROM cell WHERE i < 4) SELECT vec_id, {big('i', 'pick')}, i = label % 4 AS correct FROM r WHERE k = 1"
-
-
-@sql("O14_greedy_next")
-def _(d):
-    return f"WITH {pairs(d)}, r AS (SELECT a, b, n, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS k FROM n) SELECT a, b AS next, {big('n', 'n')} FROM r WHERE k = 1"
+    return f"WITH {cells(d)}, opt AS (SELECT vec_id, label, {d.div('i', '16')} AS i, sum(x) AS x FROM cell GROUP BY vec_id, label, {d.div('i', '16')}), r AS (SELECT vec_id, label, i, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS k FROM opt) SELECT vec_id, {big('i', 'pick')}, i = label % 4 AS correct FROM r WHERE k = 1"
 
 
 @sql("O15_seeded_shuffle")
@@ -459,13 +450,6 @@ def _(d):
     return f"WITH l AS (SELECT DISTINCT lang FROM documents), s AS (SELECT DISTINCT source FROM documents), c AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source) SELECT l.lang, s.source, {big('coalesce(n, 0)', 'n')} FROM l CROSS JOIN s LEFT JOIN c ON c.lang = l.lang AND c.source = s.source"
 
 
-@sql("J15_longest_cached_prefix")
-def _(d):
-    words = d.words("coalesce(text, '')")
-    upto = d.join(d.part("w", "1", "16 * k"), " ")
-    return f"WITH b AS (SELECT doc_id, {words} AS w FROM documents), p AS (SELECT doc_id, k, {upto} AS prefix FROM {d.rows(f'(SELECT doc_id, w, CASE WHEN {d.size("w")} >= 16 THEN {d.seq("1", f"least(4, {d.div(d.size("w"), "16")})")} ELSE {d.array()} END AS ks FROM b)', 'ks', 'ip', 'k')}), f AS (SELECT prefix, min(doc_id) AS m FROM p GROUP BY prefix), h AS (SELECT p.doc_id, max(16 * k) AS cached FROM p JOIN f ON p.prefix = f.prefix WHERE p.doc_id > m GROUP BY p.doc_id) SELECT documents.doc_id, {big('coalesce(cached, 0)', 'cached')} FROM documents LEFT JOIN h ON documents.doc_id = h.doc_id"
-
-
 @sql("J16_contrast_pairs")
 def _(d):
     return f"WITH r AS (SELECT source, lang, avg(n_chars) AS v FROM documents GROUP BY source, lang) SELECT a.source, {near('a.v - b.v', 'contrast')} FROM r a JOIN r b ON a.source = b.source WHERE a.lang = 'en' AND b.lang = 'fr'"

@@ -39,7 +39,7 @@ def chapters(spark: SparkSession, path: str) -> DataFrame:
     fenced = F.sum(F.col("line").startswith("```").cast("int")).over(so_far) % 2 == 1
     lines = lines.withColumn("head", (~fenced & F.col("line").startswith("## ")).cast("int")).withColumn("section_no", F.sum("head").over(so_far))
     grouped = lines.groupBy("path", "section_no").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
-    return grouped.select("path", "section_no", F.when(F.col("section_no") > 0, F.substring(F.col("ls")[0]["line"], 4, 1000)).alias("title"), F.array_join(F.col("ls.line"), "\n").alias("body"))
+    return grouped.select("path", "section_no", F.when(F.col("section_no") > 0, F.expr("substring(ls[0].line, 4)")).alias("title"), F.array_join(F.col("ls.line"), "\n").alias("body"))
 
 
 def numbered_runs(spark: SparkSession, path: str) -> DataFrame:
@@ -64,6 +64,40 @@ def uint16_tokens(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(kernel, "path string, pos bigint, token int")
 
 
+def write_archives(rows: DataFrame, path: str, kinds: dict[str, str]) -> None:
+    """Rows as compressed archives of one array a column, each of a batch's rows; held in a Parquet table of blobs, which any store takes."""
+    import io
+
+    import numpy as np
+    import pyarrow as pa
+
+    def kernel(batches):
+        for batch in batches:
+            held = io.BytesIO()
+            np.savez_compressed(held, **{name: np.array(batch.column(i).to_pylist(), kind) for i, (name, kind) in enumerate(kinds.items())})
+            yield pa.RecordBatch.from_arrays([pa.array([held.getvalue()], pa.binary())], names=["archive"])
+
+    rows.select(*kinds).mapInArrow(kernel, "archive binary").write.parquet(path)
+
+
+def read_archives(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of ``write_archives``, columns in the order of ``schema``."""
+    import io
+
+    import numpy as np
+    import pyarrow as pa
+
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def kernel(batches):
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                with np.load(io.BytesIO(raw), allow_pickle=False) as held:
+                    yield pa.RecordBatch.from_arrays([pa.array(held[n].tolist()) for n in names], names=names)
+
+    return spark.read.schema("archive binary").parquet(path).mapInArrow(kernel, schema)
+
+
 def write_shards(tokens: DataFrame, path: str) -> None:
     """Token rows (split, shard, ...) as one folder per split and shard; written whole or not at all."""
     tokens.write.mode("overwrite").partitionBy("split", "shard").parquet(path)

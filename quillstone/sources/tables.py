@@ -15,13 +15,13 @@ _HEAVY = {"documents", "pages", "embeddings"}
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a folder; only Spark's readers touch the path.
 
-    A heavy table that is read in fewer partitions than there are cores is dealt
-    out over them; larger ones have more partitions and stay as they are.
+    A heavy table that is read in fewer than 16 partitions, and so is small, is
+    dealt out over 64 cores at most; larger ones stay as they are.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     if name in _HEAVY and df.rdd.getNumPartitions() < min(cores, 16):
-        return df.repartition(cores)
+        return df.repartition(min(cores, 64))
     return df
 
 
