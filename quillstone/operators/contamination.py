@@ -2,20 +2,39 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
+from quillstone.operators import grams
+from quillstone.plans.store import small_batches, written
 
 GRAM = 13
-#: An evaluation set is broadcast up to so many grams; beyond, the join is left to the optimizer.
-BROADCAST_GRAMS = 2_000_000
+#: An evaluation set is broadcast up to so many grams of 16 bytes each; beyond, the join is left to the optimizer.
+BROADCAST_GRAMS = 1_000_000
+
+
+def _words(rows: DataFrame, id_col: str, text_col: str, raw: bool) -> DataFrame:
+    return rows.select(F.col(id_col), (T.raw_words if raw else T.normalized_words)(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
 
 
 def grams_of(rows: DataFrame, id_col: str, text_col: str = "text", n: int = GRAM, raw: bool = False) -> DataFrame:
-    """(id, gram): the distinct grams of each text; none of texts with fewer words."""
-    words = (T.raw_words if raw else T.normalized_words)(F.coalesce(F.col(text_col), F.lit("")))
-    sets = rows.select(F.col(id_col), words.alias("w")).select(id_col, F.array_distinct(T.ngrams(F.col("w"), n)).alias("g"))
+    """(id, gram): 16-byte names of the distinct grams of each text; none of texts with fewer words."""
+    small_batches(rows.sparkSession, 1000)
+
+    def kernel(batches):
+        for batch in batches:
+            row, names = grams.distinct_grams(batch.column(1), n)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), names], names=["id", "gram"])
+
+    kind = rows.schema[id_col].dataType.simpleString()
+    return _words(rows, id_col, text_col, raw).mapInArrow(kernel, f"id {kind}, gram binary").withColumnRenamed("id", id_col)
+
+
+def gram_texts(rows: DataFrame, id_col: str, text_col: str = "text", n: int = GRAM) -> DataFrame:
+    """(id, gram): the distinct grams of each text, spelt out."""
+    sets = _words(rows, id_col, text_col, False).select(id_col, F.array_distinct(T.ngrams(F.col("w"), n)).alias("g"))
     # the outer form: a plain explode would have the array tested, and so made, a second time
     return sets.select(id_col, F.explode_outer("g").alias("gram")).where("gram is not null")
 
@@ -50,10 +69,11 @@ def validation_leak(docs: DataFrame, val_docs: int, n: int = GRAM) -> tuple[Data
     The first ``val_docs`` ids are validation.  A validation document's leak is the
     share of its distinct grams that some training document holds, 0 without grams.
     """
-    grams = grams_of(docs, "doc_id", n=n)
-    val, train = grams.where(F.col("doc_id") < val_docs), grams.where(F.col("doc_id") >= val_docs)
+    val, train = (grams_of(docs.where(side), "doc_id", n=n) for side in (F.col("doc_id") < val_docs, F.col("doc_id") >= val_docs))
+    val = written(val, "validation_grams")
     wanted = val.select("gram").distinct()
-    met = train.join(sized(wanted), "gram")
+    # only what both sides hold is kept, and it is used twice
+    met = written(train.join(sized(wanted), "gram"), "met")
     seen = met.select("gram").distinct().withColumn("hit", F.lit(1))
     leak = val.join(seen, "gram", "left").groupBy("doc_id").agg(F.count("*").alias("grams"), F.count("hit").alias("seen"))
     every = docs.where(F.col("doc_id") < val_docs).select("doc_id").join(leak, "doc_id", "left")

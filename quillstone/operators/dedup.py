@@ -14,29 +14,46 @@ from quillstone.operators.components import connected_components
 from quillstone.plans.store import small_batches, written
 
 SHINGLE, PERMUTATIONS, BANDS, SIMILAR = 5, 128, 16, 0.8
-PRIME = (1 << 31) - 1
 
 
 def permutation(i: int) -> tuple[int, int]:
-    """Factor and offset of the i-th hash function, by rule."""
-    digits = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:8], 16)
-    return 1 + digits(f"a{i}") % (PRIME - 1), digits(f"b{i}") % PRIME
+    """Factor, which is odd, and offset of the i-th hash function, by rule."""
+    digits = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:16], 16)
+    return digits(f"a{i}") | 1, digits(f"b{i}")
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, norm, shingles): normalised text and the distinct 32-bit hashes of its word shingles."""
+    """(doc_id, norm, shingles): normalised text and the distinct 32-bit hashes of its word shingles, ascending.
+
+    A hash is the first 32 bits of the MD5 digest, which any engine has.
+    """
+    small_batches(docs.sparkSession, 1000)
+
+    def kernel(batches):
+        md5 = hashlib.md5
+        for batch in batches:
+            norm, sets = [], []
+            for words in batch.column(1).to_pylist():
+                norm.append(" ".join(words))
+                raw = [w.encode() for w in words]
+                grams = {b" ".join(raw[i : i + SHINGLE]) for i in range(len(raw) - SHINGLE + 1)}
+                sets.append(sorted({int.from_bytes(md5(g).digest()[:4], "big") for g in grams}))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(norm, pa.string()), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "norm", "shingles"])
+
     words = T.normalized_words(F.coalesce(F.col(text_col), F.lit("")))
-    d = docs.select(F.col(id_col).alias("doc_id"), words.alias("w"))
-    return d.select("doc_id", F.array_join("w", " ").alias("norm"), F.array_distinct(F.transform(T.ngrams(F.col("w"), SHINGLE), T.hash32)).alias("shingles"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("doc_id"), words.alias("w")).mapInArrow(kernel, f"doc_id {kind}, norm string, shingles array<bigint>")
 
 
 def signatures(sets: DataFrame) -> DataFrame:
     """(doc_id, norm, sig): least value of each hash function over the shingles; null without any.
 
-    One pass in Arrow batches: shingles x functions, in blocks of bounded size.
+    The functions are multiply-add-shift modulo 2**64, of which the upper 32
+    bits count.  One pass in Arrow batches: shingles x functions, in blocks of
+    bounded size.
     """
     small_batches(sets.sparkSession, 1000)
-    a, b = (np.array(x, np.uint64)[None, :] for x in zip(*[permutation(i) for i in range(PERMUTATIONS)], strict=True))
+    a, b = (np.array(x, np.uint64) for x in zip(*[permutation(i) for i in range(PERMUTATIONS)], strict=True))
     kind = sets.schema["doc_id"].dataType.simpleString()
 
     def kernel(batches):
@@ -44,11 +61,13 @@ def signatures(sets: DataFrame) -> DataFrame:
             lists = batch.column(2)
             out = []
             for i in range(len(lists)):
-                x = np.asarray(lists[i].values).astype(np.uint64) % np.uint64(PRIME)
-                best = np.full(PERMUTATIONS, PRIME, np.uint64)
-                for lo in range(0, len(x), 4096):
-                    best = np.minimum(best, ((x[lo : lo + 4096, None] * a + b) % np.uint64(PRIME)).min(axis=0))
-                out.append(best.astype(np.int64) if len(x) else None)
+                x = np.asarray(lists[i].values).astype(np.uint64)
+                best = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, np.uint64)
+                for lo in range(0, len(x), 1024):
+                    part = x[lo : lo + 1024, None] * a
+                    part += b
+                    best = np.minimum(best, part.min(axis=0))
+                out.append((best >> np.uint64(32)).astype(np.int64) if len(x) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "norm", "sig"])
 
     return sets.mapInArrow(kernel, f"doc_id {kind}, norm string, sig array<bigint>")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
-from quillstone.plans.barrier import computed_once
+from quillstone.operators import grams
+from quillstone.plans.store import small_batches
 
 #: Fixed: the rules, in order.  Shares are compared by whole numbers, so no rounding decides.
 RULES: list[tuple[str, str]] = [
@@ -26,28 +28,33 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The counts that all signals are made of, one row per row; a null text counts as empty.
 
     Repetition counts the 5-gram occurrences whose gram stands twice or more:
-    within one row, by sorting its own grams, so nothing is shuffled.
+    within one row, by sorting the names of its own grams, so nothing is shuffled.
+    Words go to one Arrow kernel that returns counts; no filter is pushed below it.
     """
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumns({"w": T.normalized_words(F.col("text")), "r": T.raw_words(F.col("text")), "l": T.lines(F.col("text"))})
-    grams = F.array_sort(F.transform(T.ngrams(F.col("w"), GRAM), lambda g: F.xxhash64(g)))
-    d = d.withColumn("g", grams)
-    n = F.size("g")
-    repeated = F.size(F.filter(F.transform("g", lambda x, i: (F.get("g", i - 1) == x) | (F.get("g", i + 1) == x)), lambda b: F.coalesce(b, F.lit(False))))
-    counts = d.select(
-        "doc_id",
-        F.char_length("text").cast("bigint").alias("chars"),
-        F.size("w").cast("bigint").alias("words"),
-        F.aggregate("w", F.lit(0).cast("bigint"), lambda s, x: s + F.char_length(x)).alias("word_chars"),
-        n.cast("bigint").alias("grams"),
-        repeated.cast("bigint").alias("repeated"),
-        F.char_length(F.regexp_replace("text", r"[\x00-\x7F]", "")).cast("bigint").alias("wide_chars"),
-        F.size("r").cast("bigint").alias("raw_words"),
-        F.size(F.filter("r", lambda x: x.rlike(r"^(#|…|\.\.\.)"))).cast("bigint").alias("symbol_words"),
-        F.size("l").cast("bigint").alias("text_lines"),
-        F.size(F.filter("l", lambda x: x.rlike(r"^\s*[•\-*]"))).cast("bigint").alias("bullets"),
-    )
-    return computed_once(counts)
+    counts = {
+        "chars": F.char_length("text"),
+        "words": F.size("w"),
+        "word_chars": F.char_length(F.array_join("w", "")),
+        "wide_chars": F.char_length(F.regexp_replace("text", r"[\x00-\x7F]", "")),
+        "raw_words": F.size("r"),
+        "symbol_words": F.size(F.filter("r", lambda x: x.rlike(r"^(#|…|\.\.\.)"))),
+        "text_lines": F.size("l"),
+        "bullets": F.size(F.filter("l", lambda x: x.rlike(r"^\s*[•\-*]"))),
+    }
+
+    names = ["doc_id", *counts, "grams", "repeated"]
+
+    def kernel(batches):
+        for batch in batches:
+            total, again = grams.repetition(batch.column(1), GRAM)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(total), pa.array(again)], names=names)
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"doc_id {kind}, " + ", ".join(f"{name} bigint" for name in names[1:])
+    return d.select("doc_id", "w", *[c.cast("bigint").alias(name) for name, c in counts.items()]).mapInArrow(kernel, schema)
 
 
 def signals(counts: DataFrame) -> DataFrame:

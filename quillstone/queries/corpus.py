@@ -127,9 +127,9 @@ def exact_count(spark, sf_dir):
 _PERMS = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in ((i, dedup.permutation(i)) for i in range(dedup.PERMUTATIONS)))
 _SETS = f"""
 w AS (SELECT doc_id, {W} AS w FROM documents),
-sh AS (SELECT DISTINCT doc_id, {DUCK.h32('g')} % {dedup.PRIME} AS x FROM (SELECT doc_id, unnest({DUCK.grams('w', 5)}) AS g FROM w)),
+sh AS (SELECT DISTINCT doc_id, {DUCK.h32('g')} AS x FROM (SELECT doc_id, unnest({DUCK.grams('w', 5)}) AS g FROM w)),
 perms(i, a, b) AS (VALUES {_PERMS}),
-sig AS MATERIALIZED (SELECT doc_id, i, min((a * x + b) % {dedup.PRIME}) AS v FROM sh, perms GROUP BY doc_id, i)"""
+sig AS MATERIALIZED (SELECT doc_id, i, min(CAST((CAST(a AS HUGEINT) * x + b) % 18446744073709551616 // 4294967296 AS BIGINT)) AS v FROM sh, perms GROUP BY doc_id, i)"""
 _CLUSTERS = f"""{_SETS},
 bands AS (SELECT doc_id, i // 8 AS band, list(v ORDER BY i) AS k FROM sig GROUP BY doc_id, i // 8),
 star AS MATERIALIZED (SELECT DISTINCT doc_id AS a, m AS b FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY band, k) AS m FROM bands) WHERE doc_id <> m),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
 from quillstone.operators import audit, bytepairs, contamination, dedup, quality, serving, shards
-from quillstone.plans.barrier import computed_once
 from quillstone.plans.dialect import DUCK
 from quillstone.plans.store import folder
 from quillstone.queries import formulas, jobs
@@ -127,25 +126,26 @@ def gram_sets(spark, sf_dir):
 
 @R.frame("D12_benchmark_index", f"WITH bg AS {_grams('benchmark', 'item_id')} SELECT gram, min(item_id) AS item_id FROM bg GROUP BY gram")
 def benchmark_index(spark, sf_dir):
-    return contamination.grams_of(table(spark, sf_dir, "benchmark"), "item_id").groupBy("gram").agg(F.min("item_id").alias("item_id"))
+    return contamination.gram_texts(table(spark, sf_dir, "benchmark"), "item_id").groupBy("gram").agg(F.min("item_id").alias("item_id"))
 
 
-@R.frame("D02_shingle_sets", f"WITH {_SETS.replace(f'% {dedup.PRIME} AS x', 'AS x', 1)} SELECT doc_id, count(*) AS shingles, CAST(min(x) AS BIGINT) AS least, CAST(max(x) AS BIGINT) AS most FROM sh GROUP BY doc_id")
+@R.frame("D02_shingle_sets", f"WITH {_SETS} SELECT doc_id, count(*) AS shingles, CAST(min(x) AS BIGINT) AS least, CAST(max(x) AS BIGINT) AS most FROM sh GROUP BY doc_id")
 def shingle_sets(spark, sf_dir):
-    s = computed_once(dedup.shingle_sets(documents(spark, sf_dir))).where(F.size("shingles") > 0)
+    s = dedup.shingle_sets(documents(spark, sf_dir)).where(F.size("shingles") > 0)
     return s.select("doc_id", F.size("shingles").cast("bigint").alias("shingles"), F.array_min("shingles").alias("least"), F.array_max("shingles").alias("most"))
 
 
-@R.frame("D03_hash_family", "SELECT i, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM (VALUES " + ", ".join(f"({i}, {a}, {b})" for i, (a, b) in ((i, dedup.permutation(i)) for i in range(dedup.PERMUTATIONS))) + ") v(i, a, b)")
+@R.frame("D03_hash_family", "SELECT i, a, b FROM (VALUES " + ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in ((i, dedup.permutation(i)) for i in range(dedup.PERMUTATIONS))) + ") v(i, a, b)")
 def hash_family(spark, sf_dir):
-    digits = lambda p: F.conv(F.substring(F.md5(F.concat(F.lit(p), F.col("i").cast("string")).cast("binary")), 1, 8), 16, 10).cast("bigint")
+    """Factors, all odd, and offsets of the 128 functions, each made of the first 16 digits of a digest."""
+    digits = lambda p: F.conv(F.substring(F.md5(F.concat(F.lit(p), F.col("i").cast("string")).cast("binary")), 1, 16), 16, 10).cast("decimal(20,0)")
     i = spark.range(dedup.PERMUTATIONS).select(F.col("id").cast("int").alias("i"))
-    return i.select("i", (1 + digits("a") % (dedup.PRIME - 1)).alias("a"), (digits("b") % dedup.PRIME).alias("b"))
+    return i.select("i", (digits("a") + 1 - digits("a") % 2).cast("decimal(20,0)").cast("string").alias("a"), digits("b").cast("string").alias("b"))
 
 
 @R.frame("D05_short_documents", f"WITH w AS (SELECT doc_id, {W} AS w FROM documents) SELECT doc_id, min(doc_id) OVER (PARTITION BY array_to_string(w, ' ')) AS cluster FROM w WHERE len(w) < 5")
 def short_documents(spark, sf_dir):
-    short = computed_once(dedup.shingle_sets(documents(spark, sf_dir))).where(F.size("shingles") == 0)
+    short = dedup.shingle_sets(documents(spark, sf_dir)).where(F.size("shingles") == 0)
     first = short.groupBy("norm").agg(F.min("doc_id").alias("cluster"))
     return short.join(first, "norm").select("doc_id", "cluster")
 
