@@ -2,7 +2,7 @@
 
 Each round is two group-bys with partial aggregation and two joins, all on
 node keys, so no component is ever gathered in one task or on the driver.
-Rounds are separated by ``checkpoint()``, which survives lost executors.  In a
+Rounds are separated by written tables, which survive lost executors.  In a
 large graph the aggregates are written before they are joined back: a join of
 two plain exchanges can split the links of a hub, one with an aggregate can't.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.plans.store import checkpointed, written
+from quillstone.plans.store import written
 
 #: Links from which on aggregates are written; below, they are small enough for any task.
 LARGE = 1_000_000
@@ -41,7 +41,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     links get no row.  Null ends are ignored.  An empty table gives no rows.
     """
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = checkpointed(e)
+    e = written(e, "links")
     seen = None
     for _ in range(max_rounds):
         # a forest of stars (each upper node once, no root above another) is the end
@@ -51,7 +51,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         seen = (state.n, state.h)
         large = state.n >= LARGE
         e = _large_star(e, large)
-        e = checkpointed(_small_star(checkpointed(e) if large else e, large))
+        e = written(_small_star(written(e, "links") if large else e, large), "links")
     else:
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
