@@ -30,15 +30,13 @@ URL_RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
-#: Fixed: sites on the query's block list, under each of three endings.
-LISTED_SITES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
-LISTED_ENDINGS = ["com", "net", "org"]
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list is made of the pages themselves, as no table holds one: the urls of all whose id is divisible by 20.  A page is on it by its canonical url, whoever else has that."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
-    listed = spark.createDataFrame([(f"{site}.example.{end}", "/") for site in LISTED_SITES for end in LISTED_ENDINGS], "host string, path string")
-    return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules, listed).drop("url")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge_urls(pages, rules, pages.where("page_id % 20 = 0").select("url")).drop("url")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,8 +200,6 @@ FROM g JOIN wins ON g.conv_id IS NOT DISTINCT FROM wins.conv_id GROUP BY g.conv_
 """
 
 _VALUES = ", ".join(str(r) for r in URL_RULES)
-_LISTED = ", ".join(f"('{site}.example.{end}')" for site in LISTED_SITES for end in LISTED_ENDINGS)
-
 OP2_SQL = f"""
 WITH p AS (
   SELECT page_id, url, row_number() OVER () AS r,
@@ -212,11 +208,11 @@ u AS (
   SELECT page_id, r, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
 rules(h, p, v) AS (VALUES {_VALUES}),
-listed(h) AS (VALUES {_LISTED}),
+c AS (SELECT page_id, r, CASE WHEN host <> '' THEN regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^www[.]', '') || regexp_replace(regexp_replace(path, '/index[.]html?$', '/'), '/+$', '') END AS own FROM u),
 fit AS (
   SELECT r, h || p AS rule, v, row_number() OVER (PARTITION BY r ORDER BY length(h || p) DESC, h || p) AS k
   FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)),
-bad AS (SELECT DISTINCT r FROM u JOIN listed ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, '/'))
+bad AS (SELECT r FROM c WHERE own IN (SELECT own FROM c WHERE page_id % 20 = 0 AND own IS NOT NULL))
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
        coalesce(v, CASE WHEN bad.r IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM u LEFT JOIN (SELECT * FROM fit WHERE k = 1) f ON f.r = u.r LEFT JOIN bad ON bad.r = u.r

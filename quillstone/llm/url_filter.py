@@ -1,17 +1,17 @@
 """URL filter: a blocked Bloom filter, then an exact hash join.
 
-A list holds entries ``host`` + ``path``; an entry fits its host and all
-subdomains if the url's path starts with the entry's.  So the list's keys
-that can fit a url are known from the url: its host's suffixes of as many
-labels as some entry has, with its path's prefixes as long as some entry's.
-The filter passes the possible ones; the join with the list is exact.
+The list holds urls; a page is listed if its canonical url is that of an entry.
+Rules hold ``host`` + ``path``; a rule fits its host and all subdomains if the
+url's path starts with the rule's.  So all keys under which a url can be held
+are known from the url: its canonical form, and its host's suffixes of as many
+labels as some rule has with its path's prefixes as long as some rule's.  The
+filter passes the possible ones; the join with list and rules is exact.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +27,10 @@ def filter_blocks(entries: int) -> int:
     return max(1, min(-(-entries * ENTRY_BITS // BLOCK_BITS), MOST_BYTES * 8 // BLOCK_BITS))
 
 
-def bit_places(keys: list[str], blocks: int) -> np.ndarray:
-    """(keys, PROBES) bit numbers: all of a key's bits lie in one block."""
-    h = np.array([xxhash.xxh3_128_intdigest(k.encode("utf-8", "surrogatepass")) & ((1 << 64) - 1) for k in keys], np.uint64)
+def bit_places(hashes: np.ndarray, blocks: int) -> np.ndarray:
+    """(hashes, PROBES) bit numbers: all of a key's bits lie in one block."""
+    h = hashes * np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
     g = h * np.uint64(0x9E3779B97F4A7C15) ^ (h >> np.uint64(29))
     block = ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
     step = (g >> np.uint64(40)) | np.uint64(1)
@@ -37,6 +38,10 @@ def bit_places(keys: list[str], blocks: int) -> np.ndarray:
     return block[:, None] * BLOCK_BITS + inside.astype(np.int64)
 
 
+def _hashes(column) -> np.ndarray:
+    return np.asarray(column).view(np.uint64)
+
+
 def build_filter(keys: DataFrame, blocks: int) -> np.ndarray:
     """The filter as bytes.  Tasks set bits in chunks of it, which are then merged chunk by chunk."""
     size = blocks * BLOCK_BITS // 8
@@ -44,7 +49,7 @@ def build_filter(keys: DataFrame, blocks: int) -> np.ndarray:
     def partial(batches):
         bits = np.zeros(size, np.uint8)
         for batch in batches:
-            at = bit_places(batch.column(0).to_pylist(), blocks).ravel()
+            at = bit_places(_hashes(batch.column(0)), blocks).ravel()
             np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
         for lo in range(0, size, _CHUNK):
             if bits[lo : lo + _CHUNK].any():
@@ -56,7 +61,7 @@ def build_filter(keys: DataFrame, blocks: int) -> np.ndarray:
         whole = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in frame["bits"]])
         return pd.DataFrame({"lo": [key[0]], "bits": [whole.tobytes()]})
 
-    parts = keys.select("key").mapInArrow(partial, "lo bigint, bits binary").groupBy("lo").applyInPandas(merge, "lo bigint, bits binary")
+    parts = keys.select(F.xxhash64("key").alias("hash")).mapInArrow(partial, "lo bigint, bits binary").groupBy("lo").applyInPandas(merge, "lo bigint, bits binary")
     out = np.zeros(size, np.uint8)
     for row in parts.toLocalIterator():  # MOST_BYTES at most
         out[row.lo : row.lo + len(row.bits)] = np.frombuffer(row.bits, np.uint8)
@@ -77,63 +82,66 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_after_scheme(url), "^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def candidate_keys(host: str, path: str, labels: list[int], lengths: list[int]) -> list[str]:
-    """Keys of all entries that could fit."""
-    if not host:
-        return []
-    dots = [-1, *[i for i, c in enumerate(host) if c == "."]]
-    tails = [host[dots[len(dots) - n] + 1 :] for n in labels if n <= len(dots)]
-    heads = [path[:n] for n in lengths if n <= len(path)]
-    return [f"{tail}\n{head}" for tail in tails for head in heads]
+def canonical(host: Column, path: Column) -> Column:
+    """One form of a url: without scheme, port 80 or 443, ``www.``, query, fragment, index page and slashes at the end; null without host."""
+    bare = F.regexp_replace(F.regexp_replace(host, ":(80|443)$", ""), "^www[.]", "")
+    return F.when(host != "", F.concat(bare, F.regexp_replace(F.regexp_replace(path, "/index[.]html?$", "/"), "/+$", "")))
+
+
+def candidate_keys(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
+    """Keys of all rules that could fit."""
+    parts = F.split(host, "[.]")
+    size = F.size(parts)
+    tails = F.filter(F.array(*[F.when(size >= n, F.array_join(F.slice(parts, size - (n - 1), F.lit(n)), ".")) for n in labels]), lambda x: x.isNotNull())
+    heads = F.filter(F.array(*[F.when(F.char_length(path) >= n, F.substring(path, 1, n)) for n in lengths]), lambda x: x.isNotNull())
+    return F.flatten(F.transform(tails, lambda t: F.transform(heads, lambda h: F.concat(t, F.lit("\n"), h))))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, url_col: str = "url") -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` and ``verdict``, whatever other columns it has kept.
 
-    ``rules(host, path, verdict)`` are explicit; ``listed(host, path)`` holds
-    canonical urls to block.  Of the rules that fit the longest wins, the least in
-    order of text among equals; without a rule, a url that a listed entry fits is
-    blocked and any other allowed.  Null urls and those without ``://`` have
-    empty host and path and are allowed.  Entries that are null or have no host
-    fit nothing; of repeated rules with unlike verdicts ``allow`` counts.
-    Repeated rows stay repeated; columns named like the results are replaced.
+    ``rules(host, path, verdict)`` are explicit; ``listed(url)`` holds urls to
+    block.  Of the rules that fit the longest wins, the least in order of text
+    among equals; without a rule, a url whose canonical form is that of a listed
+    one is blocked and any other allowed.  Null urls and those without ``://``
+    have empty host and path and are allowed.  Rules that are null or have no
+    host, and listed urls without host, fit nothing; of repeated rules with
+    unlike verdicts ``allow`` counts.  A url of any length is one row with as
+    many keys as the rules have label counts times path lengths.  Repeated rows
+    stay repeated; columns named like the results are replaced.
     """
     spark = pages.sparkSession
     small_batches(spark, 10_000)
-    entries = rules.select("host", "path", "verdict", F.lit(True).alias("explicit")).unionByName(listed.select("host", "path", F.lit("block").alias("verdict"), F.lit(False).alias("explicit")))
-    entries = entries.where("host is not null and host <> '' and path is not null").withColumn("key", F.concat_ws("\n", "host", "path"))
-    entries = entries.groupBy("key", "explicit").agg(F.min("verdict").alias("verdict"), F.first("host").alias("host"), F.first("path").alias("path"))
-    shape = entries.agg(F.count("*").alias("n"), F.collect_set(F.size(F.split("host", "[.]"))).alias("labels"), F.collect_set(F.char_length("path")).alias("lengths")).first()
-    blocks = filter_blocks(shape.n)
-    shared = spark.sparkContext.broadcast((build_filter(entries, blocks), sorted(shape.labels), sorted(shape.lengths)))
+    ruled = rules.where("host is not null and host <> '' and path is not null").groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
+    ruled = ruled.select(F.concat_ws("\n", "host", "path").alias("key"), "verdict", F.concat("host", "path").alias("rule"))
+    of = lambda url: canonical(host_of(url), path_of(url))
+    entries = listed.select(F.concat(F.lit("="), of(F.col("url"))).alias("key")).where("key is not null").distinct()
+    entries = ruled.unionByName(entries.select("key", F.lit("block").alias("verdict"), F.lit(None).cast("string").alias("rule")))
+    # written: it is counted, put into the filter and joined
+    entries = written(entries, "entries")
+    shape = rules.where("host is not null and host <> '' and path is not null").agg(F.collect_set(F.size(F.split("host", "[.]"))).alias("labels"), F.collect_set(F.char_length("path")).alias("lengths")).first()
+    blocks = filter_blocks(entries.count())
+    shared = spark.sparkContext.broadcast(build_filter(entries, blocks))  # MOST_BYTES at most
 
     def possible(batches):
-        bits, labels, lengths = shared.value
+        bits = shared.value
         for batch in batches:
-            keys, owner = [], []
-            for i, (host, path) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                own = candidate_keys(host, path, labels, lengths)
-                keys += own
-                owner += [i] * len(own)
-            if not keys:
-                continue
-            at = bit_places(keys, blocks)
-            hit = np.flatnonzero(((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1))
-            urls = batch.column(0).take(pa.array([owner[i] for i in hit], pa.int64()))
-            yield pa.RecordBatch.from_arrays([urls, pa.array([keys[i] for i in hit], pa.string())], names=["url", "key"])
+            at = bit_places(_hashes(batch.column(2)), blocks)
+            hit = ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(hit)) for i in (0, 1)], names=["url", "key"])
 
     url = F.col(url_col)
     parts = pages.select(url.alias("url")).where(F.instr("url", "://") > 0).distinct()
-    hits = parts.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).mapInArrow(possible, "url string, key string")
-    exact = hits.join(entries, "key")
-    length = F.char_length("host") + F.char_length("path")
-    best = exact.groupBy("url").agg(
-        F.min_by(F.struct(F.concat("host", "path").alias("rule"), "verdict"), F.when(F.col("explicit"), F.struct(-length, F.concat("host", "path")))).alias("of"),
-        F.bool_or(~F.col("explicit")).alias("listed"),
-    )
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "listed")]
+    parts = parts.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).where("host <> ''")
+    own = F.array(F.concat(F.lit("="), canonical(F.col("host"), F.col("path"))))
+    keys = F.concat(own, candidate_keys(F.col("host"), F.col("path"), sorted(shape.labels), sorted(shape.lengths))) if shape.labels else own
+    asked = parts.select("url", F.explode_outer(keys).alias("key")).select("url", "key", F.xxhash64("key").alias("hash"))
+    exact = asked.mapInArrow(possible, "url string, key string").join(entries, "key")
+    longest = F.when(F.col("rule").isNotNull(), F.struct(-F.char_length("rule"), F.col("rule")))
+    best = exact.groupBy("url").agg(F.min_by(F.struct("rule", "verdict"), longest).alias("of"), F.bool_or(F.col("rule").isNull()).alias("listed"))
     # written, so that the join is of two plain exchanges and a hot url can be split
-    best = written(best, "judged")
-    joined = pages.select(*kept).join(best.withColumnRenamed("url", "__url"), url == F.col("__url"), "left")
+    best = written(best, "judged").withColumnRenamed("url", "__url")
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "listed")]
+    joined = pages.select(*kept).join(best, url == F.col("__url"), "left")
     verdict = F.coalesce("of.verdict", F.when(F.col("listed"), "block"), F.lit("allow"))
     return joined.select(*kept, host_of(url).alias("host"), path_of(url).alias("path"), F.col("of.rule").alias("rule"), verdict.alias("verdict"))

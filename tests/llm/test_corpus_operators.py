@@ -167,15 +167,16 @@ def test_chat_windows(spark):
 
 
 def test_url_rules(spark):
-    urls = ["http://WWW.Example.com/en/x?q", "https://a.example.com/en/", "http://example.com/fr/", "http://example.com", "http://x.net/es/1#f", "http://x.net/es", "http://badcom/", "noscheme", None, "", "http://spam.org/a", "http://spam.org/a", "://h.net/fr/z", "http://a.b.c.d.e.f/g"]
+    urls = ["http://WWW.Example.com/en/x?q", "https://a.example.com/en/", "http://example.com/fr/", "http://example.com", "http://x.net/es/1#f", "http://x.net/es", "http://badcom/", "noscheme", None, "", "http://spam.org/a", "http://spam.org/a", "://h.net/fr/z", "http://a.b.c.d.e.f/g", "ftp://spam.org/a//#x", "http://spam.org/ab", "http://sub.spam.org/a", "http://" + "l" * 5000 + ".org/" + "p" * 50_000]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id bigint, url string").withColumn("key", F.lit("clash")).withColumn("host", F.lit("old"))
     rules = spark.createDataFrame([("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"), (None, "/", "block")], "host string, path string, verdict string")
-    listed = spark.createDataFrame([("spam.org", "/a"), ("spam.org", "/a"), ("", "/")], "host string, path string")
+    listed = spark.createDataFrame([("https://www.SPAM.org:443/a/index.html?x",), ("http://spam.org/a",), (None,), ("noscheme",), ("http:///",), ("http://" + "l" * 5000 + ".org/" + "p" * 50_000,)], "url string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(pages, rules, listed).collect()}
     assert len(got) == len(urls)
     assert got[0] == ("www.example.com", "/en/x", "www.example.com/en/", "allow") and got[1][2:] == ("example.com/en/", "block") and got[2][2:] == ("com/", "allow")
     assert got[3] == ("example.com", "", None, "allow") and got[4][2:] == ("net/es/", "block") and got[5][2:] == (None, "allow") and got[6][2:] == (None, "allow")
     assert all(got[i] == ("", "", None, "allow") for i in (7, 8, 9)) and got[10][2:] == got[11][2:] == (None, "block") and got[12] == ("h.net", "/fr/z", "net/fr/", "block")
+    assert [got[i][3] for i in (14, 15, 16, 17)] == ["block", "allow", "allow", "block"]
     assert url_filter.judge_urls(pages.where("false"), rules, listed).count() == 0
     assert url_filter.judge_urls(pages, rules.where("false"), listed.where("false")).where("verdict = 'block'").count() == 0
 
