@@ -102,8 +102,30 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
-def _rendered(vectors: DataFrame, edited: bool) -> DataFrame:
-    """(id, image): each vector as a grey image of 8 x 8 fields; edited: cropped, dimmed and with noise."""
+def edited(grey, i: int):
+    """One of seven edits of an image, by number: crop with less light and noise, quarter turn, turn by 10 degrees, larger, noise, smaller, small crop."""
+    import numpy as np
+
+    rng = np.random.default_rng(i)
+    y, x = rng.integers(2, 10, 2)
+    kind = i // 20 % 7
+    if kind == 0:
+        return grey[y : y + 54, x : x + 54] * 0.85 + 15 + rng.normal(0, 3, (54, 54))
+    if kind == 1:
+        return np.rot90(grey)
+    if kind == 2:
+        return media._turned(grey, 10.0)
+    if kind == 3:
+        return media._resized(grey, 1.5)
+    if kind == 4:
+        return grey + rng.normal(0, 8, grey.shape)
+    if kind == 5:
+        return media._resized(grey, 0.8)
+    return grey[y + 4 : y + 44, x + 4 : x + 44]
+
+
+def _rendered(vectors: DataFrame, edit: bool) -> DataFrame:
+    """(id, image): each vector as a grey image of 8 x 8 fields, as it is or edited."""
     import numpy as np
     import pyarrow as pa
 
@@ -115,18 +137,14 @@ def _rendered(vectors: DataFrame, edited: bool) -> DataFrame:
                     images.append(None)
                     continue
                 grey = np.kron(np.clip(128 + 400 * np.array(v, float), 0, 255).reshape(8, 8), np.ones((8, 8)))
-                if edited:
-                    rng = np.random.default_rng(i or 0)
-                    y, x = rng.integers(2, 10, 2)
-                    grey = grey[y : y + 54, x : x + 54] * 0.85 + 15 + rng.normal(0, 3, (54, 54))
-                images.append(media.encode_pgm(grey))
+                images.append(media.encode_pgm(edited(grey, i or 0) if edit else grey))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(images, pa.binary())], names=["id", "image"])
 
     return vectors.select("vec_id", "embedding").mapInArrow(kernel, "id bigint, image binary")
 
 
 def op10_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables hold no images, so each vector of ``embeddings`` is drawn as one; every row divisible by 20 is asked for by an edited crop."""
+    """The tables hold no images, so each vector of ``embeddings`` is drawn as one; every row divisible by 20 is asked for by one of seven edits of it."""
     vectors = table(spark, sf_dir, "embeddings")
     classes, found = media.find_copies(_rendered(vectors, False), _rendered(vectors.where("vec_id % 20 = 0"), True))
     lists = found.groupBy("query").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list("class_id")), lambda x: x.cast("string"))).alias("matches"), F.count("*").alias("n_matches"), F.max("agreeing").alias("most_agreeing"))
