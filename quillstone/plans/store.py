@@ -30,6 +30,28 @@ def shared_dir(spark: SparkSession) -> str:
     return held.rstrip("/")
 
 
+#: Paths of the tables written by this process, in order.
+_WRITTEN: list[str] = []
+
+
+def written_so_far() -> int:
+    """How many tables have been written; ``drop_written`` can go back to there."""
+    return len(_WRITTEN)
+
+
+def drop_written(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes the tables written since, but for the last ``keep`` of them.
+
+    Only for when no result that reads them is still to be computed.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = _WRITTEN[since : len(_WRITTEN) - keep]
+    for path in gone:
+        folder_ = jvm.org.apache.hadoop.fs.Path(path).getParent()
+        folder_.getFileSystem(conf).delete(folder_, True)
+    del _WRITTEN[since : since + len(gone)]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df``, written as Parquet to the shared folder and read from there.
 
@@ -38,6 +60,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = folder(spark, name)
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
