@@ -7,6 +7,7 @@ local session, tests) is a folder made here.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -30,26 +31,32 @@ def shared_dir(spark: SparkSession) -> str:
     return held.rstrip("/")
 
 
-#: Paths of the tables written by this process, in order.
-_WRITTEN: list[str] = []
+class _Written(threading.local):
+    """Paths of the tables that a thread has written, in order; another thread's jobs may still read theirs."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_WRITTEN = _Written()
 
 
 def written_so_far() -> int:
-    """How many tables have been written; ``drop_written`` can go back to there."""
-    return len(_WRITTEN)
+    """How many tables this thread has written; ``drop_written`` can go back to there."""
+    return len(_WRITTEN.paths)
 
 
 def drop_written(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
-    """Deletes the tables written since, but for the last ``keep`` of them.
+    """Deletes the tables that this thread has written since, but for the last ``keep`` of them.
 
     Only for when no result that reads them is still to be computed.
     """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    gone = _WRITTEN[since : len(_WRITTEN) - keep]
+    gone = _WRITTEN.paths[since : len(_WRITTEN.paths) - keep]
     for path in gone:
         folder_ = jvm.org.apache.hadoop.fs.Path(path).getParent()
         folder_.getFileSystem(conf).delete(folder_, True)
-    del _WRITTEN[since : since + len(gone)]
+    del _WRITTEN.paths[since : since + len(gone)]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -60,7 +67,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = folder(spark, name)
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    _WRITTEN.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
