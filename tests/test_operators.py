@@ -2,6 +2,7 @@
 
 import json
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import text as T
 from quillstone.operators import audit, bytepairs, contamination, dedup, quality, serving, shards
 from quillstone.operators.components import connected_components
+from quillstone.plans import store
 from quillstone.queries.jobs import calculate, dispatch
 
 
@@ -133,6 +135,35 @@ def test_byte_pairs():
     assert bytepairs.train(pieces, 256 + len(again)) == again
 
 
+def test_trained_merges_of_any_pieces():
+    rng = random.Random(5)
+    for _ in range(30):
+        pieces = {"".join(rng.choices("ab\0é", k=rng.randint(1, 9))): rng.randint(1, 4) for _ in range(rng.choice([0, 1, 3, 12]))}
+        least, ids, want = rng.choice([1, 2]), {p: list(p.encode()) for p in pieces}, []
+        while True:
+            count = {}
+            for p, n in pieces.items():
+                for pair, c in bytepairs.pair_counts(ids[p]).items():
+                    count[pair] = count.get(pair, 0) + c * n
+            best = max(count, key=lambda p: (count[p], -p[0], -p[1]), default=None)
+            if best is None or count[best] < least:
+                break
+            want.append(best)
+            ids = {p: bytepairs.merge(x, best, 255 + len(want)) for p, x in ids.items()}
+        assert bytepairs.train(pieces, 1000, least) == want
+
+
+def test_a_thread_deletes_its_own_tables_only(spark):
+    kept, began = store.written(spark.range(5), "kept"), store.written_so_far()
+    other = threading.Thread(target=lambda: (store.written(spark.range(3), "other"), store.drop_written(spark)))
+    other.start()
+    mine = [store.written(spark.range(n), "mine") for n in (6, 7)]
+    other.join()
+    assert [df.count() for df in (kept, *mine)] == [5, 6, 7] and store.written_so_far() == began + 2
+    store.drop_written(spark, began, keep=1)
+    assert kept.count() == 5 and mine[1].count() == 7 and store.written_so_far() == began + 1
+
+
 def test_scheduler_and_pages():
     done = serving.continuous_batching([(0, 2), (1, 1), (2, 3)], 2)
     assert {r: (a, f) for r, a, f in done} == {0: (0, 2), 1: (0, 1), 2: (1, 4)}
