@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import bpe, chat, langid, media, pii, quality, recompress, simhash, url_filter, winnow
+from quillstone.llm import bpe, chat, filter_audit, langid, media, phrases, pieces, pii, quality, recompress, simhash, url_filter, winnow
 from quillstone.sources.tables import table
 
 
@@ -152,6 +152,29 @@ def op10_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("vec_id"), "class_id", F.coalesce(F.col("id") % 20 == 0, F.lit(False)).alias("is_query"), "matches", F.coalesce("n_matches", F.lit(0)).alias("n_matches"), "most_agreeing")
 
 
+def piece_model() -> str:
+    """Path of the public merge-type model that the query uses."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), piece_model())
+
+
+#: Phrases of each language that the query returns.
+BEST = 2000
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"), F.coalesce("lang", F.lit("und")), top=BEST).withColumnRenamed("part", "lang")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("lang"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_url_filter": op2_url_filter,
@@ -163,6 +186,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_media_copies": op10_media_copies,
+    "op11_sentencepiece": op11_sentencepiece,
+    "op12_phrases": op12_phrases,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 #: Words of a lower-cased text (A-Z only).
@@ -249,7 +275,62 @@ part AS (SELECT doc_id, n, r, coalesce(string_agg(word, ' ' ORDER BY p) FILTER (
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha256(kept) AS kept_sha256 FROM (SELECT * FROM whole UNION ALL SELECT * FROM part)
 """
 
+OP12_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+x AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+grams AS (
+  SELECT lang, k, phrase, count(*) AS f FROM (
+    SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM x, (VALUES (1), (2), (3)) AS sizes(k) WHERE i + k - 1 <= len(w)) GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE k > 1 AND f >= 10),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, c.k, c.w, cut, l.f AS l, r.f AS r,
+         CAST(1000000 AS HUGEINT) * c.a * c.a // (CAST(l.f AS HUGEINT) * r.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM cand) c
+  JOIN grams l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : cut], ' ')
+  JOIN grams r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[cut + 1 :], ' ')),
+low AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS o FROM cuts),
+inside AS (
+  SELECT lang, phrase, max(f) AS f FROM (
+    SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a AS f FROM cand WHERE k = 3
+    UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM cand WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT low.* FROM low LEFT JOIN inside USING (lang, phrase) WHERE o = 1 AND NOT coalesce(100 * inside.f >= 50 * a, false)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT ranked.lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+OP13_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+q AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+flags AS (
+  SELECT part, len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b,
+         100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+         coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), false) AS e, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM w LEFT JOIN q ON q.doc_id = w.doc_id),
+kinds AS (SELECT part, CAST(a AS INT) + 2 * CAST(b AS INT) + 4 * CAST(c AS INT) + 8 * CAST(d AS INT) + 16 * CAST(e AS INT) AS fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM flags GROUP BY ALL),
+f(x, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+  SELECT f1.x || f2.x || f3.x || f4.x || f5.x AS filter_order, [f1.bit, f2.bit, f3.bit, f4.bit, f5.bit] AS bits
+  FROM f f1, f f2, f f3, f f4, f f5 WHERE f1.bit + f2.bit + f3.bit + f4.bit + f5.bit = 31 AND len(list_distinct([f1.bit, f2.bit, f3.bit, f4.bit, f5.bit])) = 5),
+steps AS (SELECT filter_order, step, bits[step] AS own, CAST(coalesce(list_sum(bits[1 : step - 1]), 0) AS INT) AS before FROM (SELECT *, unnest(range(1, 6)) AS step FROM orders)),
+met AS (
+  SELECT part, filter_order, step, own,
+         sum(n) FILTER (fails & (before | own) = 0) AS kept, sum(n) FILTER (fails & own <> 0 AND fails & before = 0) AS removed,
+         sum(n) FILTER (fails & own <> 0 AND fails & before <> 0) AS redundant, sum(n) FILTER (fails = own) AS unique_fails,
+         sum(good) FILTER (fails & own <> 0 AND fails & before = 0) AS good_lost, sum(toxic) FILTER (fails & own <> 0 AND fails & before = 0) AS toxic_lost
+  FROM kinds, steps GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+       CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM met
+"""
+
 ORACLES: dict[str, str] = {
+    "op12_phrases": OP12_SQL,
+    "op13_filter_audit": OP13_SQL,
     "op3_substring_dedup": OP3_SQL,
     "op2_url_filter": OP2_SQL,
     "op7_chat_format": OP7_SQL,
