@@ -95,22 +95,19 @@ def audit_filters(docs: DataFrame, labels: DataFrame, part: Column, filters: dic
 def _joint_failures(counted: DataFrame, own: int, copies: bool) -> DataFrame:
     """(part, all_n, good_n, toxic_n): arrays by set of filters, as a bit mask, of the documents that fail all of it.
 
-    A filter's flag is a bit of ``mask``; a set's product is 1 where the mask
-    holds the set.  A set with the copies' filter counts rows less fresh ones.
+    A filter's flag is a bit of ``mask``; a set's product of flags is 1 where all
+    of it fail.  A set with the copies' filter counts rows less fresh ones.
     """
-    weights = {"all_n": F.lit(1), "good_n": F.col("good").cast("int"), "toxic_n": F.col("toxic").cast("int")}
+    weights = {"all_n": "1", "good_n": "CAST(good AS INT)", "toxic_n": "CAST(toxic AS INT)"}
     sums = []
     for name, weight in weights.items():
         of = []
         for s in range(1 << (own + copies)):
-            among = F.lit(1)
-            for i in range(own):
-                if s >> i & 1:
-                    among = among * F.col("mask").bitwiseAND(1 << i).cast("boolean").cast("int")
-            number = F.col("n") - F.col("fresh") if s >> own else F.col("n")
-            of.append(F.sum(number * among * weight))
-        sums.append(F.array(*of).alias(name))
-    return counted.groupBy("part").agg(*sums)
+            flags = [f"f{i}" for i in range(own) if s >> i & 1]
+            of.append(f"sum({' * '.join(['(n - fresh)' if s >> own else 'n', *flags, weight])})")
+        sums.append(F.expr(f"array({', '.join(of)})").alias(name))
+    flags = [f"mask div {1 << i} % 2 AS f{i}" for i in range(own)]
+    return counted.selectExpr("*", *flags).groupBy("part").agg(*sums)
 
 
 def _answers(sums: DataFrame, letters: list[str]) -> DataFrame:
