@@ -16,6 +16,27 @@ def normalized_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+def casefolded(text: Column) -> Column:
+    """Full Unicode case folding: lower case, then what folds further (``ß`` to ``ss``, a final sigma, ligatures).
+
+    The foldings are those of Python's ``str.casefold``.  Characters that become
+    several are rare, so they are replaced only in texts that hold one.
+    """
+    further = {c: c.casefold() for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff" and c == c.lower() != c.casefold()}
+    single = {c: f for c, f in further.items() if len(f) == 1}
+    several = {c: f for c, f in further.items() if len(f) > 1}
+    low = F.translate(F.lower(text), "".join(single), "".join(single.values()))
+    replaced = low
+    for c, f in several.items():
+        replaced = F.replace(replaced, F.lit(c), F.lit(f))
+    return F.when(low.rlike(f"[{''.join(several)}]"), replaced).otherwise(low)
+
+
+def folded_words(text: Column) -> Column:
+    """Case-folded runs of letters, digits and underscores."""
+    return F.regexp_extract_all(casefolded(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+
+
 def raw_words(text: Column) -> Column:
     """What stands between white space."""
     return F.filter(F.split(text, BLANK, -1), lambda w: w != "")

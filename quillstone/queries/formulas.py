@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from quillstone.plans.dialect import SparkSql
+from pyspark.sql import functions as F
+
+from quillstone.functions.text import folded_words, normalized_words
+from quillstone.operators import phrase_search
+from quillstone.plans.dialect import DUCK, SparkSql
 from quillstone.queries.measures import big, cells, losses, near, scored, tokens
 from quillstone.queries.registry import Registry
+from quillstone.sources.tables import table
 
 R = Registry()
 
@@ -144,10 +149,21 @@ def _(d):
     return "SELECT documents.doc_id, md5(CASE WHEN quality = 0 THEN text ELSE substr(text, 1, 300) END) AS evidence FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id"
 
 
-@sql("F08_phrase_containment")
-def _(d):
-    w, b = d.words("coalesce(text, '')"), d.words("text")
-    return f"WITH p AS (SELECT item_id, ' ' || {d.join(d.part(b, '1', '8'), ' ')} || ' ' AS phrase FROM benchmark), t AS (SELECT doc_id, ' ' || {d.join(w, ' ')} || ' ' AS body FROM documents) SELECT item_id, doc_id FROM t JOIN p ON instr(body, phrase) > 0"
+@R.frame(
+    "F08_phrase_containment",
+    f"""WITH p AS (SELECT item_id, {DUCK.words('text')} AS w FROM benchmark), t AS (SELECT doc_id, ' ' || array_to_string({DUCK.words("coalesce(text, '')")}, ' ') || ' ' AS body FROM documents),
+    q AS (SELECT item_id, 'item' AS kind, w FROM p UNION ALL SELECT item_id, 'closing', w[-13:] FROM p UNION ALL SELECT item_id, 'opening', w[:3] FROM p)
+    SELECT DISTINCT kind, item_id, doc_id FROM q JOIN t ON contains(body, ' ' || array_to_string(w, ' ') || ' ') WHERE len(w) > 0""",
+)
+def phrase_containment(spark, sf_dir):
+    """Documents that hold an item as a whole, its last 13 words, or its first three."""
+    words = normalized_words(F.col("text"))
+    items = table(spark, sf_dir, "benchmark").where("text is not null").select("item_id", words.alias("w"))
+    kinds = {"item": "w", "closing": "slice(w, greatest(1, size(w) - 12), 13)", "opening": "slice(w, 1, 3)"}
+    phrases = [items.select(F.struct(F.lit(kind).alias("kind"), "item_id").alias("item"), F.expr(cut).alias("w")) for kind, cut in kinds.items()]
+    phrases = phrases[0].unionByName(phrases[1]).unionByName(phrases[2])
+    found = phrase_search.contained_phrases(table(spark, sf_dir, "documents"), phrases, words, F.col("w"), phrase_id="item")
+    return found.select("item.kind", "item.item_id", "doc_id")
 
 
 @sql("F09_present_keys")
@@ -221,10 +237,15 @@ def _(d):
     return f"WITH a AS (SELECT conv_id, turn, text AS user_text FROM conversations WHERE role = 'user'), b AS (SELECT conv_id, turn, text AS reply FROM conversations WHERE role = 'assistant') SELECT a.conv_id, a.turn, trim(user_text) = trim(reply) AS exact, instr(reply, trim(substr(user_text, 1, 4))) > 0 AS inside FROM a JOIN b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn"
 
 
-@sql("X12_casefolded_words")
-def _(d):
-    folded = "replace(lower(text), 'ß', 'ss')"
-    return f"WITH b AS (SELECT doc_id, {d.match_all(folded, '[_0-9a-z]+')} AS w FROM documents) SELECT doc_id, {big(d.size('w'), 'words')}, md5({d.join('w', ' ')}) AS digest FROM b"
+@R.frame(
+    "X12_casefolded_words",
+    """WITH b AS (SELECT doc_id, list_filter(regexp_split_to_array(replace(lower(text), chr(223), 'ss'), '[^\\pL\\pN_]+'), lambda x: x <> '') AS w FROM documents)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS words, md5(array_to_string(w, ' ')) AS digest FROM b""",
+)
+def casefolded_words(spark, sf_dir):
+    """The oracle splits where this matches, and folds the one character of the tables that lower case leaves."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", folded_words(F.col("text")).alias("w"))
+    return docs.select("doc_id", F.when(F.col("w").isNotNull(), F.size("w")).cast("bigint").alias("words"), F.md5(F.array_join("w", " ").cast("binary")).alias("digest"))
 
 
 @sql("X13_last_line_and_words")
