@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
-from quillstone.operators import audit, bytepairs, contamination, dedup, quality, serving, shards
+from quillstone.operators import audit, bytepairs, contamination, dedup, quality, ranks, serving, shards
 from quillstone.plans.dialect import DUCK
 from quillstone.plans.store import folder
 from quillstone.queries import formulas, jobs
@@ -192,9 +192,16 @@ def _(d):
     return f"WITH {cell}, r AS (SELECT vec_id, i, x, max(x) OVER (PARTITION BY vec_id ORDER BY i) AS m, max(x) OVER (PARTITION BY vec_id) AS top FROM cell) SELECT vec_id, {near('sum(exp(x - m) * exp(m - top))', 'denominator')} FROM r GROUP BY vec_id"
 
 
-@sql("W20_range_frames")
-def _(d):
-    return f"SELECT event_id, {big('count(*) OVER (PARTITION BY user_id ORDER BY event_id RANGE BETWEEN 500 PRECEDING AND CURRENT ROW)', 'recent')}, {big('ntile(4) OVER (PARTITION BY event_type ORDER BY value, event_id)', 'quarter')} FROM events"
+@R.frame("W20_range_frames", f"SELECT event_id, {big('count(*) OVER (PARTITION BY user_id ORDER BY event_id RANGE BETWEEN 500 PRECEDING AND CURRENT ROW)', 'recent')}, {big('ntile(4) OVER (PARTITION BY event_type ORDER BY value, event_id)', 'quarter')} FROM events")
+def range_frames(spark, sf_dir):
+    """Rows of a user in the last 500 ids; and quarters of a type, from places that ranges of it are given apart."""
+    recent = F.expr("count(*) OVER (PARTITION BY user_id ORDER BY event_id RANGE BETWEEN 500 PRECEDING AND CURRENT ROW)").alias("recent")
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", "value", recent)
+    placed = ranks.places(rows, ["event_type"], [F.col("value"), F.col("event_id")])
+    # the first (size mod 4) quarters hold one row more
+    large = "(group_size % 4) * (group_size div 4 + 1)"
+    quarter = f"CASE WHEN place <= {large} THEN (place - 1) div (group_size div 4 + 1) + 1 ELSE group_size % 4 + (place - 1 - {large}) div greatest(group_size div 4, 1) + 1 END"
+    return placed.select("event_id", "recent", F.expr(quarter).cast("bigint").alias("quarter"))
 
 
 @sql("O10_greedy_chain")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import normalized_words
-from quillstone.operators import shards
+from quillstone.functions.text import hash32, normalized_words
+from quillstone.operators import ranks, shards
 from quillstone.plans.dialect import DUCK, SparkSql
 from quillstone.queries.registry import Registry
 from quillstone.sources.tables import table
@@ -128,14 +128,15 @@ def _(d):
     return f"WITH u AS (SELECT user_id, avg(CASE WHEN event_type = 'click' THEN value END) AS a, avg(CASE WHEN event_type = 'purchase' THEN value END) AS b FROM events GROUP BY user_id) SELECT {near('avg(a - b)', 'mean')}, {near('stddev_samp(a - b) / sqrt(count(a - b))', 'se')}, {big('count(a - b)', 'n')} FROM u"
 
 
-@sql("A21_percentiles")
-def _(d):
-    return f"SELECT event_type, {near(d.quantile('value', 0.5), 'p50')}, {near(d.quantile('value', 0.99), 'p99')} FROM events GROUP BY event_type"
+@R.frame("A21_percentiles", f"SELECT event_type, {near(DUCK.quantile('value', 0.5), 'p50')}, {near(DUCK.quantile('value', 0.99), 'p99')} FROM events GROUP BY event_type")
+def percentiles(spark, sf_dir):
+    out = ranks.quantiles(table(spark, sf_dir, "events"), ["event_type"], "value", {"p50": 0.5, "p99": 0.99})
+    return out.select("event_type", *[F.expr(near(c, c)) for c in ("p50", "p99")])
 
 
-@sql("A22_upper_median")
-def _(d):
-    return f"WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT user_id, value AS upper_median FROM r WHERE k = {d.div('n', '2')} + 1"
+@R.frame("A22_upper_median", "WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT user_id, value AS upper_median FROM r WHERE k = n // 2 + 1")
+def upper_median(spark, sf_dir):
+    return ranks.values_at_ranks(table(spark, sf_dir, "events"), ["user_id"], "value", {"upper_median": "n div 2"}).drop("n")
 
 
 @sql("A23_rare_tokens")
@@ -250,9 +251,9 @@ def _(d):
     return f"WITH g AS (SELECT lang, CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE 'b' END AS run, avg(n_chars) AS m FROM documents GROUP BY lang, CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE 'b' END), p AS (SELECT lang, max(CASE WHEN run = 'a' THEN m END) - max(CASE WHEN run = 'b' THEN m END) AS d FROM g GROUP BY lang) SELECT x.lang, {near('x.d - y.d', 'did')} FROM p x CROSS JOIN p y WHERE y.lang = 'en' AND x.lang <> 'en'"
 
 
-@sql("A46_median")
-def _(d):
-    return f"SELECT source, {near(d.quantile('n_chars', 0.5), 'median')} FROM documents GROUP BY source"
+@R.frame("A46_median", f"SELECT source, {near(DUCK.quantile('n_chars', 0.5), 'median')} FROM documents GROUP BY source")
+def median(spark, sf_dir):
+    return ranks.quantiles(table(spark, sf_dir, "documents"), ["source"], "n_chars", {"median": 0.5}).select("source", F.expr(near("median", "median")))
 
 
 @sql("A48_best_so_far")
@@ -266,9 +267,14 @@ def _(d):
     return f"WITH {losses(d)}, w AS (SELECT doc_id, CASE WHEN {pick} % 10 = 0 THEN 'val' ELSE 'train' END AS split, avg(nats) AS loss FROM loss GROUP BY doc_id) SELECT split, {near('avg(loss)', 'loss')}, {near('exp(avg(loss))', 'perplexity')} FROM w GROUP BY split"
 
 
-@sql("A50_timing_rates")
-def _(d):
-    return f"WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS run FROM events) SELECT event_type, {near('count(*) / sum(value)', 'rate')} FROM r WHERE run > 3 GROUP BY event_type"
+@R.frame("A50_timing_rates", f"WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS run FROM events) SELECT event_type, {near('count(*) / sum(value)', 'rate')} FROM r WHERE run > 3 GROUP BY event_type")
+def timing_rates(spark, sf_dir):
+    """All runs less the first three, which every task narrows down to three before they meet."""
+    events = table(spark, sf_dir, "events")
+    runs = events.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    warm = events.withColumn("run", F.expr("row_number() OVER (PARTITION BY event_type ORDER BY event_id)")).where("run <= 3")
+    warm = warm.groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("few"), F.sum("value").alias("part"))
+    return runs.join(warm, F.col("event_type").eqNullSafe(F.col("kind"))).where("n > few").select("event_type", F.expr(near("(n - few) / (total - part)", "rate")))
 
 
 @sql("A44_kept_and_dropped")
@@ -411,10 +417,11 @@ def _(d):
     return f"WITH {cells(d)}, opt AS (SELECT vec_id, label, {d.div('i', '16')} AS i, sum(x) AS x FROM cell GROUP BY vec_id, label, {d.div('i', '16')}), r AS (SELECT vec_id, label, i, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS k FROM opt) SELECT vec_id, {big('i', 'pick')}, i = label % 4 AS correct FROM r WHERE k = 1"
 
 
-@sql("O15_seeded_shuffle")
-def _(d):
-    key = d.h32("concat('42/', CAST(doc_id AS STRING))" if d.engine == "spark" else "'42/' || CAST(doc_id AS VARCHAR)")
-    return f"WITH k AS (SELECT doc_id, source, {key} AS key FROM documents) SELECT doc_id, {big('row_number() OVER (PARTITION BY source ORDER BY key, doc_id)', 'place')}, key % 2 = 1 AS swapped FROM k"
+@R.frame("O15_seeded_shuffle", f"WITH k AS (SELECT doc_id, source, {DUCK.h32(chr(39) + '42/' + chr(39) + ' || CAST(doc_id AS VARCHAR)')} AS key FROM documents) SELECT doc_id, {big('row_number() OVER (PARTITION BY source ORDER BY key, doc_id)', 'place')}, key % 2 = 1 AS swapped FROM k")
+def seeded_shuffle(spark, sf_dir):
+    key = hash32(F.concat(F.lit("42/"), F.col("doc_id").cast("string")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", key.alias("key"))
+    return ranks.places(docs, ["source"], [F.col("key"), F.col("doc_id")]).select("doc_id", "place", (F.col("key") % 2 == 1).alias("swapped"))
 
 
 @sql("O16_numeric_names")
