@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.plans.store import written
+
 
 def positions(sized: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", parts: int | None = None) -> DataFrame:
     """``sized`` with ``first_token``: tokens of all documents of smaller id.
@@ -14,15 +16,9 @@ def positions(sized: DataFrame, id_col: str = "doc_id", size_col: str = "n_token
     then offset by what lies before it.  Unless their number is given, there is
     a range for every two million rows, and at least 16.
     """
-    spark = sized.sparkSession
     parts = parts or max(16, sized.select(id_col).count() // 2_000_000)
-    bounds = sized.approxQuantile(id_col, [i / parts for i in range(1, parts)], 0.01) if parts > 1 else []
-    cuts = sorted(set(bounds))
-    if cuts:
-        edges = F.broadcast(spark.createDataFrame([(cuts,)], "cuts array<double>"))
-        part = sized.crossJoin(edges).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col(id_col)))).drop("cuts")
-    else:
-        part = sized.withColumn("part", F.lit(0))
+    # written: the number of a row's range is then fixed
+    part = written(sized.repartitionByRange(parts, id_col).withColumn("part", F.spark_partition_id()), "ranges")
     totals = part.groupBy("part").agg(F.sum(size_col).alias("total"))
     before = totals.withColumn("before", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
     inner = F.coalesce(F.sum(size_col).over(Window.partitionBy("part").orderBy(id_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -308,6 +308,23 @@ def streamed(spark, sf_dir):
     return spark.read.parquet(target).agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"))
 
 
+@R.frame(
+    "Z05_budgeted_documents",
+    f"""WITH {jobs._SIZED}, b AS (SELECT coalesce(doc_id, 0) % 6 AS batch, sum(n_tokens - 1) AS n, count(*) AS docs FROM s GROUP BY 1), o AS (SELECT *, sum(n) OVER (ORDER BY batch) AS upto, (SELECT sum(n) FROM b) * 2 // 5 AS budget FROM b)
+    SELECT batch, CAST(docs AS BIGINT) AS docs, CAST(n AS BIGINT) AS tokens, CAST(upto AS BIGINT) AS total FROM o WHERE upto - n < budget""",
+)
+def budgeted_documents(spark, sf_dir):
+    """Six files arrive; two runs, the first with a fifth of all tokens as its budget, the second with two fifths."""
+    source, target, check = (folder(spark, x) for x in ("in", "out", "check"))
+    docs = documents(spark, sf_dir)
+    for k in range(6):
+        docs.where(F.coalesce("doc_id", F.lit(0)) % 6 == k).coalesce(1).write.mode("append").parquet(source)
+    total = jobs.sized(spark, sf_dir).agg(F.sum(F.col("n_tokens") - 1)).first()[0] or 0
+    for budget in (total // 5, total * 2 // 5):
+        ingest.ingest_documents(spark, source, target, check, max_tokens=budget)
+    return ingest.ledger(spark, target).select("batch", "docs", "tokens", "total")
+
+
 @R.frame("V03_page_pool")
 def page_pool(spark, sf_dir):
     """Pages of each scheduler's requests, handed out and taken back in order."""

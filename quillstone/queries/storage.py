@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from quillstone.functions.text import hash32, normalized_words
+from quillstone.operators import shards
 from quillstone.operators.components import connected_components
 from quillstone.plans.dialect import DUCK
 from quillstone.plans.store import folder, put_bytes, small_batches
+from quillstone.queries import jobs
 from quillstone.queries.corpus import W
 from quillstone.queries.registry import Registry
-from quillstone.sources import files
+from quillstone.sources import files, token_shards
 from quillstone.sources.tables import table
 from quillstone.streaming import ingest
 
@@ -30,16 +32,43 @@ def text_blocks(spark, sf_dir):
     return files.text_blocks(spark, path).agg(F.count("*").alias("blocks"), F.sum(F.length("text")).alias("chars"), F.countDistinct("text").alias("unlike"))
 
 
-@R.frame("S06_raw_tokens", f"SELECT CAST(count(*) AS BIGINT) AS tokens, CAST(sum(n * (p - 1)) AS BIGINT) AS checksum FROM (SELECT length(t) AS n, row_number() OVER (ORDER BY item_id, i) AS p FROM (SELECT item_id, unnest(w) AS t, unnest(range(len(w))) AS i FROM (SELECT item_id, {DUCK.words('text')} AS w FROM benchmark)))")
+#: Stand-in ids: 16 bits of a word's digest, below the end token.
+END_TOKEN = 50256
+_IDS = f"""ids AS (SELECT doc_id, strlen(coalesce(text, '')) AS text_bytes, list_concat(list_transform({W}, lambda x: {DUCK.h32('x')} % {END_TOKEN}), [{END_TOKEN}]) AS t FROM documents),
+    laid AS (SELECT *, CAST(sum(len(t)) OVER (ORDER BY doc_id) AS BIGINT) - len(t) AS p0 FROM ids),
+    tok AS (SELECT p0 + i - 1 AS p, tok FROM (SELECT p0, unnest(t) AS tok, unnest(range(1, len(t) + 1)) AS i FROM laid)),
+    sh AS (SELECT CASE WHEN p < {jobs.VAL_TOKENS} THEN 0 ELSE 1 + (p - {jobs.VAL_TOKENS}) // {jobs.SHARD_TOKENS} END AS shard, CASE WHEN p < {jobs.VAL_TOKENS} THEN p ELSE (p - {jobs.VAL_TOKENS}) % {jobs.SHARD_TOKENS} END AS place, tok FROM tok)"""
+
+
+def _token_shards(spark, sf_dir) -> str:
+    """All documents as raw token shards in a new folder; tasks write them."""
+    ids = F.concat(F.transform(normalized_words(F.coalesce("text", F.lit(""))), lambda w: (hash32(w) % END_TOKEN).cast("int")), F.array(F.lit(END_TOKEN)))
+    docs = table(spark, sf_dir, "documents").select("doc_id", ids.alias("tokens"), F.octet_length(F.coalesce("text", F.lit(""))).alias("text_bytes"))
+    path = folder(spark, "shards")
+    laid = shards.positions(docs.withColumn("n_tokens", F.size("tokens")))
+    token_shards.write_shards(token_shards.token_pieces(laid, jobs.VAL_TOKENS, jobs.SHARD_TOKENS), path)
+    return path
+
+
+def _summed(rows):
+    """Tokens of each shard, and a sum that a token at another place changes."""
+    weighed = F.expr("aggregate(transform(tokens, (t, i) -> CAST(t AS BIGINT) * (first + i + 1)), 0L, (a, b) -> a + b)")
+    return rows.groupBy("split", F.col("shard").cast("bigint").alias("shard")).agg(F.sum(F.size("tokens")).alias("tokens"), F.sum(weighed).alias("checksum"))
+
+
+@R.frame("S06_raw_tokens", f"WITH {_IDS} SELECT CASE WHEN shard = 0 THEN 'val' ELSE 'train' END AS split, CAST(shard AS BIGINT) AS shard, count(*) AS tokens, CAST(sum(tok * (place + 1)) AS BIGINT) AS checksum FROM sh GROUP BY shard")
 def raw_tokens(spark, sf_dir):
-    """The lengths of the benchmark's words as raw 16-bit tokens: written as one file, scanned with their places."""
-    from quillstone.functions.text import normalized_words
+    """Written by tasks, read back in ranges of 20,000 tokens."""
+    return _summed(token_shards.read_shards(spark, _token_shards(spark, sf_dir), range=20_000))
+
 
-    lists = table(spark, sf_dir, "benchmark").orderBy("item_id").select(F.transform(normalized_words(F.col("text")), F.length).alias("n")).toLocalIterator()
-    raw = np.concatenate([np.array(r.n, "<u2") for r in lists] or [np.zeros(0, "<u2")]).tobytes()  # a small table
-    path = folder(spark, "tokens.bin")
-    put_bytes(spark, path, raw)
-    return files.uint16_tokens(spark, path).agg(F.count("*").alias("tokens"), F.sum(F.col("token") * F.col("pos")).alias("checksum"))
+@R.frame(
+    "S07_loader_shards",
+    f"WITH {_IDS}, n AS (SELECT shard, count(*) AS n FROM sh WHERE shard > 0 GROUP BY shard HAVING count(*) > 30001), b AS (SELECT shard, least(n, 500000 - CAST(coalesce(sum(n) OVER (ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT)) AS n FROM n) SELECT 'train' AS split, CAST(shard AS BIGINT) AS shard, count(*) AS tokens, CAST(sum(tok * (place + 1)) AS BIGINT) AS checksum FROM sh JOIN b USING (shard) WHERE place < b.n GROUP BY shard",
+)
+def loader_shards(spark, sf_dir):
+    """What a loader of windows of 30,000 tokens and a target may draw from: longer training shards, half a million tokens of them at most."""
+    return _summed(token_shards.read_shards(spark, _token_shards(spark, sf_dir), split="train", longer_than=30_001, count=500_000))
 
 
 @R.frame("S09_json_document", "SELECT n_regionkey AS region, count(*) AS nations, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
