@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
-from quillstone.operators import audit, bytepairs, contamination, dedup, quality, ranks, serving, shards
+from quillstone.operators import audit, bytepairs, contamination, dedup, overlap, quality, ranks, serving, shards
 from quillstone.plans.dialect import DUCK
 from quillstone.plans.store import folder
 from quillstone.queries import formulas, jobs
@@ -166,10 +166,13 @@ def later_copies(spark, sf_dir):
     return dedup.near_duplicates(documents(spark, sf_dir)).where("cluster <> doc_id").select("doc_id")
 
 
-@sql("D20_training_copies")
-def _(d):
-    words = d.words("coalesce(text, '')")
-    return f"WITH g AS (SELECT doc_id, {d.distinct(d.grams('w', 20))} AS g FROM (SELECT doc_id, {words} AS w FROM documents) q), x AS (SELECT doc_id, gram FROM {d.rows('g', 'g', 'p', 'gram')}), c AS (SELECT gram, min(doc_id) AS m FROM x GROUP BY gram) SELECT x.doc_id, max(CASE WHEN x.doc_id > m THEN 1 ELSE 0 END) = 1 AS copied FROM x JOIN c ON x.gram = c.gram GROUP BY x.doc_id"
+@R.frame(
+    "D20_training_copies",
+    f"WITH g AS (SELECT doc_id, {DUCK.distinct(DUCK.grams('w', 20))} AS g FROM (SELECT doc_id, {W} AS w FROM documents) q), x AS (SELECT doc_id, gram FROM {DUCK.rows('g', 'g', 'p', 'gram')}), c AS (SELECT gram, min(doc_id) AS m FROM x GROUP BY gram) SELECT x.doc_id, max(CASE WHEN x.doc_id > m THEN 1 ELSE 0 END) = 1 AS copied FROM x JOIN c ON x.gram = c.gram GROUP BY x.doc_id",
+)
+def training_copies(spark, sf_dir):
+    out = overlap.shared_windows(documents(spark, sf_dir), T.normalized_words(F.col("text")))
+    return out.where("windows > 0").select("doc_id", (F.col("matched") > 0).alias("copied"))
 
 
 @sql("U02_word_sets")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import hash32, normalized_words
-from quillstone.operators import ranks, shards
+from quillstone.operators import overlap, ranks, shards
 from quillstone.plans.dialect import DUCK, SparkSql
 from quillstone.queries.registry import Registry
 from quillstone.sources.tables import table
@@ -346,12 +346,17 @@ def _(d):
     return f"WITH {tokens(d)}, vocab AS (SELECT DISTINCT tok FROM tok), spelt AS (SELECT tok, {d.chars(_cat(d, chr(39) + '...' + chr(39), 'tok', chr(39) + '.' + chr(39)))} AS cs FROM vocab), ch AS (SELECT tok, p, c FROM {d.rows('spelt', 'cs', 'p', 'c')} WHERE c <> ''), cx AS (SELECT tok, c AS target, lag(c, 3) OVER w || lag(c, 2) OVER w || lag(c, 1) OVER w AS context FROM ch WINDOW w AS (PARTITION BY tok ORDER BY p)) SELECT context, target, {big('count(*)', 'n')} FROM cx WHERE context IS NOT NULL GROUP BY context, target"
 
 
-@sql("W12_covered_share")
-def _(d):
+def _covered_by_text(d: SparkSql) -> str:
     words = d.words("coalesce(text, '')")
     return f"WITH w AS (SELECT doc_id, {words} AS w FROM documents), g AS (SELECT doc_id, {d.grams('w', 20)} AS g FROM w), x AS (SELECT doc_id, p, gram FROM {d.rows('g', 'g', 'p', 'gram')}), c AS (SELECT gram, min(doc_id) AS first_doc FROM x GROUP BY gram), hit AS (SELECT doc_id, p FROM x JOIN c ON x.gram = c.gram WHERE doc_id <> first_doc), nxt AS (SELECT doc_id, p, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM hit), cov AS (SELECT doc_id, count(*) AS matches, sum(least(20, coalesce(q - p, 20))) AS covered FROM nxt GROUP BY doc_id) SELECT w.doc_id, {big('coalesce(matches, 0)', 'matches')}, {near('CASE WHEN ' + d.size('w') + ' > 0 THEN coalesce(covered, 0) / CAST(' + d.size('w') + ' AS DOUBLE) ELSE 0.0 END', 'covered')} FROM w LEFT JOIN cov ON w.doc_id = cov.doc_id"
 
 
+@R.frame("W12_covered_share", _covered_by_text(DUCK))
+def covered_share(spark, sf_dir):
+    out = overlap.shared_windows(table(spark, sf_dir, "documents"), normalized_words(F.col("text")))
+    return out.select("doc_id", "matches", F.expr(near("CASE WHEN n_words > 0 THEN covered / CAST(n_words AS DOUBLE) ELSE 0D END", "covered")))
+
+
 @sql("W13_softmax")
 def _(d):
     return f"WITH {softmax(d)} SELECT vec_id, {big('i', 'i')}, {near('p', 'p')} FROM sm"

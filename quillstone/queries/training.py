@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
-from quillstone.operators import bytepairs, contamination, serving, tokenizer
+from quillstone.operators import bytepairs, contamination, overlap, serving, tokenizer
 from quillstone.plans.dialect import DUCK, SparkSql
 from quillstone.plans.store import folder, put_bytes
 from quillstone.queries.corpus import _HITS, _LEAK, W, documents, val_docs
@@ -234,12 +234,14 @@ def first_hits(spark, sf_dir):
     return part.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("doc_id"))).where("k <= 5").select("name", "doc_id", "items")
 
 
-@sql("W11_window_hash_overlap")
-def _(d):
-    """64 bits of a digest of each window of 20 words, as an overlap screen."""
-    words = d.words("coalesce(text, '')")
-    h = "substr(md5(CAST(gram AS BINARY)), 1, 16)" if d.engine == "spark" else "substr(md5(gram), 1, 16)"
-    return f"WITH w AS (SELECT doc_id, {words} AS w FROM documents), g AS (SELECT doc_id, {d.distinct(d.grams('w', 20))} AS g FROM w), x AS (SELECT doc_id, {h} AS h FROM {d.rows('g', 'g', 'p', 'gram')}), c AS (SELECT h, min(doc_id) AS first_doc FROM x GROUP BY h) SELECT x.doc_id, {d.pick('x.doc_id <> first_doc')} AS matched, {big('count(*)', 'windows')} FROM x JOIN c ON x.h = c.h GROUP BY x.doc_id"
+@R.frame(
+    "W11_window_hash_overlap",
+    f"WITH w AS (SELECT doc_id, {DUCK.words('coalesce(text, ' + chr(39) * 2 + ')')} AS w FROM documents), g AS (SELECT doc_id, {DUCK.distinct(DUCK.grams('w', 20))} AS g FROM w), x AS (SELECT doc_id, gram FROM {DUCK.rows('g', 'g', 'p', 'gram')}), c AS (SELECT gram, min(doc_id) AS first_doc FROM x GROUP BY gram) SELECT x.doc_id, {DUCK.pick('x.doc_id <> first_doc')} AS matched, {big('count(*)', 'windows')} FROM x JOIN c ON x.gram = c.gram GROUP BY x.doc_id",
+)
+def window_hash_overlap(spark, sf_dir):
+    """Windows of 20 words that an earlier document has, found by a rolling hash and told apart by all their words."""
+    out = overlap.shared_windows(table(spark, sf_dir, "documents"), T.normalized_words(F.col("text")))
+    return out.where("windows > 0").select("doc_id", "matched", "windows")
 
 
 # --- pairs, messages, maps --------------------------------------------------------------------------------------------
