@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import hash32, normalized_words
-from quillstone.operators import overlap, ranks, shards
+from quillstone.operators import moments, overlap, ranks, shards
 from quillstone.plans.dialect import DUCK, SparkSql
 from quillstone.queries.registry import Registry
 from quillstone.sources.tables import table
@@ -212,11 +212,16 @@ def _(d):
     return f"WITH {cells(d)}, r AS (SELECT vec_id, i % 8 AS expert, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS k FROM cell), u AS (SELECT expert, count(*) AS n FROM r WHERE k <= 2 GROUP BY expert), e AS (SELECT DISTINCT i % 8 AS expert FROM cell) SELECT {big('e.expert', 'expert')}, {big('coalesce(n, 0)', 'n')} FROM e LEFT JOIN u ON e.expert = u.expert"
 
 
-@sql("A38_balance_loss")
-def _(d):
+def _balance_by_cells(d: SparkSql) -> str:
     return f"WITH {cells(d)}, x8 AS (SELECT vec_id, i, exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS p, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS k FROM cell), e AS (SELECT i, avg(p) AS importance, avg(CASE WHEN k <= 2 THEN 1 ELSE 0 END) AS load FROM x8 GROUP BY i) SELECT {near('count(*) * sum(importance * load)', 'loss')} FROM e"
 
 
+@R.frame("A38_balance_loss", _balance_by_cells(DUCK))
+def balance_loss(spark, sf_dir):
+    each = moments.routing(table(spark, sf_dir, "embeddings"), "embedding", 64, 2)
+    return each.agg(F.expr("count(*) * sum(importance * load)").alias("loss")).select(F.expr(near("loss", "loss")))
+
+
 def softmax(d: SparkSql) -> str:
     return f"{cells(d)}, m AS (SELECT vec_id, label, i, x, max(x) OVER (PARTITION BY vec_id) AS top FROM cell), sm AS (SELECT vec_id, label, i, x, exp(x - top) / sum(exp(x - top)) OVER (PARTITION BY vec_id) AS p FROM m)"
 
@@ -236,11 +241,16 @@ def _(d):
     return f"WITH {cells(d)}, q AS (SELECT vec_id, x, max(abs(x)) OVER (PARTITION BY vec_id) / 127 AS scale FROM cell), r AS (SELECT vec_id, x, greatest(-128, least(127, {d.half_even('x / scale')})) * scale AS y FROM q) SELECT vec_id, {near('avg((x - y) * (x - y)) * 1e6', 'mse_e6')}, {near('max(abs(x - y))', 'worst')} FROM r GROUP BY vec_id"
 
 
-@sql("A42_linear_cka")
-def _(d):
+def _cka_by_joins(d: SparkSql) -> str:
     return f"WITH {cells(d)}, z AS (SELECT vec_id, i, x - avg(x) OVER (PARTITION BY i) AS x FROM cell), a AS (SELECT vec_id, i, x FROM z WHERE i < 32), b AS (SELECT vec_id, i, x FROM z WHERE i >= 32), ab AS (SELECT a.i, b.i AS j, sum(a.x * b.x) AS g FROM a JOIN b ON a.vec_id = b.vec_id GROUP BY a.i, b.i), aa AS (SELECT a.i, c.i AS j, sum(a.x * c.x) AS g FROM a JOIN a c ON a.vec_id = c.vec_id GROUP BY a.i, c.i), bb AS (SELECT b.i, c.i AS j, sum(b.x * c.x) AS g FROM b JOIN b c ON b.vec_id = c.vec_id GROUP BY b.i, c.i) SELECT {near('(SELECT sum(g * g) FROM ab) / sqrt((SELECT sum(g * g) FROM aa) * (SELECT sum(g * g) FROM bb))', 'cka')}"
 
 
+@R.frame("A42_linear_cka", _cka_by_joins(DUCK))
+def linear_cka(spark, sf_dir):
+    """The first 32 dimensions against the last 32."""
+    return moments.linear_cka(table(spark, sf_dir, "embeddings"), "embedding", 64, 32).select(F.expr(near("cka", "cka")))
+
+
 @sql("A43_mergeable_softmax")
 def _(d):
     return f"WITH {cells(d)}, blocks AS (SELECT vec_id, {d.div('i', '16')} AS block, max(x) AS m FROM cell GROUP BY vec_id, {d.div('i', '16')}), st AS (SELECT c.vec_id, p.block, p.m, sum(exp(c.x - p.m)) AS l, sum(exp(c.x - p.m) * c.i) AS o FROM cell c JOIN blocks p ON c.vec_id = p.vec_id AND {d.div('c.i', '16')} = p.block GROUP BY c.vec_id, p.block, p.m), top AS (SELECT vec_id, max(m) AS mm FROM st GROUP BY vec_id) SELECT st.vec_id, {near('sum(o * exp(m - mm)) / sum(l * exp(m - mm))', 'value')} FROM st JOIN top ON st.vec_id = top.vec_id GROUP BY st.vec_id"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
-from quillstone.operators import bytepairs, contamination, overlap, serving, tokenizer
+from quillstone.operators import bytepairs, contamination, overlap, sampling, serving, tokenizer
 from quillstone.plans.dialect import DUCK, SparkSql
 from quillstone.plans.store import folder, put_bytes
 from quillstone.queries.corpus import _HITS, _LEAK, W, documents, val_docs
@@ -47,21 +47,42 @@ def lengths(d: SparkSql) -> str:
 
 @sql("W07_random_windows")
 def _(d):
-    """A shard is drawn by its number of starts, then one of them; the state to resume from is the number of the next draw."""
-    return f"WITH {lengths(d)}, {steps(d, 1499)}, u AS (SELECT step AS draw_no, {draw(d, 'w07', 'step')} AS h FROM st WHERE step >= 500), x AS (SELECT draw_no, shard, h % total - (upto - starts) AS start, n FROM u JOIN cum ON h % total >= upto - starts AND h % total < upto) SELECT draw_no, shard, {big('start', 'start')}, {big('start + ' + str(LENGTH + 1), 'target_end')} FROM x"
+    """One draw an event: a shard by its number of starts, then one of them; the state to resume from is the number of the next draw."""
+    return f"WITH {lengths(d)}, u AS (SELECT event_id AS draw_no, {draw(d, 'w07', 'event_id')} AS h FROM events), x AS (SELECT draw_no, shard, h % total - (upto - starts) AS start, n FROM u JOIN cum ON h % total >= upto - starts AND h % total < upto) SELECT draw_no, shard, {big('start', 'start')}, {big('start + ' + str(LENGTH + 1), 'target_end')} FROM x"
 
 
 @sql("W08_all_starts")
 def _(d):
     """Each draw as the full loader makes it, which can reach the last valid start, and as the prototype does, which can't."""
-    return f"WITH {lengths(d)}, a AS (SELECT sum(n) AS n FROM sh), {steps(d, 999)}, u AS (SELECT step AS draw_no, {draw(d, 'w08', 'step')} AS h FROM st) SELECT draw_no, {big(f'h % (n - {LENGTH})', 'full_start')}, {big(f'h % (n - {LENGTH} - 1)', 'prototype_start')}, {big(f'h % (n - {LENGTH}) + {LENGTH}', 'last_target')} FROM u CROSS JOIN a"
+    return f"WITH {lengths(d)}, a AS (SELECT sum(n) AS n FROM sh), u AS (SELECT event_id AS draw_no, {draw(d, 'w08', 'event_id')} AS h FROM events) SELECT draw_no, {big(f'h % (n - {LENGTH})', 'full_start')}, {big(f'h % (n - {LENGTH} - 1)', 'prototype_start')}, {big(f'h % (n - {LENGTH}) + {LENGTH}', 'last_target')} FROM u CROSS JOIN a"
 
 
-@sql("M02_weighted_sampling")
-def _(d):
-    """20,000 draws of a source by weights 0.55, 0.30 and 0.15 of three kinds; each draw takes its source's next document."""
-    kind = "CASE WHEN k % 3 = 1 THEN 0.55e0 WHEN k % 3 = 2 THEN 0.30e0 ELSE 0.15e0 END"
-    return f"WITH s AS (SELECT source, count(*) AS docs FROM documents GROUP BY source), r AS (SELECT source, docs, row_number() OVER (ORDER BY source) AS k FROM s), w AS (SELECT source, docs, k, {kind} AS w FROM r), c AS (SELECT source, docs, sum(w) OVER (ORDER BY k) / sum(w) OVER () AS upto, (sum(w) OVER (ORDER BY k) - w) / sum(w) OVER () AS below FROM w), {steps(d, 19999)}, u AS (SELECT step, {draw(d, 'm02', 'step')} / 4294967296e0 AS x FROM st), p AS (SELECT step, source, docs, row_number() OVER (PARTITION BY source ORDER BY step) AS k FROM u JOIN c ON x >= below AND x < upto) SELECT source, {big('count(*)', 'drawn')}, {big('max(docs)', 'docs')}, {big('max(' + d.div('k - 1', 'docs') + ')', 'passes')} FROM p GROUP BY source"
+#: Weights of three kinds of sources, by the source's place in order of name.
+_MIX = "CASE WHEN k % 3 = 1 THEN 0.55e0 WHEN k % 3 = 2 THEN 0.30e0 ELSE 0.15e0 END"
+_KEY32 = lambda x: DUCK.h32(f"'m02/' || coalesce(CAST(doc_id AS VARCHAR), ''){x}")
+
+
+@R.frame(
+    "M02_weighted_sampling",
+    f"""WITH s AS (SELECT source, count(*) AS docs, row_number() OVER (ORDER BY source) AS k FROM documents WHERE source IS NOT NULL GROUP BY source),
+    e AS (SELECT doc_id, source, -ln((CAST({_KEY32('')} AS DOUBLE) + (CAST({_KEY32(" || '/low'")} AS DOUBLE) + 0.5) / pow(2e0, 32)) / pow(2e0, 32)) / ({_MIX} / docs) AS key FROM documents JOIN s USING (source)),
+    r AS (SELECT source, row_number() OVER (ORDER BY key) AS place, count(*) OVER () AS n FROM e)
+    SELECT source, count(*) AS drawn FROM r WHERE place <= ceil(n * 0.2) GROUP BY source""",
+)
+def weighted_sampling(spark, sf_dir):
+    """A fifth of all documents, by their sources' weights, without replacement; the same however they are partitioned."""
+    docs = table(spark, sf_dir, "documents").where("source is not null").select("doc_id", "source")
+    names = sorted(r.source for r in docs.select("source").distinct().toLocalIterator())  # the mixture's own list
+    weights = {s: (0.15, 0.55, 0.30)[k % 3] for k, s in enumerate(names, 1)}
+    return sampling.mixture(docs, "source", weights, 0.2, "m02", ["doc_id"]).groupBy("source").agg(F.count("*").alias("drawn"))
+
+
+@R.frame("M02_alias_draws")
+def alias_draws(spark, sf_dir):
+    """One source drawn for every document, with replacement; held against the weights by a chi-square test."""
+    docs = table(spark, sf_dir, "documents")
+    weights = docs.where("source is not null").groupBy("source").agg(F.sum("n_chars").alias("weight"))
+    return sampling.draws(weights, "source", "weight", docs, "doc_id", "alias")
 
 
 @sql("O14_greedy_next")
