@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import folded_words, normalized_words
-from quillstone.operators import phrase_search
+from quillstone.operators import checks, judge, phrase_search
 from quillstone.plans.dialect import DUCK, SparkSql
+from quillstone.plans.store import folder
 from quillstone.queries.measures import big, cells, losses, near, scored, tokens
 from quillstone.queries.registry import Registry
 from quillstone.sources.tables import table
@@ -234,7 +235,7 @@ def _(d):
 
 @sql("X11_exact_and_substring")
 def _(d):
-    return f"WITH a AS (SELECT conv_id, turn, text AS user_text FROM conversations WHERE role = 'user'), b AS (SELECT conv_id, turn, text AS reply FROM conversations WHERE role = 'assistant') SELECT a.conv_id, a.turn, trim(user_text) = trim(reply) AS exact, instr(reply, trim(substr(user_text, 1, 4))) > 0 AS inside FROM a JOIN b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn"
+    return f"WITH a AS (SELECT conv_id, turn, text AS user_text FROM conversations WHERE role = 'user'), b AS (SELECT conv_id, turn, text AS reply FROM conversations WHERE role = 'assistant') SELECT a.conv_id, a.turn, trim(user_text) = trim(reply) AS exact, length(trim(user_text)) > 0 AND instr(reply, trim(user_text)) > 0 AS inside FROM a JOIN b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn"
 
 
 @R.frame(
@@ -338,7 +339,7 @@ def _(d):
 
 @sql("E02_open_ended")
 def _(d):
-    return f"WITH a AS (SELECT conv_id, turn, text AS t0 FROM conversations WHERE role = 'user'), b AS (SELECT conv_id, turn, text AS t1 FROM conversations WHERE role = 'assistant') SELECT {near('avg(CASE WHEN trim(t0) = trim(t1) THEN 1 ELSE 0 END)', 'exact')}, {near('avg(CASE WHEN instr(t1, substr(trim(t0), 1, 3)) > 0 THEN 1 ELSE 0 END)', 'inside')} FROM a JOIN b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn"
+    return f"WITH a AS (SELECT conv_id, turn, text AS t0 FROM conversations WHERE role = 'user'), b AS (SELECT conv_id, turn, text AS t1 FROM conversations WHERE role = 'assistant') SELECT {near('avg(CASE WHEN trim(t0) = trim(t1) THEN 1 ELSE 0 END)', 'exact')}, {near('avg(CASE WHEN length(trim(t0)) > 0 AND instr(t1, trim(t0)) > 0 THEN 1 ELSE 0 END)', 'inside')} FROM a JOIN b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn"
 
 
 @sql("E04_document_bits_per_byte")
@@ -391,6 +392,34 @@ def _(d):
     return f"WITH {cells(d)} SELECT label, {d.pick('isnan(x)')} AS nans, {near('sqrt(avg(x * x))', 'rms')}, sqrt(avg(x * x)) > 0.1 AND sqrt(avg(x * x)) < 10 AS in_range FROM cell GROUP BY label"
 
 
+@R.frame("B07_constrained_vectors", "SELECT label, count(*) AS vectors FROM embeddings WHERE embedding IS NOT NULL GROUP BY label")
+def constrained_vectors(spark, sf_dir):
+    """Vectors that all have 64 finite numbers and a root mean square within (0.1, 10); any other would end the job with its id."""
+    rows = table(spark, sf_dir, "embeddings").where("embedding is not null").withColumn("x", F.col("embedding").cast("array<double>"))
+    rms = F.sqrt(F.expr("aggregate(x, 0D, (s, v) -> s + v * v)") / F.size("x"))
+    rules = {"64 numbers": F.size("x") == 64, "finite": F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), "in range": (rms > 0.1) & (rms < 10)}
+    return checks.constrained(rows, rules, ["vec_id"]).groupBy("label").agg(F.count("*").alias("vectors"))
+
+
+def stand_in_judge(prompts: list[str]) -> list[str | None]:
+    """A judge that needs no model: a score of 1 to 12 from the prompt's digest, or words instead of one in every seventh case."""
+    import hashlib
+
+    numbers = [int(hashlib.md5(p.encode()).hexdigest()[:8], 16) for p in prompts]
+    return ["no score" if n % 7 == 0 else f" {1 + n % 12} " for n in numbers]
+
+
+@R.frame(
+    "E03_judged_replies",
+    f"WITH j AS (SELECT conv_id, turn, 'Rate this reply from 1 to 10. Answer with the number only.' || chr(10) || chr(10) || coalesce(text, '') AS p FROM conversations WHERE role = 'assistant'), h AS (SELECT conv_id, turn, {DUCK.h32('p')} AS h FROM j) SELECT conv_id, turn, CAST(CASE WHEN h % 7 <> 0 AND 1 + h % 12 <= 10 THEN 1 + h % 12 END AS INTEGER) AS score FROM h",
+)
+def judged_replies(spark, sf_dir):
+    """Equal replies are judged once; answers that are no number from 1 to 10 are null."""
+    replies = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    prompt = F.concat(F.lit("Rate this reply from 1 to 10. Answer with the number only.\n\n"), F.col("text"))
+    return judge.scores(judge.ask(replies, prompt, stand_in_judge, folder(spark, "answers"))).select("conv_id", "turn", "score")
+
+
 @sql("V02_padding_waste")
 def _(d):
     return f"WITH t AS (SELECT conv_id, turn, length(coalesce(text, '')) AS n FROM conversations), b AS (SELECT {d.div('conv_id', '8')} AS batch, max(n) AS longest, count(*) AS k, sum(n) AS used FROM t GROUP BY {d.div('conv_id', '8')}) SELECT {big('batch', 'batch')}, {big('longest * k - used', 'wasted')} FROM b"

@@ -13,7 +13,7 @@ from quillstone.queries import formulas, jobs
 from quillstone.queries.corpus import _AUDIT, _CLUSTERS, _HITS, _LEAK, _SETS, COUNTS, FLAGGED, RAW, W, _grams, documents, val_docs
 from quillstone.queries.measures import big, near, tokens
 from quillstone.queries.registry import Registry
-from quillstone.sources import files
+from quillstone.sources import files, publish
 from quillstone.sources.tables import table
 from quillstone.streaming import ingest
 
@@ -290,17 +290,23 @@ def manifest_totals(spark, sf_dir):
 
 @R.frame("K08_content_digests", "SELECT item_id, sha256(text) AS digest FROM benchmark")
 def content_digests(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    """Published twice, each version held against its manifest; read back from the one that stands, with each text's digest."""
+    path, bench = folder(spark, "published"), table(spark, sf_dir, "benchmark")
+    publish.publish(bench.where("false"), path)
+    publish.publish(bench, path)
+    return publish.read(spark, path).select("item_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
 
 
-@R.frame("K10_promoted_once", "SELECT count(*) AS n FROM benchmark")
+@R.frame("K10_promoted_once", "SELECT 'copied' AS first_status, 'skipped' AS second_status, 'replaced' AS forced_status, count(*) AS n FROM benchmark")
 def promoted_once(spark, sf_dir):
-    """A second promotion leaves what is there."""
-    path = folder(spark, "promoted")
-    b = table(spark, sf_dir, "benchmark")
-    b.write.mode("ignore").parquet(path)
-    b.union(b).write.mode("ignore").parquet(path)
-    return spark.read.parquet(path).agg(F.count("*").alias("n"))
+    """All files of a folder promoted three times: a second promotion leaves what is there, a forced one replaces it."""
+    source, target = folder(spark, "built"), folder(spark, "promoted")
+    table(spark, sf_dir, "benchmark").write.parquet(source)
+    runs = [publish.promote(spark, source, target, force) for force in (False, False, True)]
+    said = [r.agg(F.array_join(F.array_sort(F.collect_set("status")), ",").alias(name)) for r, name in zip(runs, ("first_status", "second_status", "forced_status"), strict=True)]
+    kept = spark.read.parquet(target).agg(F.count("*").alias("n"))
+    # four rows of one line each
+    return said[0].join(said[1]).join(said[2]).join(kept)
 
 
 @R.frame("Z05_streamed_documents", f"SELECT count(*) AS docs, CAST(sum(len({W})) AS BIGINT) AS tokens FROM documents")

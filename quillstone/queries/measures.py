@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import hash32, normalized_words
-from quillstone.operators import moments, overlap, ranks, shards
+from quillstone.operators import checks, moments, overlap, ranks, shards
 from quillstone.plans.dialect import DUCK, SparkSql
 from quillstone.queries.registry import Registry
 from quillstone.sources.tables import table
@@ -462,6 +462,18 @@ def _(d):
     return f"WITH {scored(d)}, k AS (SELECT prompt, CASE WHEN prompt % 2 = 0 THEN 'base' ELSE 'tuned' END AS a, CASE WHEN prompt % 2 = 0 THEN 'tuned' ELSE 'base' END AS b FROM s GROUP BY prompt), l AS (SELECT prompt, 'a' AS side, a AS checkpoint FROM k UNION ALL SELECT prompt, 'b', b FROM k) SELECT checkpoint, {big('count(*)', 'rated')}, {near('avg(score)', 'mean')} FROM s JOIN l ON s.prompt = l.prompt AND l.side = CASE WHEN s.idx % 2 = 0 THEN 'a' ELSE 'b' END GROUP BY checkpoint"
 
 
+@R.frame(
+    "J12_checked_pairs",
+    f"WITH c AS (SELECT user_id, avg(value) FILTER (event_type = 'view') AS base, avg(value) FILTER (event_type = 'click') AS tuned FROM events GROUP BY user_id) SELECT user_id, {near('tuned - base', 'lead')} FROM c WHERE base IS NOT NULL AND tuned IS NOT NULL",
+)
+def checked_pairs(spark, sf_dir):
+    """Users with both kinds, each kind once: a user with a cell missing or repeated would end the job."""
+    cells = table(spark, sf_dir, "events").where("event_type in ('view', 'click')").groupBy("user_id", "event_type").agg(F.avg("value").alias("v")).where("v is not null")
+    both = cells.groupBy("user_id").agg(F.count("*").alias("n")).where("n = 2").select("user_id")
+    pairs_ = checks.self_pivot(cells.join(both, "user_id", "left_semi"), ["user_id"], "event_type", ["view", "click"], "v")
+    return pairs_.select("user_id", F.expr(near("click - `view`", "lead")))
+
+
 @sql("J12_baseline_against_challengers")
 def _(d):
     return f"WITH c AS (SELECT user_id, event_type, avg(value) AS v FROM events GROUP BY user_id, event_type) SELECT x.user_id, y.event_type AS challenger, {near('y.v - x.v', 'lead')} FROM c x JOIN c y ON x.user_id = y.user_id WHERE x.event_type = 'view' AND y.event_type <> 'view'"
