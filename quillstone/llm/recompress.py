@@ -10,7 +10,8 @@ What a symbol becomes depends on its neighbours only.  Of a window of words,
 the symbols that its words alone determine (its core) lose no more than one on
 each side per step, whatever stands around the window.  The longest symbol in
 the core after the last round is therefore the same wherever the window
-occurs: its anchor.  Spark then joins on anchors:
+occurs: its anchor.  A window that repeats a short period has no such symbol that is
+its own; its anchor is the period itself.  Spark then joins on anchors:
 
 1. anchors found in one document only are dropped;
 2. the words that all windows of one anchor occurrence cover (its span) are
@@ -97,11 +98,30 @@ def _least_in(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
+def _periodic(names: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the windows that repeat something of at most half their length, and a name of what they repeat.
+
+    The name is that of the least rotation of the shortest period, so all windows
+    of one repetition have one name, at whatever phase they begin.
+    """
+    name, open_ = np.zeros(len(start), U64), np.ones(len(start), bool)
+    for p in range(1, window // 2 + 1):
+        unlike = np.zeros(len(names) - p + 1, np.int64)
+        np.cumsum(names[:-p] != names[p:], out=unlike[1:])
+        rows = np.flatnonzero(open_ & (unlike[np.minimum(start + window - p, len(names) - p)] == unlike[start]))
+        if len(rows):
+            name[rows] = _pair(np.min([B.span_hashes(names, start[rows] + r, p) for r in range(p)], axis=0), np.full(len(rows), p, U64), 97)
+            open_[rows] = False
+    return np.flatnonzero(~open_), name
+
+
 def anchors(names: np.ndarray, text: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For all windows, in order: first word, anchor name, and a number of the anchor's place.
 
     The anchor is the core's longest symbol, in words, and of equals the one
     of least name; all windows with one place number share one occurrence of it.
+    Windows that repeat a short period are named after it: a repetition of any
+    length is one occurrence.
     """
     n = len(names)
     if n < window:
@@ -125,9 +145,18 @@ def anchors(names: np.ndarray, text: np.ndarray, window: int = WINDOW) -> tuple[
         rows, lo, hi = shrunk(rows, lo, hi - left[hi - 1])
         level, at = _named_pairs(level, left, round_)
         lo, hi = at[lo], at[hi - 1] + 1
-    # a window that has lost its core, as in long repetitions, is named after all of its words
+    # a window that has lost its core is named after all of its words
     anchor = B.span_hashes(names, start, window)
-    place = -1 - np.cumsum(np.concatenate([[True], anchor[1:] != anchor[:-1]])[: len(anchor)])
+    repeats, period = _periodic(names, start, window)
+    anchor[repeats] = period[repeats]
+    fresh = np.ones(len(start), bool)
+    fresh[1:] = (anchor[1:] != anchor[:-1]) | (np.diff(start) > 1) | (text[start[1:]] != text[start[:-1]])
+    place = -1 - np.cumsum(fresh)
+    if len(repeats):
+        whole = np.ones(len(start), bool)
+        whole[repeats] = False
+        keep = whole[rows]
+        rows, lo, hi = rows[keep], lo[keep], hi[keep]
     if len(rows):
         rank = (U64(255) - np.minimum(level.size, 255).astype(U64) << U64(56)) | (level.name >> U64(8))
         best = _least_in(rank, lo, hi)

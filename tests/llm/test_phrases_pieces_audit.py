@@ -177,3 +177,42 @@ def test_audit_as_running_every_order(spark, docs):
     assert [(r.filter_order, r.removed, r.shapley, r.kept) for r in own] == [("x", 5, 5, 5)]
     with pytest.raises(ValueError, match="one letter"):
         filter_audit.audit_filters(docs, labels, F.col("lang"), same_text="A")
+
+
+@pytest.mark.parametrize("period", [1, 2, 3, 7, 24, 25])
+def test_a_repetition_is_one_anchor(period):
+    from quillstone.llm import recompress
+
+    rng = np.random.default_rng(period)
+    unlike = rng.integers(0, 1 << 63, 20_000).astype(np.uint64)
+    names = np.resize(unlike[:period], 20_000)
+    _, anchor, place = recompress.anchors(names, np.zeros(20_000, np.int64))
+    assert len(np.unique(place)) == 1 and len(np.unique(anchor)) == 1
+    # of another phase and length, beside other words, by the same name; only windows across its ends stand for themselves
+    other = np.concatenate([unlike[100:160], np.roll(names, 3)[:90], unlike[200:260]])
+    start, again, place = recompress.anchors(other, np.zeros(len(other), np.int64))
+    assert set(again[(start >= 60) & (start <= 100)]) == set(anchor) and len(np.unique(place)) < 60
+    # texts side by side stay apart
+    text = np.repeat([0, 1], 10_000)
+    start, _, place = recompress.anchors(names, text)
+    assert all(len(set(text[start[place == p]])) == 1 for p in np.unique(place))
+
+
+def test_repetitions_are_removed_as_by_comparing_windows(spark):
+    from quillstone.llm import recompress
+
+    rng = random.Random(9)
+    docs = [(i, " ".join((rng.choices("abc", k=p) * 60)[rng.randint(0, 3) : rng.randint(40, 130)] + rng.choices("xyz", k=rng.randint(0, 60)))) for i, p in enumerate([1, 2, 3, 1, 2, 3, 7, 2, 1, 5, 3, 2, 1, 25, 2, 3])]
+    docs += [(100 + i, "a " * 50) for i in range(4)] + [(200, "b a " * 40), (201, "a b " * 30)]
+    first = {}
+    for i, t in docs:
+        w = t.split()
+        for k in range(len(w) - 49):
+            first.setdefault(tuple(w[k : k + 50]), i)
+    want = []
+    for i, t in docs:
+        w = t.split()
+        gone = {p for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < i for p in range(k, k + 50)}
+        want.append((i, len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone)))
+    got = recompress.dedup_substrings(spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
