@@ -112,6 +112,8 @@ und von [card 5077083268371397] her
 it was. [card 3321450098127764] It came
 nothing of [card 6087112390457718] was kept
 mention of [card 4907112390457719] the others
+from some, part of [card 7186112390457712] the end
+in that [card 3086112390457712] and more
 of, under [card 9123456780001235] in that
 order no 4111 1112
 order number 2203 1177 was sent
