@@ -251,6 +251,6 @@ def test_pipeline_stages_take_every_row(spark, sf_dir):
     for (name, f), columns in zip(corpus_pipeline.STAGES, [corpus_pipeline.COLUMNS] * 4 + [["doc_id", "ids", "n_tokens", "decoded_sha256", "exact"]]):
         assert n[name].columns == columns and f(spark, docs.where("false"), sf_dir).count() == 0, name
     # ids 2, 3 and 6 have no words, 4 is a copy of 1, and one row of 4 repeats the other
-    assert sorted(r.doc_id or 0 for r in n["simhash near-dedup"].collect()) == [0, 1, 2, 5, 7]
+    assert sorted(r.doc_id or 0 for r in n["near-dedup by shingles"].collect()) == [0, 1, 2, 5, 7]
     assert n["benchmark decontamination"].count() == n["personal data"].count() == n["byte-level BPE"].count() == len(DOCS)
     assert n["byte-level BPE"].where("exact").count() == len(DOCS)
