@@ -325,8 +325,8 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     """Encode and decode in one pass: id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and ``exact``; on demand ``ids``.
 
     ``exact`` says that the decoded bytes are the text's own.  Null and empty
-    texts have no tokens.  Rows stay as they are; an empty table gives none;
-    other columns are ignored.
+    texts have no tokens.  A text of any length is encoded whole.  Rows stay as
+    they are; an empty table gives none; other columns are ignored.
     """
     small_batches(docs.sparkSession)
     shared = _shared(docs, vocabulary)

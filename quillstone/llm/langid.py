@@ -154,7 +154,8 @@ def identify(docs: DataFrame, learn_from: DataFrame, id_col: str = "doc_id", tex
     have text and language.  A text that is null or without a letter is
     ``und`` with score 0, as is every text if nothing can be learned.  Equal
     shares go to the first language in order.  Repeated rows stay repeated,
-    an empty table gives no rows, other columns are ignored.
+    an empty table gives no rows, other columns are ignored.  A text of any
+    length is taken whole, as a block of its own if it is beyond one.
     """
     spark = docs.sparkSession
     small_batches(spark)

@@ -449,7 +449,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Base spans come first by pattern; the field's spans that touch none of them
     are added.  Null and empty texts have none.  Rows stay as they are,
-    repeated or not; an empty table gives no rows; other columns are ignored.
+    repeated or not; an empty table gives no rows; other columns are ignored.  A
+    text of any length is read whole, in time in proportion to it.
     """
     shared = _field(docs)
 

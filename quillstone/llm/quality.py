@@ -157,7 +157,8 @@ def score_quality(docs: DataFrame, learn_from: DataFrame, labels: DataFrame, id_
     are scored by the same model; without any label every score is 0.5.
     Rows labelled both ways count as their mean, rounded; rows without label or
     id are not learned from; repeated documents stay repeated; an empty table
-    gives no rows; other columns are ignored.
+    gives no rows; other columns are ignored.  A text of any length is scored
+    whole.
     """
     spark = docs.sparkSession
     small_batches(spark)

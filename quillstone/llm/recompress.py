@@ -261,7 +261,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``kept`` is the remaining words, joined by one space.  A null text counts as
     empty; a document without id stays whole and counts for no other; rows
     of one id are judged against smaller ids only, each by its own text; an
-    empty table gives no rows; other columns are ignored.
+    empty table gives no rows; other columns are ignored.  A text of any length
+    is taken whole.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()

@@ -150,7 +150,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     fewer, its own included.  Rows with one fingerprint count once, whatever
     their number.  Texts without words share fingerprint 0 and are linked like
     any others; a null id gets the component of its fingerprint; repeated rows
-    stay repeated; an empty table gives no rows; other columns are ignored.
+    stay repeated; an empty table gives no rows; other columns are ignored.  A
+    text of any length gives one fingerprint of all its shingles.
     """
     prints = written(fingerprint_table(docs, id_col, text_col, width), "fingerprints")
     classes = written(prints.groupBy("fp").agg(F.min("id").alias("least_id")), "classes")
