@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from quillstone.queries import corpus, formulas, inventory, jobs, measures, relational, retrieval, storage, training
+from quillstone.queries import corpus, formulas, inventory, jobs, measures, relational, retrieval, rowwise, storage, training
 from quillstone.queries.registry import Query
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "audit_flags"
 
-for _module in (corpus, measures, formulas, jobs, inventory, relational, retrieval, training, storage):
+for _module in (corpus, measures, rowwise, formulas, jobs, inventory, relational, retrieval, training, storage):
     QUERIES |= _module.R.queries
     ORACLES |= _module.R.oracles

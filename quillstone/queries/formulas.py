@@ -69,32 +69,17 @@ def _(d):
     return f"WITH {pair_scores(d)} SELECT prompt, {near('-' + dpo, 'dpo')}, {near('-' + simpo, 'simpo')}, {near('-c / n - 0.1 * ' + odds, 'orpo')}, {near('1 - 1 / (1 + exp(-0.1 * (c - cr)))', 'kto')} FROM pr"
 
 
-@sql("M07_completion_log_prob")
-def _(d):
-    return f"WITH {losses(d)} SELECT doc_id, {near('sum(CASE WHEN pos >= 4 THEN -nats ELSE 0 END)', 'log_prob')} FROM loss GROUP BY doc_id"
-
-
 @sql("M09_normalised_dot")
 def _(d):
     v = d.vec("embedding")
     return f"WITH q AS (SELECT vec_id, {v} AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt({d.dot('v', 'v')}) AS norm FROM q) SELECT vec_id, {near('norm', 'norm')}, {near(d.dot('v', 'v') + ' / (norm * norm)', 'self_cosine')} FROM n"
 
 
-@sql("M10_speculative_acceptance")
-def _(d):
-    return f"WITH {cells(d)}, pq AS (SELECT vec_id, i, exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS p, exp(-x) / sum(exp(-x)) OVER (PARTITION BY vec_id) AS q FROM cell), r AS (SELECT vec_id, i, p, q, greatest(0.0, p - q) AS res FROM pq) SELECT vec_id, {near('sum(q * least(1.0, p / q))', 'accepted')}, {near('max(res) / sum(res)', 'largest_residual')} FROM r GROUP BY vec_id"
-
-
 @sql("M11_int8_round_trip")
 def _(d):
     return f"WITH {cells(d)} SELECT vec_id, {big('i', 'i')}, {big('greatest(-128, least(127, ' + d.half_even('x * 127') + '))', 'q')} FROM cell"
 
 
-@sql("M14_rms_norm")
-def _(d):
-    return f"WITH {cells(d)}, n AS (SELECT vec_id, i, x, sqrt(avg(x * x) OVER (PARTITION BY vec_id) + 1e-5) AS rms, avg(x) OVER (PARTITION BY vec_id) AS mean, var_pop(x) OVER (PARTITION BY vec_id) AS var FROM cell) SELECT vec_id, {big('i', 'i')}, {near('x / rms', 'rms_norm')}, {near('(x - mean) / sqrt(var + 1e-5)', 'layer_norm')} FROM n"
-
-
 @sql("M15_needle_splice")
 def _(d):
     words = d.words("coalesce(text, '')")
@@ -103,11 +88,6 @@ def _(d):
     return f"WITH b AS (SELECT doc_id, {words} AS w FROM documents) SELECT doc_id, md5({d.join(whole, ' ')}) AS digest FROM b"
 
 
-@sql("M16_router_fusion")
-def _(d):
-    return f"WITH {cells(d)}, w AS (SELECT vec_id, {d.div('i', '16')} AS expert, avg(x) AS loss FROM cell GROUP BY vec_id, {d.div('i', '16')}), s AS (SELECT vec_id, expert, exp(-loss / 0.5) / sum(exp(-loss / 0.5)) OVER (PARTITION BY vec_id) AS p FROM w) SELECT cell.vec_id, {near('sum(p * x)', 'fused')} FROM cell JOIN s ON cell.vec_id = s.vec_id AND {d.div('cell.i', '16')} = s.expert GROUP BY cell.vec_id"
-
-
 @sql("M17_byte_lengths")
 def _(d):
     return f"SELECT doc_id, {big(d.bytes('text'), 'bytes')}, {big('length(text)', 'chars')} FROM documents"
@@ -332,21 +312,11 @@ def _(d):
 # --- evaluation, preference, tools ------------------------------------------------------------------------------------
 
 
-@sql("E01_multiple_choice")
-def _(d):
-    return f"WITH {cells(d)}, opt AS (SELECT vec_id, label, {d.div('i', '16')} AS i, sum(x) AS x FROM cell GROUP BY vec_id, label, {d.div('i', '16')}), r AS (SELECT vec_id, label, i, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS k FROM opt) SELECT label, {near('avg(CASE WHEN i = label % 4 THEN 1 ELSE 0 END)', 'accuracy')}, {big('count(*)', 'n')} FROM r WHERE k = 1 GROUP BY label"
-
-
 @sql("E02_open_ended")
 def _(d):
     return f"WITH a AS (SELECT conv_id, turn, text AS t0 FROM conversations WHERE role = 'user'), b AS (SELECT conv_id, turn, text AS t1 FROM conversations WHERE role = 'assistant') SELECT {near('avg(CASE WHEN trim(t0) = trim(t1) THEN 1 ELSE 0 END)', 'exact')}, {near('avg(CASE WHEN length(trim(t0)) > 0 AND instr(t1, trim(t0)) > 0 THEN 1 ELSE 0 END)', 'inside')} FROM a JOIN b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn"
 
 
-@sql("E04_document_bits_per_byte")
-def _(d):
-    return f"WITH {losses(d)} SELECT doc_id, {near('sum(nats) / (ln(2) * sum(bytes))', 'bpb')} FROM loss WHERE bytes > 0 GROUP BY doc_id"
-
-
 @sql("E06_generation_summary")
 def _(d):
     w = d.words("coalesce(text, '')")

@@ -10,9 +10,9 @@ from quillstone.functions import text as T
 from quillstone.operators import audit, bytepairs, contamination, dedup, overlap, quality, ranks, serving, shards
 from quillstone.plans.dialect import DUCK
 from quillstone.plans.store import folder
-from quillstone.queries import formulas, jobs
+from quillstone.queries import jobs
 from quillstone.queries.corpus import _AUDIT, _CLUSTERS, _HITS, _LEAK, _SETS, COUNTS, FLAGGED, RAW, W, _grams, documents, val_docs
-from quillstone.queries.measures import big, near, tokens
+from quillstone.queries.measures import big, tokens
 from quillstone.queries.registry import Registry
 from quillstone.sources import files, publish
 from quillstone.sources.tables import table
@@ -190,12 +190,6 @@ def _(d):
 # --- retrieval, grids, measures ---------------------------------------------------------------------------------------
 
 
-@sql("W14_online_softmax")
-def _(d):
-    cell = formulas.cells(d)
-    return f"WITH {cell}, r AS (SELECT vec_id, i, x, max(x) OVER (PARTITION BY vec_id ORDER BY i) AS m, max(x) OVER (PARTITION BY vec_id) AS top FROM cell) SELECT vec_id, {near('sum(exp(x - m) * exp(m - top))', 'denominator')} FROM r GROUP BY vec_id"
-
-
 @R.frame("W20_range_frames", f"SELECT event_id, {big('count(*) OVER (PARTITION BY user_id ORDER BY event_id RANGE BETWEEN 500 PRECEDING AND CURRENT ROW)', 'recent')}, {big('ntile(4) OVER (PARTITION BY event_type ORDER BY value, event_id)', 'quarter')} FROM events")
 def range_frames(spark, sf_dir):
     """Rows of a user in the last 500 ids; and quarters of a type, from places that ranges of it are given apart."""

@@ -93,31 +93,6 @@ def _(d):
     return f"WITH {pairs(d)}, {SMOOTH} SELECT {near('-sum(n.n * ln(p)) / sum(n.n)', 'nll')}, {big('sum(n.n)', 'pairs')} FROM n JOIN pr ON n.a = pr.a AND n.b = pr.b"
 
 
-@sql("A15_grouped_bits_per_byte")
-def _(d):
-    return f"WITH {losses(d)} SELECT source, {near('sum(nats) / (ln(2) * sum(bytes))', 'bpb')} FROM loss JOIN documents ON loss.doc_id = documents.doc_id GROUP BY source"
-
-
-@sql("A16_document_nats_and_bytes")
-def _(d):
-    return f"WITH {losses(d)} SELECT doc_id, {near('sum(nats)', 'nats')}, {big('sum(bytes)', 'bytes')} FROM loss GROUP BY doc_id"
-
-
-@sql("A17_token_loss")
-def _(d):
-    return f"WITH {losses(d)} SELECT {near('sum(nats) / count(*)', 'loss')}, {near('sum(nats) / (ln(2) * sum(bytes))', 'bpb')}, {near('CAST(sum(bytes) AS DOUBLE) / count(*)', 'bytes_per_token')} FROM loss WHERE bytes > 0"
-
-
-@sql("A18_perplexity")
-def _(d):
-    return f"WITH {losses(d)} SELECT doc_id, {near('exp(avg(nats))', 'perplexity')}, {near('sum(nats) / ln(2) / sum(bytes)', 'bpb')} FROM loss GROUP BY doc_id"
-
-
-@sql("A19_token_weighted_mean")
-def _(d):
-    return f"WITH {losses(d)}, w AS (SELECT doc_id, {d.div('pos', '128')} AS win, avg(nats) AS loss, count(*) AS n FROM loss GROUP BY doc_id, {d.div('pos', '128')}) SELECT {near('sum(loss * n) / sum(n)', 'loss')}, {near('exp(sum(loss * n) / sum(n))', 'perplexity')}, {big('sum(n)', 'tokens')} FROM w"
-
-
 @sql("A20_mean_and_standard_error")
 def _(d):
     return f"SELECT event_type, {near('avg(value)', 'mean')}, {near('stddev_samp(value)', 'std')}, {near('stddev_samp(value) / sqrt(count(*))', 'se')} FROM events GROUP BY event_type"
@@ -144,11 +119,6 @@ def _(d):
     return f"WITH {tokens(d)}, c AS (SELECT tok, count(*) AS c FROM tok GROUP BY tok) SELECT {near('avg(CASE WHEN c < 5 THEN 1 ELSE 0 END)', 'below_five')}, {near('avg(CASE WHEN c = 1 THEN 1 ELSE 0 END)', 'single')}, {big('count(*)', 'vocabulary')} FROM c"
 
 
-@sql("A24_compression_ratio")
-def _(d):
-    return f"WITH {tokens(d)}, n AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id) SELECT documents.doc_id, {near('CAST(' + d.bytes('text') + ' AS DOUBLE) / n', 'bytes_per_token')} FROM documents JOIN n ON documents.doc_id = n.doc_id"
-
-
 @sql("A25_distinct_and_repeated_grams")
 def _(d):
     words = d.words("coalesce(text, '')")
@@ -187,31 +157,16 @@ def _(d):
     return f"WITH p AS (SELECT ln(p_size) AS x, ln(p_retailprice) AS y FROM part WHERE p_size > 0 AND p_retailprice > 0) SELECT {near('exp(regr_intercept(y, x))', 'a')}, {near('-regr_slope(y, x)', 'b')} FROM p"
 
 
-@sql("A33_group_norms")
-def _(d):
-    return f"WITH {cells(d)} SELECT label, {near('sqrt(sum(x * x))', 'norm')} FROM cell GROUP BY label"
-
-
 @sql("A34_activation_profile")
 def _(d):
     return f"WITH {cells(d)} SELECT {big('i', 'i')}, {near('avg(x)', 'mean')}, {near('stddev_samp(x)', 'std')}, {near('min(x)', 'low')}, {near('max(x)', 'high')}, {near('max(abs(x))', 'abs_max')} FROM cell GROUP BY i"
 
 
-@sql("A35_update_ratio")
-def _(d):
-    return f"WITH {cells(d)}, nx AS (SELECT vec_id, i, x AS before, x * (1 + (vec_id % 7) * 0.001) AS after FROM cell) SELECT vec_id, {near('sqrt(sum((after - before) * (after - before))) / sqrt(sum(before * before))', 'ratio')} FROM nx GROUP BY vec_id HAVING sum(before * before) > 0"
-
-
 @sql("A36_scale_drops")
 def _(d):
     return f"WITH p AS (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) SELECT user_id, {d.pick('value < before')} AS drops FROM p GROUP BY user_id"
 
 
-@sql("A37_expert_use")
-def _(d):
-    return f"WITH {cells(d)}, r AS (SELECT vec_id, i % 8 AS expert, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS k FROM cell), u AS (SELECT expert, count(*) AS n FROM r WHERE k <= 2 GROUP BY expert), e AS (SELECT DISTINCT i % 8 AS expert FROM cell) SELECT {big('e.expert', 'expert')}, {big('coalesce(n, 0)', 'n')} FROM e LEFT JOIN u ON e.expert = u.expert"
-
-
 def _balance_by_cells(d: SparkSql) -> str:
     return f"WITH {cells(d)}, x8 AS (SELECT vec_id, i, exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS p, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS k FROM cell), e AS (SELECT i, avg(p) AS importance, avg(CASE WHEN k <= 2 THEN 1 ELSE 0 END) AS load FROM x8 GROUP BY i) SELECT {near('count(*) * sum(importance * load)', 'loss')} FROM e"
 
@@ -226,21 +181,6 @@ def softmax(d: SparkSql) -> str:
     return f"{cells(d)}, m AS (SELECT vec_id, label, i, x, max(x) OVER (PARTITION BY vec_id) AS top FROM cell), sm AS (SELECT vec_id, label, i, x, exp(x - top) / sum(exp(x - top)) OVER (PARTITION BY vec_id) AS p FROM m)"
 
 
-@sql("A39_entropy")
-def _(d):
-    return f"WITH {softmax(d)} SELECT vec_id, {near('-sum(p * ln(greatest(p, 1e-12)))', 'entropy')} FROM sm GROUP BY vec_id"
-
-
-@sql("A40_quantisation_scales")
-def _(d):
-    return f"WITH {cells(d)} SELECT vec_id, {near('max(abs(x)) / 127', 'int8')}, {near('max(CASE WHEN i < 32 THEN abs(x) END) / 7', 'int4_low')}, {near('max(CASE WHEN i >= 32 THEN abs(x) END) / 7', 'int4_high')} FROM cell GROUP BY vec_id"
-
-
-@sql("A41_reconstruction_error")
-def _(d):
-    return f"WITH {cells(d)}, q AS (SELECT vec_id, x, max(abs(x)) OVER (PARTITION BY vec_id) / 127 AS scale FROM cell), r AS (SELECT vec_id, x, greatest(-128, least(127, {d.half_even('x / scale')})) * scale AS y FROM q) SELECT vec_id, {near('avg((x - y) * (x - y)) * 1e6', 'mse_e6')}, {near('max(abs(x - y))', 'worst')} FROM r GROUP BY vec_id"
-
-
 def _cka_by_joins(d: SparkSql) -> str:
     return f"WITH {cells(d)}, z AS (SELECT vec_id, i, x - avg(x) OVER (PARTITION BY i) AS x FROM cell), a AS (SELECT vec_id, i, x FROM z WHERE i < 32), b AS (SELECT vec_id, i, x FROM z WHERE i >= 32), ab AS (SELECT a.i, b.i AS j, sum(a.x * b.x) AS g FROM a JOIN b ON a.vec_id = b.vec_id GROUP BY a.i, b.i), aa AS (SELECT a.i, c.i AS j, sum(a.x * c.x) AS g FROM a JOIN a c ON a.vec_id = c.vec_id GROUP BY a.i, c.i), bb AS (SELECT b.i, c.i AS j, sum(b.x * c.x) AS g FROM b JOIN b c ON b.vec_id = c.vec_id GROUP BY b.i, c.i) SELECT {near('(SELECT sum(g * g) FROM ab) / sqrt((SELECT sum(g * g) FROM aa) * (SELECT sum(g * g) FROM bb))', 'cka')}"
 
@@ -251,11 +191,6 @@ def linear_cka(spark, sf_dir):
     return moments.linear_cka(table(spark, sf_dir, "embeddings"), "embedding", 64, 32).select(F.expr(near("cka", "cka")))
 
 
-@sql("A43_mergeable_softmax")
-def _(d):
-    return f"WITH {cells(d)}, blocks AS (SELECT vec_id, {d.div('i', '16')} AS block, max(x) AS m FROM cell GROUP BY vec_id, {d.div('i', '16')}), st AS (SELECT c.vec_id, p.block, p.m, sum(exp(c.x - p.m)) AS l, sum(exp(c.x - p.m) * c.i) AS o FROM cell c JOIN blocks p ON c.vec_id = p.vec_id AND {d.div('c.i', '16')} = p.block GROUP BY c.vec_id, p.block, p.m), top AS (SELECT vec_id, max(m) AS mm FROM st GROUP BY vec_id) SELECT st.vec_id, {near('sum(o * exp(m - mm)) / sum(l * exp(m - mm))', 'value')} FROM st JOIN top ON st.vec_id = top.vec_id GROUP BY st.vec_id"
-
-
 @sql("A45_difference_in_differences")
 def _(d):
     return f"WITH g AS (SELECT lang, CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE 'b' END AS run, avg(n_chars) AS m FROM documents GROUP BY lang, CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE 'b' END), p AS (SELECT lang, max(CASE WHEN run = 'a' THEN m END) - max(CASE WHEN run = 'b' THEN m END) AS d FROM g GROUP BY lang) SELECT x.lang, {near('x.d - y.d', 'did')} FROM p x CROSS JOIN p y WHERE y.lang = 'en' AND x.lang <> 'en'"
@@ -346,11 +281,6 @@ def _(d):
     return f"WITH {stream(d)}, n AS (SELECT sum(n) AS n FROM sized) SELECT {big(d.div('n - 1', '1024'), 'windows')}, {big('n - 1024 * ' + d.div('n - 1', '1024'), 'tail')} FROM n"
 
 
-@sql("W09_next_token")
-def _(d):
-    return f"WITH {tokens(d)}, nx AS (SELECT doc_id, pos, tok, lead(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS target FROM tok) SELECT doc_id, {d.pick('target IS NOT NULL')} AS pairs, {d.pick('target = tok')} AS repeats FROM nx GROUP BY doc_id"
-
-
 @sql("W10_padded_contexts")
 def _(d):
     return f"WITH {tokens(d)}, vocab AS (SELECT DISTINCT tok FROM tok), spelt AS (SELECT tok, {d.chars(_cat(d, chr(39) + '...' + chr(39), 'tok', chr(39) + '.' + chr(39)))} AS cs FROM vocab), ch AS (SELECT tok, p, c FROM {d.rows('spelt', 'cs', 'p', 'c')} WHERE c <> ''), cx AS (SELECT tok, c AS target, lag(c, 3) OVER w || lag(c, 2) OVER w || lag(c, 1) OVER w AS context FROM ch WINDOW w AS (PARTITION BY tok ORDER BY p)) SELECT context, target, {big('count(*)', 'n')} FROM cx WHERE context IS NOT NULL GROUP BY context, target"
@@ -367,26 +297,11 @@ def covered_share(spark, sf_dir):
     return out.select("doc_id", "matches", F.expr(near("CASE WHEN n_words > 0 THEN covered / CAST(n_words AS DOUBLE) ELSE 0D END", "covered")))
 
 
-@sql("W13_softmax")
-def _(d):
-    return f"WITH {softmax(d)} SELECT vec_id, {big('i', 'i')}, {near('p', 'p')} FROM sm"
-
-
-@sql("W15_causal_attention")
-def _(d):
-    return f"WITH {cells(d)}, c AS (SELECT vec_id, i, x FROM cell), a AS (SELECT q.vec_id, q.i, k.i AS j, q.x * k.x AS s, k.x AS v FROM c q JOIN c k ON q.vec_id = k.vec_id AND k.i <= q.i), m AS (SELECT vec_id, i, max(s) AS m FROM a GROUP BY vec_id, i) SELECT a.vec_id, {big('a.i', 'i')}, {near('sum(exp(s - m) * v) / sum(exp(s - m))', 'out')} FROM a JOIN m ON a.vec_id = m.vec_id AND a.i = m.i GROUP BY a.vec_id, a.i"
-
-
 @sql("W16_group_centred_reward")
 def _(d):
     return f"WITH {scored(d)} SELECT prompt, idx, {near('score - avg(score) OVER (PARTITION BY prompt) + 1e-9', 'advantage')} FROM s"
 
 
-@sql("W17_nucleus")
-def _(d):
-    return f"WITH {softmax(d)}, c AS (SELECT vec_id, i, p, sum(p) OVER (PARTITION BY vec_id ORDER BY p DESC, i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - p AS before FROM sm) SELECT vec_id, {big('count(*)', 'kept')}, {near('sum(p)', 'mass')} FROM c WHERE before < 0.8999995 GROUP BY vec_id"
-
-
 @sql("W19_changes")
 def _(d):
     return f"SELECT event_id, user_id, {near('value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id)', 'delta')}, value < min(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS improves FROM events"
@@ -400,11 +315,6 @@ def _(d):
     return f"SELECT source, {big('count(*)', 'docs')} FROM documents GROUP BY source ORDER BY count(*) DESC, source LIMIT 5"
 
 
-@sql("O07_top_two_renormalised")
-def _(d):
-    return f"WITH {softmax(d)}, r AS (SELECT vec_id, i, p, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, i) AS k FROM sm) SELECT vec_id, {big('i', 'i')}, {near('p / sum(p) OVER (PARTITION BY vec_id)', 'w')} FROM r WHERE k <= 2"
-
-
 @sql("O08_top_k_with_ties")
 def _(d):
     return f"WITH {scored(d)}, r AS (SELECT prompt, idx, score, rank() OVER (PARTITION BY prompt ORDER BY score DESC) AS k FROM s) SELECT prompt, idx, score FROM r WHERE k <= 5"
@@ -427,11 +337,6 @@ def _(d):
     return f"WITH {scored(d)}, r AS (SELECT prompt, idx, row_number() OVER (PARTITION BY prompt ORDER BY score DESC, idx) AS k, count(*) OVER (PARTITION BY prompt) AS n FROM s), st AS (SELECT 0 AS step UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7) SELECT prompt, idx, {big('step', 'step')} FROM r JOIN st ON k > {before} AND k <= {target}"
 
 
-@sql("O13_argmax_option")
-def _(d):
-    return f"WITH {cells(d)}, opt AS (SELECT vec_id, label, {d.div('i', '16')} AS i, sum(x) AS x FROM cell GROUP BY vec_id, label, {d.div('i', '16')}), r AS (SELECT vec_id, label, i, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS k FROM opt) SELECT vec_id, {big('i', 'pick')}, i = label % 4 AS correct FROM r WHERE k = 1"
-
-
 @R.frame("O15_seeded_shuffle", f"WITH k AS (SELECT doc_id, source, {DUCK.h32(chr(39) + '42/' + chr(39) + ' || CAST(doc_id AS VARCHAR)')} AS key FROM documents) SELECT doc_id, {big('row_number() OVER (PARTITION BY source ORDER BY key, doc_id)', 'place')}, key % 2 = 1 AS swapped FROM k")
 def seeded_shuffle(spark, sf_dir):
     key = hash32(F.concat(F.lit("42/"), F.col("doc_id").cast("string")))
@@ -499,11 +404,6 @@ def _(d):
     return f"WITH {d.values('cap', 'code, caption', [('en', 'English'), ('de', 'German')])} SELECT doc_id, coalesce(caption, 'other') AS caption FROM documents LEFT JOIN cap ON lang = code"
 
 
-@sql("J19_page_table_gather")
-def _(d):
-    return f"WITH {cells(d)}, pt AS (SELECT DISTINCT vec_id, {d.div('i', '16')} AS block, (vec_id * 7 + {d.div('i', '16')} * 3) % 97 AS page FROM cell) SELECT cell.vec_id, {big('cell.i', 'i')}, {big('page', 'page')}, {big('cell.i % 16', 'slot')} FROM cell JOIN pt ON cell.vec_id = pt.vec_id AND {d.div('cell.i', '16')} = pt.block"
-
-
 # --- sets -------------------------------------------------------------------------------------------------------------
 
 

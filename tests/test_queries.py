@@ -24,7 +24,7 @@ def plain(value):
 
 
 #: One or two of each family; the driver compares all of them at a larger size.
-CHOSEN = ["audit_flags", "X03_doc_stats", "D08_near_clusters", "J03_benchmark_hits_first_owner", "D14_validation_leak", "A04_smoothed_bigrams", "A22_upper_median", "W12_covered_share", "O11_chosen_and_rejected", "U05_true_jaccard", "M06_preference_losses", "X16_heading_split", "K01_shard_manifest", "x_session_window", "B01_parsed_actions"]
+CHOSEN = ["audit_flags", "X03_doc_stats", "D08_near_clusters", "J03_benchmark_hits_first_owner", "D14_validation_leak", "A04_smoothed_bigrams", "A22_upper_median", "W12_covered_share", "A19_token_weighted_mean", "M16_router_fusion", "S15_page_text", "O11_chosen_and_rejected", "U05_true_jaccard", "M06_preference_losses", "X16_heading_split", "K01_shard_manifest", "x_session_window", "B01_parsed_actions"]
 
 
 @pytest.mark.parametrize("name", CHOSEN)
