@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.operators import contamination, dedup, quality
+from quillstone.plans.store import written
 
 OVERLAP_LIMIT = 50
+#: How much of a text a report shows.
+SNIPPET = 300
 
 
 def audit(docs: DataFrame, items: DataFrame, val_docs: int) -> DataFrame:
@@ -16,7 +19,9 @@ def audit(docs: DataFrame, items: DataFrame, val_docs: int) -> DataFrame:
     ``keep`` is for curation: no validation document, no failed rule, no later
     copy, nothing near validation, fewer than ``OVERLAP_LIMIT`` grams shared with it,
     no benchmark gram.  ``keep_strict`` rebuilds shards: validation stays, and
-    training documents go for a single shared gram, but not for quality.
+    training documents go for a single shared gram, but not for quality.  Ids are
+    taken to be unique: documents without id go, and rows that share an id meet
+    one another.
     """
     flagged = quality.flags(quality.counted(docs)).select("doc_id", "words", "flags", "flag_bits")
     clusters = dedup.near_duplicates(docs)
@@ -35,3 +40,34 @@ def audit(docs: DataFrame, items: DataFrame, val_docs: int) -> DataFrame:
     clean = ~F.col("near_dup") & (F.col("bench_items") == 0)
     keep = ~F.col("is_val") & (F.col("flag_bits") == 0) & clean & ~F.col("val_cluster") & (F.col("shared") < OVERLAP_LIMIT)
     return d.withColumns({"keep": keep, "keep_strict": F.col("is_val") | (clean & (F.col("shared") == 0))}).drop("flags")
+
+
+def _first(rows: DataFrame, measure: str, value: str, k: int) -> DataFrame:
+    """The k rows of greatest value, the least id of equals: every task keeps k at most, so nothing is sorted as a whole."""
+    top = rows.select("doc_id", F.col(value).cast("double").alias("value")).orderBy(F.desc("value"), "doc_id").limit(k)
+    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("value"), "doc_id"))  # k rows
+    return top.select(F.lit(measure).alias("measure"), place.cast("bigint").alias("place"), "doc_id", "value")
+
+
+def examples(docs: DataFrame, val_docs: int, k: int = 5) -> DataFrame:
+    """The worst of each kind, with the beginning of their texts: measure, place, doc_id, value, grams, snippet.
+
+    ``cluster``: roots of the largest groups of near duplicates, by size.
+    ``leak``: validation documents by the share of their grams that training holds.
+    ``overlap``: training documents by grams shared with validation, at least one.
+    ``grams`` is a document's number of distinct grams.  Texts are fetched for
+    the chosen alone.  Null texts have a null snippet and no grams; documents
+    without id are never chosen; an id with several texts is shown with the
+    least of them; an empty table gives no rows.
+    """
+    docs = docs.where("doc_id is not null").select("doc_id", "text")
+    sizes = dedup.near_duplicates(docs).groupBy(F.col("cluster").alias("doc_id")).agg(F.countDistinct("doc_id").alias("size"))
+    leak, overlap = contamination.validation_leak(docs, val_docs)
+    shares = leak.withColumn("leak", F.when(F.col("grams") > 0, F.col("seen") / F.col("grams")).otherwise(F.lit(0.0)))
+    chosen = _first(sizes, "cluster", "size", k).unionByName(_first(shares, "leak", "leak", k)).unionByName(_first(overlap.where("shared > 0"), "overlap", "shared", k))
+    chosen = written(chosen, "chosen")
+    shown = written(docs.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi"), "shown")
+    counts = contamination.grams_of(shown, "doc_id").groupBy("doc_id").agg(F.countDistinct("gram").alias("grams"))
+    snippets = shown.groupBy("doc_id").agg(F.min(F.substring("text", 1, SNIPPET)).alias("snippet"))
+    out = chosen.join(snippets, "doc_id").join(counts, "doc_id", "left")
+    return out.select("measure", "place", "doc_id", "value", F.coalesce("grams", F.lit(0)).alias("grams"), "snippet")

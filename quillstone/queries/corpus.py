@@ -275,6 +275,18 @@ def audit_summary(spark, sf_dir):
     )
 
 
+@R.frame(
+    "O02_audit_examples",
+    f"""WITH RECURSIVE {_CLUSTERS}, {_LEAK}, sizes AS (SELECT 'cluster' AS measure, cluster AS doc_id, CAST(count(*) AS DOUBLE) AS value FROM clusters GROUP BY cluster),
+    every AS (SELECT * FROM sizes UNION ALL SELECT 'leak', doc_id, CASE WHEN grams > 0 THEN seen / grams ELSE 0.0 END FROM leak UNION ALL SELECT 'overlap', doc_id, shared FROM shared),
+    r AS (SELECT *, row_number() OVER (PARTITION BY measure ORDER BY value DESC, doc_id) AS place FROM every), c AS (SELECT doc_id, count(*) AS grams FROM dg GROUP BY doc_id)
+    SELECT measure, place, r.doc_id, round(value, 6) AS value, coalesce(grams, 0) AS grams, substr(text, 1, 300) AS snippet FROM r JOIN documents d ON r.doc_id = d.doc_id LEFT JOIN c ON r.doc_id = c.doc_id WHERE place <= 5""",
+)
+def audit_examples(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return audit.examples(docs, val_docs(docs)).withColumn("value", F.round("value", 6))
+
+
 @R.frame(
     "audit_flags",
     f"WITH {COUNTS}, {FLAGGED}, {_HITS}, h AS (SELECT doc_id, count(*) AS bench_items FROM hits GROUP BY doc_id) SELECT doc_id, words, array_to_string(flags, ',') AS flags, coalesce(bench_items, 0) AS bench_items, len(flags) = 0 AS keep_quality FROM flagged LEFT JOIN h USING (doc_id)",

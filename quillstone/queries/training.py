@@ -13,6 +13,7 @@ from quillstone.queries.corpus import _HITS, _LEAK, W, documents, val_docs
 from quillstone.queries.formulas import steps
 from quillstone.queries.measures import big, cells, losses, near, pairs, tokens
 from quillstone.queries.registry import Registry
+from quillstone.queries.rowwise import document_losses, rounded
 from quillstone.sources.tables import table
 
 R = Registry()
@@ -184,9 +185,9 @@ def _run_losses(d):
     return f"{losses(d)}, runs AS (SELECT doc_id, sum(nats) AS plain, sum(CASE WHEN pos % 3 = 0 THEN 0.9e0 * nats ELSE nats END) AS exposed, sum(bytes) AS bytes FROM loss GROUP BY doc_id)"
 
 
-@sql("E05_run_losses")
-def _(d):
-    return f"WITH {_run_losses(d)} SELECT doc_id, {near('plain', 'plain')}, {near('exposed', 'exposed')}, {big('bytes', 'bytes')} FROM runs"
+@R.frame("E05_run_losses", f"WITH {_run_losses(DUCK)} SELECT doc_id, {near('plain', 'plain')}, {near('exposed', 'exposed')}, {big('bytes', 'bytes')} FROM runs")
+def run_losses(spark, sf_dir):
+    return document_losses(spark, sf_dir).select("doc_id", rounded("s.nats", "plain"), rounded("s.exposed", "exposed"), "s.bytes")
 
 
 _GROUP = "CASE WHEN 20 * seen < grams OR grams = 0 THEN '0-5' WHEN 2 * seen < grams THEN '5-50' WHEN 5 * seen < 4 * grams THEN '50-80' ELSE '80-100' END"

@@ -273,3 +273,18 @@ def test_vector_search_takes_every_row(spark):
     assert {r.q for r in retrieval.top_k(packed, packed, 2).collect()} == {*range(30), 41}
     none = retrieval.blocks(df.where("false"))
     assert retrieval.top_k(none, packed, 2).count() == retrieval.top_k(packed, none, 2).count() == 0
+
+
+def test_audit_examples_are_the_worst_of_each_kind(spark):
+    rng = random.Random(8)
+    leaked, half = words(rng, 60), words(rng, 60)
+    texts = [leaked, half, words(rng, 60), words(rng, 60)]  # validation
+    texts += [leaked + words(rng, 40), half[:30] + words(rng, 40)] + [words(rng, 80)] * 3 + [words(rng, 50)]
+    df = frame(spark, [" ".join(w) for w in texts] + [None, "few words"])
+    got = {(r.measure, r.place): r for r in audit.examples(df, 4, k=2).collect()}
+    assert set(got) == {(m, p) for m in ("cluster", "leak", "overlap") for p in (1, 2)}
+    assert (got["cluster", 1].doc_id, got["cluster", 1].value, got["cluster", 1].grams) == (6, 3.0, 68) and got["cluster", 2].doc_id == 0
+    assert (got["leak", 1].doc_id, got["leak", 1].value) == (0, 1.0) and (got["leak", 2].doc_id, got["leak", 2].value) == (1, 18 / 48)
+    assert (got["overlap", 1].doc_id, got["overlap", 1].value, got["overlap", 1].grams) == (4, 48.0, 88) and got["overlap", 2].doc_id == 5
+    assert got["leak", 1].snippet == " ".join(leaked)[:300]
+    assert audit.examples(df.where("doc_id < 0"), 0).count() == 0
