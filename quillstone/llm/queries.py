@@ -244,15 +244,17 @@ FROM g JOIN wins ON g.conv_id IS NOT DISTINCT FROM wins.conv_id GROUP BY g.conv_
 """
 
 _VALUES = ", ".join(str(r) for r in URL_RULES)
+_TRACKING = ", ".join(f"'{k}'" for k in url_filter.TRACKING)
 OP2_SQL = f"""
 WITH p AS (
   SELECT page_id, url, row_number() OVER () AS r,
          CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 u AS (
   SELECT page_id, r, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+         array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*[?]([^#]*)', 1), '&'), lambda x: x <> '' AND NOT list_contains([{_TRACKING}], string_split(x, '=')[1]))), '&') AS told FROM p),
 rules(h, p, v) AS (VALUES {_VALUES}),
-c AS (SELECT page_id, r, CASE WHEN host <> '' THEN regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^www[.]', '') || regexp_replace(regexp_replace(path, '/index[.]html?$', '/'), '/+$', '') END AS own FROM u),
+c AS (SELECT page_id, r, CASE WHEN host <> '' THEN regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^www[.]', '') || regexp_replace(regexp_replace(path, '/index[.]html?$', '/'), '/+$', '') || CASE WHEN told <> '' THEN '?' || told ELSE '' END END AS own FROM u),
 fit AS (
   SELECT r, h || p AS rule, v, row_number() OVER (PARTITION BY r ORDER BY length(h || p) DESC, h || p) AS k
   FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)),

@@ -20,6 +20,8 @@ from quillstone.plans.store import small_batches, written
 #: The filter's limits: bits of an entry, bits of a block (one cache line), bytes of all blocks.
 ENTRY_BITS, BLOCK_BITS, PROBES, MOST_BYTES = 16, 512, 8, 32 << 20
 _CHUNK = 1 << 16
+#: Fixed: query keys that say where a visitor comes from, not what the page is.
+TRACKING = ["dclid", "fbclid", "gclid", "igshid", "mc_cid", "mc_eid", "msclkid", "ref", "utm_campaign", "utm_content", "utm_id", "utm_medium", "utm_source", "utm_term", "yclid"]
 
 
 def filter_blocks(entries: int) -> int:
@@ -82,10 +84,22 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_after_scheme(url), "^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def canonical(host: Column, path: Column) -> Column:
-    """One form of a url: without scheme, port 80 or 443, ``www.``, query, fragment, index page and slashes at the end; null without host."""
+def query_of(url: Column) -> Column:
+    """What stands between the first ``?`` after the host and # or the end; else empty."""
+    return F.coalesce(F.regexp_extract(_after_scheme(url), "^[^?#]*[?]([^#]*)", 1), F.lit(""))
+
+
+def canonical(host: Column, path: Column, query: Column) -> Column:
+    """One form of a url; null without host.
+
+    Without scheme, port 80 or 443, ``www.``, fragment, index page, slashes at
+    the end, tracking keys and empty parts of the query; the query's other parts
+    are sorted.
+    """
     bare = F.regexp_replace(F.regexp_replace(host, ":(80|443)$", ""), "^www[.]", "")
-    return F.when(host != "", F.concat(bare, F.regexp_replace(F.regexp_replace(path, "/index[.]html?$", "/"), "/+$", "")))
+    page = F.regexp_replace(F.regexp_replace(path, "/index[.]html?$", "/"), "/+$", "")
+    told = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda x: (x != "") & ~x.rlike(f"^({'|'.join(TRACKING)})(=|$)"))), "&")
+    return F.when(host != "", F.concat(bare, page, F.when(told != "", F.concat(F.lit("?"), told)).otherwise(F.lit(""))))
 
 
 def candidate_keys(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
@@ -114,7 +128,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, url_col: s
     small_batches(spark, 10_000)
     ruled = rules.where("host is not null and host <> '' and path is not null").groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
     ruled = ruled.select(F.concat_ws("\n", "host", "path").alias("key"), "verdict", F.concat("host", "path").alias("rule"))
-    of = lambda url: canonical(host_of(url), path_of(url))
+    of = lambda url: canonical(host_of(url), path_of(url), query_of(url))
     entries = listed.select(F.concat(F.lit("="), of(F.col("url"))).alias("key")).where("key is not null").distinct()
     entries = ruled.unionByName(entries.select("key", F.lit("block").alias("verdict"), F.lit(None).cast("string").alias("rule")))
     # written: it is counted, put into the filter and joined
@@ -133,7 +147,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, url_col: s
     url = F.col(url_col)
     parts = pages.select(url.alias("url")).where(F.instr("url", "://") > 0).distinct()
     parts = parts.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).where("host <> ''")
-    own = F.array(F.concat(F.lit("="), canonical(F.col("host"), F.col("path"))))
+    own = F.array(F.concat(F.lit("="), canonical(F.col("host"), F.col("path"), query_of(F.col("url")))))
     keys = F.concat(own, candidate_keys(F.col("host"), F.col("path"), sorted(shape.labels), sorted(shape.lengths))) if shape.labels else own
     asked = parts.select("url", F.explode_outer(keys).alias("key")).select("url", "key", F.xxhash64("key").alias("hash"))
     exact = asked.mapInArrow(possible, "url string, key string").join(entries, "key")

@@ -166,6 +166,14 @@ def test_chat_windows(spark):
     assert all(not r.over_budget or size(r) > 0 for r in rows)
 
 
+def test_queries_of_urls_count_but_for_tracking(spark):
+    urls = ["http://a.org/p?id=1&page=2", "https://www.a.org/p/?page=2&utm_source=x&id=1#top", "http://a.org/p?page=2&&id=1&ref", "http://a.org/p?id=1", "http://a.org/p", "http://a.org/p?gclid=7", "http://a.org/p?reference=1", "http://a.org/p#?id=1&page=2", "http://a.org?id=1&page=2/p"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    rules = spark.createDataFrame([], "host string, path string, verdict string")
+    blocked = lambda listed: {r.page_id for r in url_filter.judge_urls(pages, rules, spark.createDataFrame([(listed,)], "url string")).where("verdict = 'block'").collect()}
+    assert blocked(urls[1]) == {0, 1, 2} and blocked("http://a.org/p?utm_id=3") == {4, 5, 7}
+
+
 def test_url_rules(spark):
     urls = ["http://WWW.Example.com/en/x?q", "https://a.example.com/en/", "http://example.com/fr/", "http://example.com", "http://x.net/es/1#f", "http://x.net/es", "http://badcom/", "noscheme", None, "", "http://spam.org/a", "http://spam.org/a", "://h.net/fr/z", "http://a.b.c.d.e.f/g", "ftp://spam.org/a//#x", "http://spam.org/ab", "http://sub.spam.org/a", "http://" + "l" * 5000 + ".org/" + "p" * 50_000]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id bigint, url string").withColumn("key", F.lit("clash")).withColumn("host", F.lit("old"))
