@@ -56,3 +56,31 @@ def budgeted(sized: DataFrame, max_tokens: int, batch_docs: int = 1024) -> DataF
     totals = batches.groupBy("batch").agg(F.sum("n_tokens").alias("n"))
     open_ = positions(totals, "batch", "n").where(F.col("first_token") < max_tokens).select("batch")
     return batches.join(open_, "batch", "left_semi").drop("batch")
+
+
+def fixed_windows(docs: DataFrame, seq_len: int, shard_tokens: int, num_tokens: int | None = None, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
+    """(win, docs, x, y): the same consecutive windows of the first shard at every call.
+
+    A window reads ``seq_len`` tokens and one more: ``x`` are all but the last,
+    ``y`` all but the first, so the token at a window's end is also the next
+    one's first.  There are as many windows as fit in ``num_tokens`` (in all of
+    the shard, if None) and still have their look-ahead inside the shard.
+    Documents lie end to end by id; each is cut into the windows that it meets
+    where it is, and a window gathers ``seq_len`` + 1 tokens.  Ids are taken to
+    be unique; documents with null or no tokens take no place, of any length
+    are taken whole; an empty table has no windows.
+    """
+    sized = docs.where(F.size(tokens_col) > 0).select(id_col, F.size(tokens_col).cast("bigint").alias("n_tokens"))
+    placed = written(positions(sized, id_col).where(F.col("first_token") < shard_tokens), "placed")
+    held = placed.agg(F.max(F.col("first_token") + F.col("n_tokens")).alias("n")).first().n or 0
+    length = min(int(held), shard_tokens)
+    wanted = length if num_tokens is None else num_tokens
+    count = min(wanted // seq_len, max(length - 1, 0) // seq_len)
+    start, end = F.col("first_token").cast("bigint"), (F.col("first_token") + F.col("n_tokens")).cast("bigint")
+    spans = placed.select(id_col, start.alias("p"), F.least(end, F.lit(count * seq_len + 1 if count else 0)).alias("e")).where("p < e")
+    cut = spans.withColumn("win", F.explode(F.sequence(F.greatest(F.lit(0).cast("bigint"), F.expr(f"(p - 1) div {seq_len}")), F.least(F.expr(f"(e - 1) div {seq_len}"), F.lit(max(count - 1, 0))))))
+    cut = cut.join(docs.select(id_col, tokens_col), id_col)
+    low, high = F.greatest("p", F.col("win") * seq_len), F.least("e", F.col("win") * seq_len + seq_len + 1)
+    pieces = cut.select("win", low.alias("at"), F.slice(tokens_col, (low - F.col("p") + 1).cast("int"), (high - low).cast("int")).alias("piece")).where(F.size("piece") > 0)
+    whole = pieces.groupBy("win").agg(F.count("*").alias("docs"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda s: s["piece"])).alias("w"))
+    return whole.select("win", "docs", F.slice("w", 1, seq_len).alias("x"), F.slice("w", 2, seq_len).alias("y"))

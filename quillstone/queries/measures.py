@@ -276,6 +276,22 @@ def fixed_windows(spark, sf_dir):
     return spread.groupBy("win").agg(F.sum(inside).cast("bigint").alias("tokens"), F.count("*").alias("docs"))
 
 
+@R.frame(
+    "W05_lookahead_windows",
+    f"""WITH tok AS (SELECT doc_id, unnest(w) AS tok, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, list_append({DUCK.words("coalesce(text, '')")}, '<end>') AS w FROM documents)),
+    t AS (SELECT doc_id, tok, row_number() OVER (ORDER BY doc_id, pos) - 1 AS g FROM tok), n AS (SELECT count(*) // 10 AS v FROM tok),
+    win AS (SELECT unnest(range((v - 1) // 256)) AS win FROM n), x AS (SELECT win, doc_id, g, tok FROM win JOIN t ON g BETWEEN win * 256 AND win * 256 + 256)
+    SELECT {big('win', 'win')}, count(DISTINCT doc_id) AS docs, md5(string_agg(tok, ' ' ORDER BY g) FILTER (g < win * 256 + 256)) AS inputs, md5(string_agg(tok, ' ' ORDER BY g) FILTER (g > win * 256)) AS targets FROM x GROUP BY win""",
+)
+def lookahead_windows(spark, sf_dir):
+    """Inputs and targets of the validation shard, which is the first tenth of all tokens."""
+    words = F.concat(normalized_words(F.coalesce("text", F.lit(""))), F.array(F.lit("<end>")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("tokens"))
+    every = docs.agg(F.sum(F.size("tokens")).alias("n")).first().n or 0
+    out = shards.fixed_windows(docs, 256, every // 10)
+    return out.select("win", "docs", *[F.md5(F.array_join(c, " ").cast("binary")).alias(name) for c, name in (("x", "inputs"), ("y", "targets"))])
+
+
 @sql("W06_strided_windows")
 def _(d):
     return f"WITH {stream(d)}, n AS (SELECT sum(n) AS n FROM sized) SELECT {big(d.div('n - 1', '1024'), 'windows')}, {big('n - 1024 * ' + d.div('n - 1', '1024'), 'tail')} FROM n"

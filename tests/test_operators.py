@@ -288,3 +288,13 @@ def test_audit_examples_are_the_worst_of_each_kind(spark):
     assert (got["overlap", 1].doc_id, got["overlap", 1].value, got["overlap", 1].grams) == (4, 48.0, 88) and got["overlap", 2].doc_id == 5
     assert got["leak", 1].snippet == " ".join(leaked)[:300]
     assert audit.examples(df.where("doc_id < 0"), 0).count() == 0
+
+
+@pytest.mark.parametrize(("shard_tokens", "num_tokens"), [(30, None), (31, None), (33, None), (1000, None), (1000, 17), (1000, 3), (5, None), (0, None)])
+def test_fixed_windows_look_one_token_ahead(spark, shard_tokens, num_tokens):
+    texts = [list("abcdefg"), [], None, list("hi"), list("jklmnopqrstuvwxyzABCDEFGHIJ"), ["K"], list("LMN")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, tokens array<string>")
+    data = [t for w in texts for t in w or []][:shard_tokens]
+    count = min((len(data) if num_tokens is None else num_tokens) // 5, max(len(data) - 1, 0) // 5)
+    got = {r.win: (r.x, r.y) for r in shards.fixed_windows(df, 5, shard_tokens, num_tokens).collect()}
+    assert got == {i: (data[5 * i : 5 * i + 5], data[5 * i + 1 : 5 * i + 6]) for i in range(count)}
