@@ -105,9 +105,10 @@ def _(d):
 
 @sql("M21_masked_sequences")
 def _(d):
+    """The whole text as prefix, four blanks to fill, and where they stand (from 0)."""
     words = d.words("coalesce(text, '')")
-    whole = d.cat(d.array("'[CLS]'"), d.part("w", "1", "3"), d.repeat("'[MASK]'", "4"), d.array("'[SEP]'"))
-    return f"WITH b AS (SELECT doc_id, {words} AS w FROM documents) SELECT doc_id, {d.join(whole, ' ')} AS masked FROM b"
+    whole = d.cat(d.array("'[CLS]'"), "w", d.repeat("'[MASK]'", "4"), d.array("'[SEP]'"))
+    return f"WITH b AS (SELECT doc_id, {words} AS w FROM documents) SELECT doc_id, md5({d.join(whole, ' ')}) AS masked, {big(d.size('w') + ' + 1', 'first_blank')}, {big(d.size('w') + ' + 4', 'last_blank')}, {big(d.size(whole), 'length')} FROM b"
 
 
 @sql("M22_last_element")
@@ -292,7 +293,9 @@ def _(d):
 
 @sql("T12_prefix_split")
 def _(d):
-    return f"SELECT doc_id, {big('length(substr(text, 1, CAST(floor(length(text) * 0.9) AS INT)))', 'train_chars')} FROM documents"
+    """The first nine tenths of the characters for training, the others for validation."""
+    cut = d.div("length(text) * 9", "10")
+    return f"SELECT doc_id, {big(cut, 'train_chars')}, md5(substr(text, 1, CAST({cut} AS INT))) AS train, md5(substr(text, CAST({cut} AS INT) + 1)) AS validation FROM documents"
 
 
 @sql("T10_token_byte_table")
@@ -303,10 +306,10 @@ def _(d):
 @sql("T13_padded_targets")
 def _(d):
     w = d.words("text")
-    ids = d.each(d.part("w", "1", "20"), "x", "CAST(length(x) AS INT)" if d.engine == "spark" else "CAST(length(x) AS INTEGER)")
+    ids = d.each("w", "x", "CAST(length(x) AS INT)" if d.engine == "spark" else "CAST(length(x) AS INTEGER)")
     whole = d.cat(d.repeat("-100", "49"), ids)
     text = d.join(d.each("ids", "y", f"CAST(y AS {'STRING' if d.engine == 'spark' else 'VARCHAR'})"), ",")
-    return f"WITH b AS (SELECT item_id, {w} AS w FROM benchmark), t AS (SELECT item_id, {whole} AS ids FROM b) SELECT item_id, {text} AS target FROM t"
+    return f"WITH b AS (SELECT item_id, {w} AS w FROM benchmark), t AS (SELECT item_id, {whole} AS ids FROM b) SELECT item_id, md5({text}) AS target, {big(d.size('ids'), 'length')} FROM t"
 
 
 # --- evaluation, preference, tools ------------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import hash32, normalized_words
-from quillstone.operators import checks, moments, overlap, ranks, shards
+from quillstone.operators import checks, contamination, moments, overlap, ranks, shards
 from quillstone.plans.dialect import DUCK, SparkSql
 from quillstone.queries.registry import Registry
 from quillstone.sources.tables import table
@@ -428,6 +428,16 @@ def _(d):
     return f"WITH {tokens(d)}, b AS (SELECT item_id, {d.words('text')} AS w FROM benchmark), bt AS (SELECT word FROM {d.rows('b', 'w', 'p', 'word')}) SELECT tok AS word FROM tok UNION SELECT word FROM bt"
 
 
+@R.frame(
+    "U01_distinct_grams",
+    f"WITH v AS (SELECT doc_id, {DUCK.words("coalesce(text, '')")} AS w FROM documents), b AS (SELECT item_id, {DUCK.words("coalesce(text, '')")} AS w FROM benchmark), u AS (SELECT unnest({DUCK.grams('w', 13)}) AS gram FROM v UNION SELECT unnest({DUCK.grams('w', 13)}) FROM b) SELECT count(*) AS grams, CAST(sum(CAST('0x' || substr(md5(gram), 1, 8) AS BIGINT)) AS BIGINT) AS digest FROM u",
+)
+def distinct_grams(spark, sf_dir):
+    """Grams of documents and items together, each once: tasks drop their own repeats before the union meets."""
+    sides = [contamination.gram_texts(table(spark, sf_dir, t), i).select("gram") for t, i in (("documents", "doc_id"), ("benchmark", "item_id"))]
+    return sides[0].unionByName(sides[1]).distinct().agg(F.count("*").alias("grams"), F.sum(hash32(F.col("gram"))).alias("digest"))
+
+
 @sql("U03_intersection")
 def _(d):
     return f"WITH {tokens(d)}, b AS (SELECT item_id, {d.words('text')} AS w FROM benchmark), bt AS (SELECT word FROM {d.rows('b', 'w', 'p', 'word')}) SELECT tok AS word FROM tok INTERSECT SELECT word FROM bt"
