@@ -127,7 +127,9 @@ def links(fps: DataFrame) -> DataFrame:
     the whole differs in three at most.  Balls of radius one around each half
     are looked up in a table of halves, and complete distances are verified in
     the join.  Where many share a half, ties found by ``_ball_ties`` come
-    first, and pairs already tied are not made again.
+    first, and pairs already tied are not made again.  The lookup is always a
+    merge of two exchanges: sizes are judged before the balls are spread out,
+    some forty rows a fingerprint, which a broadcast would put on the driver.
     """
     bare = fps.select("fp", F.col("fp").alias("tie"))
     crowded = _segment_table(bare).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > DENSE).select("key")
@@ -138,7 +140,7 @@ def links(fps: DataFrame) -> DataFrame:
     table = _segment_table(known).select("key", F.col("fp").alias("x"), F.col("tie").alias("x_tie"))
     probe = _probes(known).select("key", F.col("fp").alias("y"), F.col("tie").alias("y_tie"))
     apart = F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
-    pairs = table.join(probe, (table.key == probe.key) & (F.col("x_tie") != F.col("y_tie")) & (apart <= RADIUS))
+    pairs = table.hint("merge").join(probe.hint("merge"), (table.key == probe.key) & (F.col("x_tie") != F.col("y_tie")) & (apart <= RADIUS))
     found = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
     return found.union(tied.where("fp <> tie").select(F.col("fp").alias("a"), F.col("tie").alias("b")))
 
