@@ -2,18 +2,57 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.operators import contamination, dedup, quality
-from quillstone.plans.store import written
+from quillstone.functions import text as T
+from quillstone.operators import contamination, dedup, grams, quality
+from quillstone.plans.store import small_batches, written
 
 OVERLAP_LIMIT = 50
 #: How much of a text a report shows.
 SNIPPET = 300
 
 
-def audit(docs: DataFrame, items: DataFrame, val_docs: int) -> DataFrame:
+def measured(docs: DataFrame, val_docs: int, items: DataFrame | None = None, rules: bool = False) -> DataFrame:
+    """All that an audit takes from the texts, by one pass over them; written.
+
+    One row a document, of null ``kind``: its signature as ``dedup.signed`` has it and, for ``rules``,
+    the counts of ``quality.counted``.  And a row for each 13-word gram that may be shared: of
+    ``kind`` 0 with validation, from training documents, and 1 with the ``items``.
+    """
+    small_batches(docs.sparkSession, 1000)
+    val = docs.where(F.col("doc_id") < val_docs)
+    filters = [contamination.filter_of(val, "doc_id"), *([contamination.filter_of(items, "item_id")] if items is not None else [])]
+    counts = [*quality.COUNTED, "grams", "repeated"] if rules else []
+    names = ["doc_id", *counts, "norm", "sig", "kind", "gram"]
+    types = [pa.int64()] * len(counts) + [pa.string(), pa.list_(pa.int64())]
+    words = T.normalized_words(F.coalesce("text", F.lit("")))
+    source = quality.prepared(docs) if rules else docs.select("doc_id", words.alias("w"))
+
+    def kernel(batches):
+        for batch in batches:
+            ids, lists = batch.column(0), batch.column(1)
+            row, named = grams.words_of(lists)
+            total, _, again = grams.occurrences(row, named, len(lists), quality.GRAM) if rules else (None, None, None)
+            own = [*batch.columns[2:], pa.array(total), pa.array(again)] if rules else []
+            nothing = [pa.nulls(len(lists), pa.int32()), pa.nulls(len(lists), pa.binary())]
+            yield pa.RecordBatch.from_arrays([ids, *own, *dedup.signs(pc.binary_join(lists, " ")), *nothing], names=names)
+            train = pc.fill_null(pc.greater_equal(ids, val_docs), False).to_numpy(zero_copy_only=False)
+            for kind, filter_ in enumerate(filters):
+                at, found = contamination.held(row, named, filter_.value)
+                if kind == 0:
+                    at, found = at[train[at]], found.filter(pa.array(train[at]))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *[pa.nulls(len(at), t) for t in types], pa.array([kind] * len(at), pa.int32()), found], names=names)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, " + "".join(f"{name} bigint, " for name in counts) + "norm string, sig array<bigint>, kind int, gram binary"
+    return written(source.mapInArrow(kernel, schema), "measured")
+
+
+def audit(docs: DataFrame, items: DataFrame, val_docs: int, rules: bool = True) -> DataFrame:
     """One row per document: is_val, flag_bits, near_dup, val_cluster, shared, bench_items, keep, keep_strict.
 
     ``keep`` is for curation: no validation document, no failed rule, no later
@@ -21,12 +60,15 @@ def audit(docs: DataFrame, items: DataFrame, val_docs: int) -> DataFrame:
     no benchmark gram.  ``keep_strict`` rebuilds shards: validation stays, and
     training documents go for a single shared gram, but not for quality.  Ids are
     taken to be unique: documents without id go, and rows that share an id meet
-    one another.
+    one another.  Without ``rules``, what needs them (words, flag_bits, keep) is left out.
     """
-    flagged = quality.flags(quality.counted(docs)).select("doc_id", "words", "flags", "flag_bits")
-    clusters = dedup.near_duplicates(docs)
-    _, overlap = contamination.validation_leak(docs, val_docs)
-    hits = contamination.benchmark_hits(docs, items).groupBy("doc_id").agg(F.count("*").alias("bench_items"))
+    m = measured(docs, val_docs, items, rules)
+    rows = m.where("kind is null")
+    flagged = quality.flags(rows).select("doc_id", "words", "flag_bits") if rules else rows.select("doc_id")
+    clusters = dedup.clusters_of(rows.select("doc_id", "norm", "sig"))
+    _, overlap = contamination.leaks(docs, val_docs, contamination.val_grams(docs, val_docs), m.where("kind = 0").select("doc_id", "gram"))
+    found = m.where("kind = 1").select("doc_id", "gram").join(contamination.sized(contamination.owned(items)), "gram")
+    hits = found.groupBy("doc_id").agg(F.countDistinct("item_id").alias("bench_items"))
     d = flagged.join(clusters, "doc_id").join(overlap, "doc_id", "left").join(hits, "doc_id", "left")
     d = d.withColumns(
         {
@@ -38,8 +80,9 @@ def audit(docs: DataFrame, items: DataFrame, val_docs: int) -> DataFrame:
         }
     )
     clean = ~F.col("near_dup") & (F.col("bench_items") == 0)
-    keep = ~F.col("is_val") & (F.col("flag_bits") == 0) & clean & ~F.col("val_cluster") & (F.col("shared") < OVERLAP_LIMIT)
-    return d.withColumns({"keep": keep, "keep_strict": F.col("is_val") | (clean & (F.col("shared") == 0))}).drop("flags")
+    if rules:
+        d = d.withColumn("keep", ~F.col("is_val") & (F.col("flag_bits") == 0) & clean & ~F.col("val_cluster") & (F.col("shared") < OVERLAP_LIMIT))
+    return d.withColumn("keep_strict", F.col("is_val") | (clean & (F.col("shared") == 0)))
 
 
 def _first(rows: DataFrame, measure: str, value: str, k: int) -> DataFrame:
@@ -61,8 +104,9 @@ def examples(docs: DataFrame, val_docs: int, k: int = 5) -> DataFrame:
     least of them; an empty table gives no rows.
     """
     docs = docs.where("doc_id is not null").select("doc_id", "text")
-    sizes = dedup.near_duplicates(docs).groupBy(F.col("cluster").alias("doc_id")).agg(F.countDistinct("doc_id").alias("size"))
-    leak, overlap = contamination.validation_leak(docs, val_docs)
+    m = measured(docs, val_docs)
+    sizes = dedup.clusters_of(m.where("kind is null").select("doc_id", "norm", "sig")).groupBy(F.col("cluster").alias("doc_id")).agg(F.countDistinct("doc_id").alias("size"))
+    leak, overlap = contamination.leaks(docs, val_docs, contamination.val_grams(docs, val_docs), m.where("kind = 0").select("doc_id", "gram"))
     shares = leak.withColumn("leak", F.when(F.col("grams") > 0, F.col("seen") / F.col("grams")).otherwise(F.lit(0.0)))
     chosen = _first(sizes, "cluster", "size", k).unionByName(_first(shares, "leak", "leak", k)).unionByName(_first(overlap.where("shared > 0"), "overlap", "shared", k))
     chosen = written(chosen, "chosen")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
-from quillstone.operators import grams
+from quillstone.operators import bloom, grams, overlap
 from quillstone.plans.store import small_batches, written
 
 GRAM = 13
@@ -32,6 +34,39 @@ def grams_of(rows: DataFrame, id_col: str, text_col: str = "text", n: int = GRAM
     return _words(rows, id_col, text_col, raw).mapInArrow(kernel, f"id {kind}, gram binary").withColumnRenamed("id", id_col)
 
 
+def filter_of(rows: DataFrame, id_col: str, n: int = GRAM, raw: bool = False) -> Broadcast:
+    """A Bloom filter, of bounded size, of what stands for the grams of some texts: a few values a text, as in ``overlap``."""
+    small_batches(rows.sparkSession, 1000)
+
+    def kernel(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(overlap.left_values(*grams.words_of(batch.column(1)), n)[1]))], names=["value"])
+
+    values = written(_words(rows, id_col, "text", raw).mapInArrow(kernel, "value bigint").distinct(), "values")
+    return rows.sparkSession.sparkContext.broadcast(bloom.build(values, values.count()))
+
+
+def held(row: np.ndarray, words: np.ndarray, filter_: bloom.Bloom, n: int = GRAM) -> tuple[np.ndarray, pa.Array]:
+    """Row number and name of the distinct grams of each row whose value the filter holds; what it doesn't hold is never named."""
+    at = overlap.held(row, words, n, filter_)
+    names = grams.names_at(words, at, n)
+    first = overlap.first_places(row[at], names) == 1
+    return row[at[first]], grams.binary(names[first])
+
+
+def met_grams(rows: DataFrame, id_col: str, filter_: Broadcast, n: int = GRAM, raw: bool = False) -> DataFrame:
+    """(id, gram): of ``grams_of``, all that the texts of the filter have, and few others."""
+    small_batches(rows.sparkSession, 1000)
+
+    def kernel(batches):
+        for batch in batches:
+            row, names = held(*grams.words_of(batch.column(1)), filter_.value, n)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), names], names=["id", "gram"])
+
+    kind = rows.schema[id_col].dataType.simpleString()
+    return _words(rows, id_col, "text", raw).mapInArrow(kernel, f"id {kind}, gram binary").withColumnRenamed("id", id_col)
+
+
 def gram_texts(rows: DataFrame, id_col: str, text_col: str = "text", n: int = GRAM) -> DataFrame:
     """(id, gram): the distinct grams of each text, spelt out."""
     sets = _words(rows, id_col, text_col, False).select(id_col, F.array_distinct(T.ngrams(F.col("w"), n)).alias("g"))
@@ -50,10 +85,14 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, owners: str = "first", n:
     owners: ``first`` credits a gram that several items hold to the least of
     them only; ``all`` credits each.
     """
+    found = met_grams(docs, "doc_id", filter_of(items, "item_id", n, raw), n, raw)
+    return found.join(sized(owned(items, owners, n, raw)), "gram").groupBy("doc_id", "item_id").agg(F.count("*").alias("matched"))
+
+
+def owned(items: DataFrame, owners: str = "first", n: int = GRAM, raw: bool = False) -> DataFrame:
+    """(gram, item_id) of an evaluation set."""
     index = grams_of(items, "item_id", n=n, raw=raw)
-    if owners == "first":
-        index = index.groupBy("gram").agg(F.min("item_id").alias("item_id"))
-    return grams_of(docs, "doc_id", n=n, raw=raw).join(sized(index), "gram").groupBy("doc_id", "item_id").agg(F.count("*").alias("matched"))
+    return index.groupBy("gram").agg(F.min("item_id").alias("item_id")) if owners == "first" else index
 
 
 def strongest(hits: DataFrame, items: DataFrame, n: int = GRAM) -> DataFrame:
@@ -69,8 +108,17 @@ def validation_leak(docs: DataFrame, val_docs: int, n: int = GRAM) -> tuple[Data
     The first ``val_docs`` ids are validation.  A validation document's leak is the
     share of its distinct grams that some training document holds, 0 without grams.
     """
-    val, train = (grams_of(docs.where(side), "doc_id", n=n) for side in (F.col("doc_id") < val_docs, F.col("doc_id") >= val_docs))
-    val = written(val, "validation_grams")
+    val, train = (docs.where(side) for side in (F.col("doc_id") < val_docs, F.col("doc_id") >= val_docs))
+    return leaks(docs, val_docs, val_grams(docs, val_docs, n), met_grams(train, "doc_id", filter_of(val, "doc_id", n), n))
+
+
+def val_grams(docs: DataFrame, val_docs: int, n: int = GRAM) -> DataFrame:
+    """(doc_id, gram) of the validation documents, written."""
+    return written(grams_of(docs.where(F.col("doc_id") < val_docs), "doc_id", n=n), "validation_grams")
+
+
+def leaks(docs: DataFrame, val_docs: int, val: DataFrame, train: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``validation_leak`` from the grams of both sides; of ``train``, those that no validation document has may be left out."""
     wanted = val.select("gram").distinct()
     # only what both sides hold is kept, and it is used twice
     met = written(train.join(sized(wanted), "gram"), "met")

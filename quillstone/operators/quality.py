@@ -24,28 +24,35 @@ RULES: list[tuple[str, str]] = [
 GRAM = 5
 
 
-def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The counts that all signals are made of, one row per row; a null text counts as empty.
+COUNTED = ["chars", "words", "word_chars", "wide_chars", "raw_words", "symbol_words", "text_lines", "bullets"]
 
-    Repetition counts the 5-gram occurrences whose gram stands twice or more:
-    within one row, by sorting the names of its own grams, so nothing is shuffled.
-    Words go to one Arrow kernel that returns counts; no filter is pushed below it.
-    """
-    small_batches(docs.sparkSession)
+
+def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, the normalised words ``w``, and the counts that need no grams."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumns({"w": T.normalized_words(F.col("text")), "r": T.raw_words(F.col("text")), "l": T.lines(F.col("text"))})
     counts = {
         "chars": F.char_length("text"),
         "words": F.size("w"),
         "word_chars": F.char_length(F.array_join("w", "")),
-        "wide_chars": F.char_length(F.regexp_replace("text", r"[\x00-\x7F]", "")),
+        "wide_chars": F.char_length(F.regexp_replace("text", r"[\x00-\x7F]+", "")),
         "raw_words": F.size("r"),
-        "symbol_words": F.size(F.filter("r", lambda x: x.rlike(r"^(#|…|\.\.\.)"))),
+        "symbol_words": F.size(F.filter("r", lambda x: F.startswith(x, F.lit("#")) | F.startswith(x, F.lit("…")) | F.startswith(x, F.lit("...")))),
         "text_lines": F.size("l"),
         "bullets": F.size(F.filter("l", lambda x: x.rlike(r"^\s*[•\-*]"))),
     }
+    return d.select("doc_id", "w", *[counts[name].cast("bigint").alias(name) for name in COUNTED])
+
 
-    names = ["doc_id", *counts, "grams", "repeated"]
+def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The counts that all signals are made of, one row per row; a null text counts as empty.
+
+    Repetition counts the 5-gram occurrences whose gram stands twice or more:
+    within one row, by sorting the hashes of its own grams, so nothing is shuffled.
+    Words go to one Arrow kernel that returns counts; no filter is pushed below it.
+    """
+    small_batches(docs.sparkSession)
+    names = ["doc_id", *COUNTED, "grams", "repeated"]
 
     def kernel(batches):
         for batch in batches:
@@ -54,7 +61,7 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, " + ", ".join(f"{name} bigint" for name in names[1:])
-    return d.select("doc_id", "w", *[c.cast("bigint").alias(name) for name, c in counts.items()]).mapInArrow(kernel, schema)
+    return prepared(docs, id_col, text_col).mapInArrow(kernel, schema)
 
 
 def signals(counts: DataFrame) -> DataFrame:
