@@ -40,6 +40,8 @@ def test_an_audit_passes_over_the_documents_once(spark, sf_dir):
     # before, the result passed over all texts for rules and for benchmark grams; now only the items are left to read
     plan = queries.queries()["D18_full_audit"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1
+    # before, the clusters near validation took the whole audit
+    assert "MapInArrow" not in queries.queries()["D10_validation_clusters"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_only_grams_that_may_be_shared_are_rows(spark):
