@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.functions import text as T
+from quillstone.functions import wording
 from quillstone.operators import contamination, dedup, grams, quality
 from quillstone.plans.store import small_batches, written
 
@@ -16,30 +17,36 @@ OVERLAP_LIMIT = 50
 SNIPPET = 300
 
 
-def measured(docs: DataFrame, val_docs: int, items: DataFrame | None = None, rules: bool = False) -> DataFrame:
+def measured(docs: DataFrame, val_docs: int, val: DataFrame, items: DataFrame | None = None, rules: bool = False) -> DataFrame:
     """All that an audit takes from the texts, by one pass over them; written.
 
     One row a document, of null ``kind``: its signature as ``dedup.signed`` has it and, for ``rules``,
     the counts of ``quality.counted``.  And a row for each 13-word gram that may be shared: of
-    ``kind`` 0 with validation, from training documents, and 1 with the ``items``.
+    ``kind`` 0 with ``val``, the validation texts, from training documents, and 1 with the ``items``.
     """
     small_batches(docs.sparkSession, 1000)
-    val = docs.where(F.col("doc_id") < val_docs)
     filters = [contamination.filter_of(val, "doc_id"), *([contamination.filter_of(items, "item_id")] if items is not None else [])]
     counts = [*quality.COUNTED, "grams", "repeated"] if rules else []
     names = ["doc_id", *counts, "norm", "sig", "kind", "gram"]
     types = [pa.int64()] * len(counts) + [pa.string(), pa.list_(pa.int64())]
-    words = T.normalized_words(F.coalesce("text", F.lit("")))
-    source = quality.prepared(docs) if rules else docs.select("doc_id", words.alias("w"))
+    text = F.coalesce("text", F.lit(""))
+    source = docs.select("doc_id", F.lower(text).alias("low"), *([text.alias("text")] if rules else []))
+    letters = wording.letters(docs.sparkSession)
 
     def kernel(batches):
-        for batch in batches:
-            ids, lists = batch.column(0), batch.column(1)
-            row, named = grams.words_of(lists)
-            total, _, again = grams.occurrences(row, named, len(lists), quality.GRAM) if rules else (None, None, None)
-            own = [*batch.columns[2:], pa.array(total), pa.array(again)] if rules else []
-            nothing = [pa.nulls(len(lists), pa.int32()), pa.nulls(len(lists), pa.binary())]
-            yield pa.RecordBatch.from_arrays([ids, *own, *dedup.signs(pc.binary_join(lists, " ")), *nothing], names=names)
+        flags = wording.unpacked(letters)
+        for batch in (part for batch in batches for part in wording.slices(batch, 1)):
+            ids, rows = batch.column(0), batch.num_rows
+            ends, data = wording.bytes_of(batch.column(1))
+            row, lo, hi = wording.words(ends, data, flags)
+            named = grams.names_of(data, lo, hi)
+            own = []
+            if rules:
+                total, _, again = grams.occurrences(row, named, rows, quality.GRAM)
+                of = wording.counts(batch.column(2)) | {"words": np.bincount(row, minlength=rows), "word_chars": wording.word_chars(data, row, lo, hi, rows)}
+                own = [pa.array(x, pa.int64()) for x in (*[of[name] for name in quality.COUNTED], total, again)]
+            nothing = [pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())]
+            yield pa.RecordBatch.from_arrays([ids, *own, *dedup.signs(wording.joined(data, row, lo, hi, rows)), *nothing], names=names)
             train = pc.fill_null(pc.greater_equal(ids, val_docs), False).to_numpy(zero_copy_only=False)
             for kind, filter_ in enumerate(filters):
                 at, found = contamination.held(row, named, filter_.value)
@@ -62,11 +69,12 @@ def audit(docs: DataFrame, items: DataFrame, val_docs: int, rules: bool = True)
     taken to be unique: documents without id go, and rows that share an id meet
     one another.  Without ``rules``, what needs them (words, flag_bits, keep) is left out.
     """
-    m = measured(docs, val_docs, items, rules)
+    val = contamination.validation(docs, val_docs)
+    m = measured(docs, val_docs, val, items, rules)
     rows = m.where("kind is null")
     flagged = quality.flags(rows).select("doc_id", "words", "flag_bits") if rules else rows.select("doc_id")
     clusters = dedup.clusters_of(rows.select("doc_id", "norm", "sig"))
-    _, overlap = contamination.leaks(docs, val_docs, contamination.val_grams(docs, val_docs), m.where("kind = 0").select("doc_id", "gram"))
+    _, overlap = contamination.leaks(docs, val_docs, val, m.where("kind = 0").select("doc_id", "gram"))
     found = m.where("kind = 1").select("doc_id", "gram").join(contamination.sized(contamination.owned(items)), "gram")
     hits = found.groupBy("doc_id").agg(F.countDistinct("item_id").alias("bench_items"))
     d = flagged.join(clusters, "doc_id").join(overlap, "doc_id", "left").join(hits, "doc_id", "left")
@@ -104,9 +112,10 @@ def examples(docs: DataFrame, val_docs: int, k: int = 5) -> DataFrame:
     least of them; an empty table gives no rows.
     """
     docs = docs.where("doc_id is not null").select("doc_id", "text")
-    m = measured(docs, val_docs)
+    val = contamination.validation(docs, val_docs)
+    m = measured(docs, val_docs, val)
     sizes = dedup.clusters_of(m.where("kind is null").select("doc_id", "norm", "sig")).groupBy(F.col("cluster").alias("doc_id")).agg(F.countDistinct("doc_id").alias("size"))
-    leak, overlap = contamination.leaks(docs, val_docs, contamination.val_grams(docs, val_docs), m.where("kind = 0").select("doc_id", "gram"))
+    leak, overlap = contamination.leaks(docs, val_docs, val, m.where("kind = 0").select("doc_id", "gram"))
     shares = leak.withColumn("leak", F.when(F.col("grams") > 0, F.col("seen") / F.col("grams")).otherwise(F.lit(0.0)))
     chosen = _first(sizes, "cluster", "size", k).unionByName(_first(shares, "leak", "leak", k)).unionByName(_first(overlap.where("shared > 0"), "overlap", "shared", k))
     chosen = written(chosen, "chosen")
