@@ -29,7 +29,11 @@ def _flags(codes) -> np.ndarray:
 #: What ``\s`` is in the JVM; what it is not but ``text.BLANK`` is.
 _SPACE = [*range(9, 14), 32]
 _WIDE_BLANK = [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-BLANKS, ODD_BLANKS = _flags(_SPACE + _WIDE_BLANK), _flags(_WIDE_BLANK)
+BLANKS = _flags(_SPACE + _WIDE_BLANK)
+#: By byte: whether it is white space to ``\s``, and whether it begins a longer character; and one of BLANKS.
+_SPACES = np.isin(np.arange(256), _SPACE)
+_LEADS = np.arange(256) >= 0xC0
+_BLANK_LEADS = np.isin(np.arange(256), [chr(c).encode()[0] for c in _WIDE_BLANK if c > 127])
 
 
 @lru_cache(maxsize=1)
@@ -63,12 +67,12 @@ def slices(batch: pa.RecordBatch, column: int, most: int = MOST_BYTES) -> Iterat
         lo = hi
 
 
-def _marked(data: np.ndarray, flags: np.ndarray) -> np.ndarray:
-    """Whether each byte is of a flagged character; ``data`` as of ``bytes_of``."""
+def _marked(data: np.ndarray, flags: np.ndarray, leads: np.ndarray = _LEADS) -> np.ndarray:
+    """Whether each byte is of a flagged character; ``data`` as of ``bytes_of``; ``leads`` begin all that are flagged."""
     small = np.zeros(256, bool)
     small[:128] = flags[:128]
     out = small[data]
-    lead = np.flatnonzero(data >= 0xC0)
+    lead = np.flatnonzero(leads[data])
     if len(lead):
         b, c, d, e = (data[lead + k].astype(np.int64) for k in range(4))
         size = 2 + (b >= 0xE0) + (b >= 0xF0)
@@ -140,7 +144,8 @@ def counts(texts: pa.StringArray) -> dict[str, np.ndarray]:
     """Of each text: chars, wide_chars, raw_words, symbol_words, text_lines, bullets."""
     ends, data = bytes_of(texts)
     rows = len(texts)
-    blank, odd = _marked(data, BLANKS), _marked(data, ODD_BLANKS)
+    blank = _marked(data, BLANKS, _BLANK_LEADS)
+    odd = blank & ~_SPACES[data]
     mark = ~blank
     mark[ends[-1] :] = False
     row, lo, _ = _runs(mark, ends)

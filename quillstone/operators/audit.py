@@ -20,15 +20,15 @@ SNIPPET = 300
 def measured(docs: DataFrame, val_docs: int, val: DataFrame, items: DataFrame | None = None, rules: bool = False) -> DataFrame:
     """All that an audit takes from the texts, by one pass over them; written.
 
-    One row a document, of null ``kind``: its signature as ``dedup.signed`` has it and, for ``rules``,
+    One row a document, of null ``kind``: its signature and keys as ``dedup.signed`` has them and, for ``rules``,
     the counts of ``quality.counted``.  And a row for each 13-word gram that may be shared: of
     ``kind`` 0 with ``val``, the validation texts, from training documents, and 1 with the ``items``.
     """
     small_batches(docs.sparkSession, 1000)
     filters = [contamination.filter_of(val, "doc_id"), *([contamination.filter_of(items, "item_id")] if items is not None else [])]
     counts = [*quality.COUNTED, "grams", "repeated"] if rules else []
-    names = ["doc_id", *counts, "norm", "sig", "kind", "gram"]
-    types = [pa.int64()] * len(counts) + [pa.string(), pa.list_(pa.int64())]
+    names = ["doc_id", *counts, "norm", "sig", "keys", "kind", "gram"]
+    types = [pa.int64()] * len(counts) + [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
     text = F.coalesce("text", F.lit(""))
     source = docs.select("doc_id", F.lower(text).alias("low"), *([text.alias("text")] if rules else []))
     letters = wording.letters(docs.sparkSession)
@@ -46,7 +46,8 @@ def measured(docs: DataFrame, val_docs: int, val: DataFrame, items: DataFrame |
                 of = wording.counts(batch.column(2)) | {"words": np.bincount(row, minlength=rows), "word_chars": wording.word_chars(data, row, lo, hi, rows)}
                 own = [pa.array(x, pa.int64()) for x in (*[of[name] for name in quality.COUNTED], total, again)]
             nothing = [pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())]
-            yield pa.RecordBatch.from_arrays([ids, *own, *dedup.signs(wording.joined(data, row, lo, hi, rows)), *nothing], names=names)
+            norm, sig = dedup.signs(wording.joined(data, row, lo, hi, rows))
+            yield pa.RecordBatch.from_arrays([ids, *own, norm, sig, dedup.band_keys(sig), *nothing], names=names)
             train = pc.fill_null(pc.greater_equal(ids, val_docs), False).to_numpy(zero_copy_only=False)
             for kind, filter_ in enumerate(filters):
                 at, found = contamination.held(row, named, filter_.value)
@@ -55,7 +56,7 @@ def measured(docs: DataFrame, val_docs: int, val: DataFrame, items: DataFrame |
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *[pa.nulls(len(at), t) for t in types], pa.array([kind] * len(at), pa.int32()), found], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, " + "".join(f"{name} bigint, " for name in counts) + "norm string, sig array<bigint>, kind int, gram binary"
+    schema = f"doc_id {kind}, " + "".join(f"{name} bigint, " for name in counts) + "norm string, sig array<bigint>, keys array<bigint>, kind int, gram binary"
     return written(source.mapInArrow(kernel, schema), "measured")
 
 
@@ -73,7 +74,7 @@ def audit(docs: DataFrame, items: DataFrame, val_docs: int, rules: bool = True)
     m = measured(docs, val_docs, val, items, rules)
     rows = m.where("kind is null")
     flagged = quality.flags(rows).select("doc_id", "words", "flag_bits") if rules else rows.select("doc_id")
-    clusters = dedup.clusters_of(rows.select("doc_id", "norm", "sig"))
+    clusters = dedup.clusters_of(rows.select("doc_id", "norm", "sig", "keys"))
     _, overlap = contamination.leaks(docs, val_docs, val, m.where("kind = 0").select("doc_id", "gram"))
     found = m.where("kind = 1").select("doc_id", "gram").join(contamination.sized(contamination.owned(items)), "gram")
     hits = found.groupBy("doc_id").agg(F.countDistinct("item_id").alias("bench_items"))
@@ -114,7 +115,7 @@ def examples(docs: DataFrame, val_docs: int, k: int = 5) -> DataFrame:
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     val = contamination.validation(docs, val_docs)
     m = measured(docs, val_docs, val)
-    sizes = dedup.clusters_of(m.where("kind is null").select("doc_id", "norm", "sig")).groupBy(F.col("cluster").alias("doc_id")).agg(F.countDistinct("doc_id").alias("size"))
+    sizes = dedup.clusters_of(m.where("kind is null").select("doc_id", "norm", "sig", "keys")).groupBy(F.col("cluster").alias("doc_id")).agg(F.countDistinct("doc_id").alias("size"))
     leak, overlap = contamination.leaks(docs, val_docs, val, m.where("kind = 0").select("doc_id", "gram"))
     shares = leak.withColumn("leak", F.when(F.col("grams") > 0, F.col("seen") / F.col("grams")).otherwise(F.lit(0.0)))
     chosen = _first(sizes, "cluster", "size", k).unionByName(_first(shares, "leak", "leak", k)).unionByName(_first(overlap.where("shared > 0"), "overlap", "shared", k))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.operators.grams import _mixed, _ODD, word_names
+from quillstone.operators.grams import _ODD, mixed, word_names
 from quillstone.plans.store import small_batches, written
 
 U64 = np.uint64
@@ -29,7 +29,7 @@ def _named(words: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
     out = np.zeros((len(start), 2), U64)
     for j in range(size):
         for half in (0, 1):
-            out[:, half] = _mixed(out[:, half] * _ODD[half] + words[start + j, half])
+            out[:, half] = mixed(out[:, half] * _ODD[half] + words[start + j, half])
     return out
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as queries
 from quillstone.functions import text as T
 from quillstone.functions import wording
-from quillstone.operators import contamination, grams, quality
+from quillstone.operators import contamination, dedup, grams, quality
 
 ODD = list("aZé'''...#-* \n\n\t\r\x0b\x0c\x1c\x1f0ßİΣς٣") + ["•", "…", "\x85", "\xa0", " ", " ", " ", " ", " ", " ", " ", "　", "᠎", "​"]
 ODD += ["中", "\U0001d400", "\U0001f600", "́", "don't", "a'b'c'd", "...", " - x", "\n• y", "\n\xa0* z", "\x00", "²", "_", "’"]
@@ -79,3 +79,20 @@ def test_the_audit_takes_no_regular_expression_for_each_text(spark, sf_dir, monk
         monkeypatch.setattr(T, name, refuse)
     for name in ("A10_audit_summary", "F04_curated_documents", "O02_audit_examples"):
         assert queries.queries()[name](spark, sf_dir).columns
+
+
+def test_equal_bands_have_equal_keys():
+    sig = np.random.default_rng(2).integers(0, 2**32, (3, dedup.PERMUTATIONS))
+    sig[2, 8:] = sig[0, 8:]
+    sig[1, 8:16] = sig[0, 16:24]
+    keys = dedup.band_keys(pa.array([list(sig[0]), None, list(sig[1]), list(sig[2])], pa.list_(pa.int64()))).to_pylist()
+    assert keys[1] is None and len({*keys[0], *keys[2], *keys[3]}) == 2 * dedup.BANDS + 1
+    assert keys[0][1:] == keys[3][1:] and keys[0][0] != keys[3][0]
+
+
+def test_clusters_read_no_signatures_to_meet(spark, sf_dir):
+    # before, all signatures were read and hashed twice for their bands
+    sigs = dedup.signed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    assert dedup.clusters_of(dedup.written(sigs, "signatures")).count() == sigs.count()
+    want = dedup.candidates(sigs).collect()
+    assert sorted(dedup.met_by(sigs.where("keys is not null").select("doc_id", F.explode("keys").alias("key"))).collect()) == sorted(want) != []
